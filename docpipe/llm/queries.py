@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docpipe.llm import bpe, rans
+from docpipe.llm import bagminhash, bpe, decontam, rans, topk, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,18 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), keep_ids=False)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = rans.token_archive(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
     return archive.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op5_rans_tokens)}
+    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op8_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_containment": decontam.ORACLE, "op2_warc": warc.ORACLE, "op4_topk": topk.ORACLE}

@@ -199,7 +199,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
             symbols, counts = np.unique(ids, return_counts=True)
             freq = frequencies(counts)
             path, rows = f"{base}/part-{part:06d}-{files:04d}-{uuid.uuid4().hex}.rans", []
-            with system.open_output_stream(path) as out:
+            with system.open_output_stream(path, compression=None) as out:
                 out.write(table := pack_table(symbols, freq))
                 at, first, n = len(table), 0, 0
                 for i, (_, x) in enumerate(held):
