@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docpipe.llm import bagminhash, bpe, decontam, rans, topk, warc
+from docpipe.llm import bagminhash, bpe, decontam, mil, pii, rans, secrets, topk, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -41,13 +41,25 @@ def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op8_bagminhash)}
+    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op6_attention_mil, op8_bagminhash, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
