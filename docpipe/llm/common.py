@@ -66,3 +66,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_000_00
             held += len(text)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, pa.Table]]:
+    """The groups of rows with equal values of `column`, which must come together, each as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values, start = batch.column(column).to_pylist(), 0
+        for at, value in enumerate(values):
+            if value != last and (held or at > start):
+                if at > start:
+                    held.append(batch.slice(start, at - start))
+                yield last, pa.Table.from_batches(held)
+                held, start = [], at
+            last = value
+        held.append(batch.slice(start))
+    if held:
+        yield last, pa.Table.from_batches(held)

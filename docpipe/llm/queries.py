@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docpipe.llm import bagminhash, bpe, decontam, mil, pii, rans, secrets, topk, warc
+from docpipe.llm import bagminhash, bpe, decontam, lpf, mil, pii, rans, secrets, topk, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.removed_spans(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,7 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op6_attention_mil, op8_bagminhash, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op6_attention_mil, op7_lpf, op8_bagminhash, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
