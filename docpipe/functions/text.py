@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters and their plain forms.
 ACCENTED, PLAIN = "éÉáÁíÍóÓöÖőŐúÚüÜűŰ", "eEaAiIoOoOoOuUuUuU"
@@ -54,7 +55,7 @@ def clean_text(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: ~is_noise(x) | is_important(x)), "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(texts: pd.Series) -> pd.Series:
     """Compatibility-decomposed, without combining marks, lower case; Spark has no function for it."""
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower())
