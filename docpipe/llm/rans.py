@@ -1,6 +1,6 @@
 """Token archives: files of token ids under a static range asymmetric numeral system (rANS).
 
-File: magic, then one frequency table that all its blocks share, then blocks. A block holds whole documents, decodes on
+File: groups, each of a magic, a frequency table that all the group's blocks share, and the blocks. A block holds whole documents, decodes on
 its own, interleaves LANES rANS states (token t belongs to lane t mod LANES), and has a crc32 of its ids, a crc32 of its
 bytes and checkpoints (lane states and place in the payload) from which decoding can begin inside the block. Files are
 named in the order of the documents; the manifest table names the files and blocks of successful task attempts only.
@@ -23,10 +23,11 @@ from docpipe.llm.common import file_system, make_dir, materialize, partitions, s
 
 MAGIC = b"DPRANS01"
 BITS = 18
-LANES = 1024
+LANES = 4096
 BLOCK_TOKENS = 1 << 20
-FILE_TOKENS = 1 << 24
-CHECKPOINT_STEPS = 256
+#: Tokens that share a frequency table and are held at a time; a file holds many such groups.
+GROUP_TOKENS = 1 << 22
+CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<IIIIIIII")
 
@@ -94,8 +95,10 @@ def decode_lanes(n: int, state: np.ndarray, words: np.ndarray, freq: np.ndarray,
 
 def pack_block(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray) -> bytes:
     start = np.cumsum(freq) - freq
-    lanes = max(1, min(LANES, len(ids)))
-    state, words, marks = encode_lanes(np.searchsorted(symbols, ids), freq, start, lanes=lanes)
+    lanes = max(1, min(LANES, len(ids) // 64))
+    place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int32)
+    place[symbols] = np.arange(len(symbols))
+    state, words, marks = encode_lanes(place[ids], freq, start, lanes=lanes)
     directory = zlib.compress(doc_ids.astype("<i8").tobytes() + known.astype("u1").tobytes() + counts.astype("<u4").tobytes(), 1)
     body = directory + state.astype("<u8").tobytes() + b"".join(struct.pack("<II", step, at) + x.astype("<u8").tobytes() for step, at, x in marks) + words.astype("<u4").tobytes()
     return HEAD.pack(len(ids), len(doc_ids), lanes, len(words), len(marks), len(directory), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
@@ -172,16 +175,16 @@ def byte_model(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-BLOCKS = "part int, file int, block int, path string, at long, size long, n_tokens long, n_docs long, table_size long"
+BLOCKS = "part int, block int, path string, at long, size long, n_tokens long, n_docs long, table_at long, table_size long"
 
 
 def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | None = None) -> DataFrame:
     """Tokenizes doc_id and text, appends end_id to each document and writes archive files in ascending doc_id order.
 
     Returns the manifest, a row per block. Null texts count as empty (only the end id); null doc_ids come first; rows of
-    one doc_id stand by text. A range shuffle on doc_id orders the documents; each task writes its own files, holding at
-    most FILE_TOKENS ids (or one longer document) at a time. A retried task writes under a new name, and the manifest,
-    written by Spark, holds the names of committed attempts only.
+    one doc_id stand by text. A range shuffle on doc_id orders the documents; each task writes a file of its own, holding
+    GROUP_TOKENS ids (or one longer document) at a time. A retried task writes under a new name, and the manifest, written
+    by Spark, holds the names of committed attempts only.
     """
     spark = docs.sparkSession
     uri = uri or shared_dir(spark, "tokens")
@@ -191,37 +194,47 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
         from pyspark import TaskContext
 
         part, bpe, system, base = TaskContext.get().partitionId(), byte_model(tokenizer), *file_system(uri)
-        held: list[tuple[int | None, np.ndarray]] = []
-        total = files = 0
-
-        def flush():
-            ids = np.concatenate([x for _, x in held])
-            symbols, counts = np.unique(ids, return_counts=True)
+        path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.rans"
+        out, at, made = None, 0, 0
+        held: list[np.ndarray] = []
+        doc_ids: list[int | None] = []
+
+        def group() -> pa.RecordBatch:
+            nonlocal out, at, made
+            out = out or system.open_output_stream(path, compression=None)
+            symbols, counts = np.unique(np.concatenate(held), return_counts=True)
             freq = frequencies(counts)
-            path, rows = f"{base}/part-{part:06d}-{files:04d}-{uuid.uuid4().hex}.rans", []
-            with system.open_output_stream(path, compression=None) as out:
-                out.write(table := pack_table(symbols, freq))
-                at, first, n = len(table), 0, 0
-                for i, (_, x) in enumerate(held):
-                    n += len(x)
-                    if n >= BLOCK_TOKENS or i == len(held) - 1:
-                        group = held[first : i + 1]
-                        block = pack_block(np.concatenate([y for _, y in group]), symbols, freq, np.array([d or 0 for d, _ in group], np.int64), np.array([d is not None for d, _ in group]), np.array([len(y) for _, y in group]))
-                        out.write(block)
-                        rows.append((part, files, len(rows), path, at, len(block), n, len(group), len(table)))
-                        at, first, n = at + len(block), i + 1, 0
+            table, table_at = pack_table(symbols, freq), at
+            out.write(table)
+            at += len(table)
+            sizes = np.array([len(x) for x in held])
+            edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK_TOKENS, prepend=-1, append=2**62))
+            rows = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                known = np.array([d is not None for d in doc_ids[a:b]])
+                block = pack_block(np.concatenate(held[a:b]), symbols, freq, np.array([d or 0 for d in doc_ids[a:b]], np.int64), known, sizes[a:b])
+                out.write(block)
+                rows.append((part, made, path, at, len(block), int(sizes[a:b].sum()), int(b - a), table_at, len(table)))
+                at, made = at + len(block), made + 1
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
 
-        schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("block", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("table_size", pa.int64())])
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("path", pa.string()), *((name, pa.int64()) for name in ("at", "size", "n_tokens", "n_docs", "table_at", "table_size"))])
+        total = 0
         for batch, texts in slices(batches, "text"):
+            end = np.array([end_id], np.uint32)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(texts), strict=True):
-                held.append((doc_id, np.append(ids, np.uint32(end_id))))
+                held.append(np.concatenate([ids, end]))
+                doc_ids.append(doc_id)
                 total += len(ids) + 1
-                if total >= FILE_TOKENS:
-                    yield flush()
-                    held, total, files = [], 0, files + 1
+                if total >= GROUP_TOKENS:
+                    yield group()
+                    held.clear()
+                    doc_ids.clear()
+                    total = 0
         if held:
-            yield flush()
+            yield group()
+        if out is not None:
+            out.close()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -229,27 +242,27 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
 
 
 @lru_cache(8)
-def _table(uri: str, path: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _table(uri: str, path: str, at: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with file_system(uri)[0].open_input_file(path) as f:
-        return unpack_table(f.read_at(size, 0))
+        return unpack_table(f.read_at(size, at))
 
 
 def read_archive(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and token_ids, decoded from the files."""
-    order = ["part", "file", "block"]
+    order = ["part", "block"]
     files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per task that wrote
     before, total = {}, 0
     for row in files:
         before[row["part"]] = total
         total += row["n"]
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     base = manifest.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part int, base long")
     blocks = manifest.join(base, "part").withColumn("start", F.col("base") + F.coalesce(within, F.lit(0)))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                table = _table(row["uri"], row["path"], row["table_size"])
+                table = _table(row["uri"], row["path"], row["table_at"], row["table_size"])
                 with file_system(row["uri"])[0].open_input_file(row["path"]) as f:
                     doc_ids, known, counts, ids = unpack_block(f.read_at(row["size"], row["at"]), *table)
                 ends = np.cumsum(counts.astype(np.int64))
@@ -259,7 +272,7 @@ def read_archive(manifest: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(raw.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "start", "n_tokens", "ids_crc32", "token_ids"])
 
-    wide = blocks.select(*order, "path", "at", "size", "table_size", "uri", "start").repartition(partitions(manifest.sparkSession), *order)
+    wide = blocks.select(*order, "path", "at", "size", "table_at", "table_size", "uri", "start").repartition(partitions(manifest.sparkSession), *order)
     return wide.sortWithinPartitions("path", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, token_ids array<int>")
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 from docpipe.llm import spans
 
@@ -85,31 +87,41 @@ def bare_pieces(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class PieceCache:
-    """Ids of pre-tokens by their hash; emptied when it holds `most` (a bound on memory, not on the input)."""
+    """Ids of pre-tokens by their hash, in one growing array; emptied when it holds `most` pre-tokens (a bound on memory,
+    not on the input)."""
 
     def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
-        self.encode, self.most, self.held = encode, most, {}
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pre-tokens one after another, and each pre-token's count of ids."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        keys, first, inverse = np.unique(spans.hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        if len(self.held) > self.most:
-            self.held.clear()
-        held, joined, out = self.held, None, []
-        for key, i in zip(keys.tolist(), first.tolist(), strict=True):
-            got = held.get(key)
-            if got is None:
-                joined = "".join(texts) if joined is None else joined
-                got = held[key] = np.array(self.encode(joined[starts[i] : ends[i]]), np.uint32)
-            out.append(got)
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.concatenate(out) if out else np.zeros(0, np.uint32)
-        at = np.cumsum(sizes) - sizes
-        counts = sizes[inverse]
-        where = np.repeat(at[inverse] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return flat[where], counts
+        of, keys = pd.factorize(spans.hashes(codes, starts, ends))
+        if len(self.slots) > self.most:
+            self.clear()
+        get = self.slots.get
+        slot = np.fromiter((get(key, -1) for key in keys.tolist()), np.int64, len(keys))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            first = np.zeros(len(keys), np.int64)
+            first[of[::-1]] = np.arange(len(of))[::-1]
+            joined, begin, end = "".join(texts), starts[first[new]].tolist(), ends[first[new]].tolist()
+            found = [self.encode(joined[a:b]) for a, b in zip(begin, end, strict=True)]
+            slot[new] = np.arange(len(self.slots), len(self.slots) + len(new))
+            self.slots.update(zip(keys[new].tolist(), slot[new].tolist(), strict=True))
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(self.bounds[-1]) - len(self.flat))])
+        mine = slot[of]
+        at = self.bounds[mine]
+        counts = self.bounds[mine + 1] - at
+        where = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return self.flat[where], counts
 
 
 @cache
