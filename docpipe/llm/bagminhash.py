@@ -11,6 +11,7 @@ Jaccard similarity. Points later than every slot's time can't matter, so most pr
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import materialize, partitions, slices, text_or_empty
+from docpipe.llm.common import materialize, partitions, runs, slices, text_or_empty
 from docpipe.llm.components import components
 
 WORDS = 5
@@ -28,7 +29,11 @@ ROWS = 5
 SLOTS = BANDS * ROWS
 #: Pairs of a bucket that differ in label are verified from this estimate on; 5 standard errors below the threshold.
 ESTIMATE = 0.62
-BLOCK = 512
+#: A bucket's nodes are compared in blocks of about so many rows, or bytes of text.
+BLOCK, BLOCK_BYTES = 256, 1_000_000
+#: Rounds in which a bucket is compared with one hub before what is left is compared in full.
+HUB_ROUNDS = 2
+LAST_ID = 2**63 - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +66,8 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
             k = int(np.clip(8192 // len(of), 1, 64))
             bits = spans.mix(seed[:, None] + (np.arange(drawn, drawn + k, dtype=np.uint64) + np.uint64(1)) * STEP)
             waits = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-            times = time[:, None] + np.cumsum(waits, axis=1)
+            # summed from the left, point by point: the same bits whatever else is in the batch
+            times = np.cumsum(np.concatenate([time[:, None], waits], axis=1), axis=1)[:, 1:]
             more = spans.mix(bits ^ np.uint64(0x5851F42D4C957F2D))
             slot = (more >> np.uint64(32)) % np.uint64(slots)
             inside = (more & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[:, None] < room[:, None]
@@ -85,7 +91,7 @@ def similarity(a: str, b: str, words: int = WORDS) -> float:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (md5 of the text), bands (a key for each band; none without words) and 16 bits of each slot."""
+    """doc_id, node (md5 of the text), size, bands (a key for each band; none without words) and 16 bits of each slot."""
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -98,11 +104,44 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             some = np.isfinite(times[:, 0])
             lists = pa.array([list(k) if s else [] for k, s in zip(keys, some, strict=True)], pa.list_(pa.int64()))
             small = pa.array([x.tobytes() for x in (bits & np.uint64(0xFFFF)).astype("<u2")], pa.binary())
-            nodes = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, lists, small], ["doc_id", "node", "bands", "slots"])
+            data = [t.encode("utf-8", "surrogatepass") for t in texts]
+            nodes, sizes = pa.array([hashlib.md5(x).hexdigest() for x in data], pa.string()), pa.array([len(x) for x in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, sizes, lists, small], ["doc_id", "node", "size", "bands", "slots"])
 
     rows_in = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, node string, bands array<long>, slots binary")
+    return rows_in.mapInArrow(run, "doc_id long, node string, size long, bands array<long>, slots binary")
+
+
+class Bags:
+    """The multisets of some texts, for overlaps of one with several others."""
+
+    def __init__(self, texts: list[str]):
+        whole, parts, sizes = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], [], []
+        for _, held in slices(whole, "text"):
+            parts.append(multisets(held))
+            sizes.append(np.bincount(parts[-1][0], minlength=len(held)))
+        n = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(n)])
+        self.count = np.concatenate([np.zeros(0, np.int64), *(count for _, _, count in parts)])
+        self.element = np.unique(np.concatenate([np.zeros(0, np.uint64), *(element for _, element, _ in parts)]), return_inverse=True)[1].astype(np.int32)
+        total = np.concatenate([[0], np.cumsum(self.count)])
+        self.total = total[self.bounds[1:]] - total[self.bounds[:-1]]
+        self.held = np.zeros(int(self.element.max(initial=-1)) + 1, np.int64)
+
+    def overlaps(self, one: int, others: np.ndarray, most: int = 500_000) -> np.ndarray:
+        """sum(min) / sum(max) of one text's multiset and those of others; 0 if either has no words."""
+        mine = slice(self.bounds[one], self.bounds[one + 1])
+        self.held[self.element[mine]] = self.count[mine]
+        n = self.bounds[others + 1] - self.bounds[others]
+        shared = np.zeros(len(others), np.int64)
+        for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(n) // most)) + 1):
+            m = n[part]
+            at = np.repeat(self.bounds[others[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            least = np.minimum(self.held[self.element[at]], self.count[at])
+            shared[part] = np.bincount(np.repeat(np.arange(len(part)), m), least, len(part))
+        self.held[self.element[mine]] = 0
+        both = self.total[one] + self.total[others] - shared
+        return np.where((self.total[one] > 0) & (self.total[others] > 0), shared / np.maximum(both, 1), 0.0)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -111,99 +150,171 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
 
     def run(batches):
-        for batch in batches:
-            keep = [similarity(x, y) >= threshold for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch, left in slices(batches, "left"):
+            for part, right in slices([batch.append_column("at", pa.array(range(len(left))))], "right"):
+                at = part.column("at").to_pylist()
+                place = {text: i for i, text in enumerate(dict.fromkeys([*(left[i] for i in at), *right]))}
+                bags = Bags(list(place))
+                keep = [bags.overlaps(place[left[i]], np.array([place[text]]))[0] >= threshold for i, text in zip(at, right, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a string, b string")
 
 
-def cross_pairs(members: DataFrame, block: int = BLOCK, estimate: float = ESTIMATE) -> DataFrame:
-    """Pairs a < b of a bucket (key) that differ in label and whose slots agree to `estimate`, compared block by block.
+def first_shared(bands: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """The first band that a row shares with each of the others (which share one)."""
+    return (bands[others] == bands[one]).argmax(axis=1)
 
-    Large buckets are cut into blocks of about `block` rows; each pair of blocks is a group of its own, so no group grows
-    with the bucket.
+
+def partners(group: pa.Table, estimate: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a pair of blocks, each with the rows that differ from it in label and agree with it to `estimate`.
+
+    A pair that shares several bands is left to the bucket of the first.
+    """
+    label = np.unique(np.array(group.column("label").to_pylist()), return_inverse=True)[1]
+    node, mine = np.array(group.column("node").to_pylist()), group.column("mine").to_numpy()
+    slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), "<u2").reshape(len(label), -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(label), -1)
+    of = group.column("g")[0].as_py()
+    one, two = np.flatnonzero(mine == of["i"]), np.flatnonzero(mine == of["j"])
+    if not len(two) or (label == label[0]).all():
+        return
+    for x in one.tolist():
+        near = two[label[two] != label[x]]
+        if of["i"] == of["j"]:
+            near = near[node[near] > node[x]]
+        near = near[(slots[near] == slots[x]).mean(axis=1) >= estimate] if len(near) else near
+        near = near[bands[near, first_shared(bands, x, near)] == of["key"]] if len(near) else near
+        if len(near):
+            yield x, near
+
+
+def block_groups(members: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`members` (key, n, bytes, node, label, slots, bands) dealt to pairs of blocks: g (key, i, j) and mine, the row's block.
+
+    Large buckets are cut into blocks; each pair of blocks is a group of its own, so no group grows with the bucket.
+    """
+    n = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    left = members.withColumn("mine", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    g = F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("g")
+    return left.select(g, "mine", "node", "label", "slots", "bands")
+
+
+ROWS_OF = "g struct<key:bigint,i:int,j:int>, mine int, node string, label string, slots binary, bands array<long>"
+
+
+def with_partners(groups: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
+    """The rows of `groups` that have a partner, or are one, in their group: at most all of them."""
+    names = ["g", "mine", "node", "label", "slots", "bands"]
+
+    def run(batches):
+        for _, group in runs(batches, "g"):
+            wanted = np.zeros(group.num_rows, bool)
+            for x, near in partners(group, estimate):
+                wanted[x] = wanted[near] = True
+            if wanted.any():
+                yield from group.filter(pa.array(wanted)).select(names).combine_chunks().to_batches()
+
+    keyed = groups.repartition(partitions(groups.sparkSession), "g").sortWithinPartitions("g")
+    return keyed.mapInArrow(run, ROWS_OF)
+
+
+def group_links(rows: DataFrame, texts: DataFrame, threshold: float, estimate: float = ESTIMATE) -> DataFrame:
+    """Links a, b between rows of a group that differ in label: a spanning forest of those with the overlap, so at most one
+    for each row. All partners are compared in full, but for pairs that links of the group connect already.
     """
-    n = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), n)
-    left = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    keyed = left.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "slots")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def pairs(group: pa.Table):
-            label = np.array(group.column("label").to_pylist())
-            node, slots = np.array(group.column("node").to_pylist()), np.frombuffer(b"".join(group.column("slots").to_pylist()), "<u2").reshape(len(label), -1)
-            i, j, mine = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("mine").to_numpy()
-            one, two = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            a, b = [], []
-            for x in one:
-                near = two[(slots[two] == slots[x]).mean(axis=1) >= estimate] if len(two) else two
-                for y in near[(label[near] != label[x]) & ((node[near] > node[x]) | (i != j))]:
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-        last = None
-        for batch in batches:
-            keys = list(zip(batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True))
-            start = 0
-            for at in range(len(keys)):
-                if keys[at] != last:
-                    if at > start:
-                        held.append(batch.slice(start, at - start))
-                    if held:
-                        yield pairs(pa.Table.from_batches(held))
-                    held, start, last = [], at, keys[at]
-            held.append(batch.slice(start))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    grouped = keyed.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(run, "a string, b string").distinct()
+        for _, group in runs(batches, "g"):
+            bags, node = Bags(group.column("text").to_pylist()), group.column("node").to_pylist()
+            parent = dict.fromkeys(group.column("label").to_pylist())
+            label, a, b = group.column("label").to_pylist(), [], []
+
+            def root(x: str) -> str:
+                while parent[x] is not None:  # noqa: B023
+                    x = parent[x]  # noqa: B023
+                return x
+
+            for x, near in partners(group, estimate):
+                near = np.array([y for y in near.tolist() if root(label[y]) != root(label[x])], np.int64)
+                if not len(near):
+                    continue
+                for y in near[bags.overlaps(x, near) >= threshold].tolist():
+                    one, two = root(label[x]), root(label[y])
+                    if one != two:
+                        parent[one] = two
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    keyed = rows.join(texts, "node").repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g")
+    return keyed.mapInArrow(run, "a string, b string")
+
+
+def hub_pairs(labelled: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """Pairs a < b of each node with the hub of its bucket, if they differ in label.
+
+    The hub is drawn by chance, the likelier the more links a node has; the same nodes are drawn in many buckets.
+    """
+    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
+    links = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    chance = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_003)) + 1) / F.lit(1_000_005.0)
+    weight = F.pow(chance, 1 / (F.coalesce("links", F.lit(0)) + 1))
+    hubs = labelled.join(links, "node", "left").groupBy("key").agg(F.max_by(F.struct("node", "label"), weight).alias("hub"))
+    return labelled.join(hubs, "key").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_md5, class_id (the smallest doc_id of the class) and class_size, a row per input row.
 
     Exact copies are one node (null texts count as empty; empty texts are copies of each other, wordless texts link to
-    nothing else). Nodes that share a band key are compared first with the smallest node of the bucket; buckets whose
-    nodes then still differ in class are searched for links between classes, block by block. A link is a multiset overlap
-    of at least `threshold`; classes are the connected components. Rows with a null doc_id take part; a class of only
-    such rows has a null class_id.
+    nothing else). Nodes that share a band key are compared first with the smallest node of the bucket, then with hubs;
+    buckets whose nodes still differ in class are compared in full, block by block. A link is a multiset overlap of at
+    least `threshold`; classes are the connected components. Rows with a null doc_id take part; a class of only such rows
+    has a null class_id.
     """
     sigs = materialize(sketches(docs, bands, rows), "sketches")
-    nodes = sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
-    nodes = materialize(nodes, "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    heads = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
-    members = materialize(keys.join(heads, "key"), "members")
-    first = materialize(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("first"), text_or_empty().alias("text")).withColumn("node", F.md5("text"))
+    one = {name: F.first(name).alias(name) for name in ("size", "bands", "slots")}
+    nodes = materialize(sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), *one.values()), "nodes")
+    keys = nodes.select("node", "size", F.explode("bands").alias("key"))
+    heads = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "heads")
+    members = materialize(keys.drop("size").join(heads, "key"), "members")
+    shared = materialize(members.select("node").distinct(), "shared")
+
+    wanted = shared.join(nodes.select("node", "first"), "node")
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("first"), text_or_empty().alias("text")).withColumn("node", F.md5("text"))
     texts = materialize(texts.join(wanted, ["first", "node"]).dropDuplicates(["first", "node"]).select("node", "text"), "texts")
 
-    edges = materialize(verify(first, texts, threshold), "verified")
-    labels = components(edges)
+    tried = materialize(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    edges = materialize(verify(tried, texts, threshold), "verified")
     label = F.coalesce("label", "node").alias("label")
-    known = materialize(members.select("node").distinct().join(labels, "node", "left").select("node", label), "known")
-    labelled = members.join(known, "node")
-    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
-    if not mixed.isEmpty():
-        rest = labelled.join(mixed, "key").join(nodes.select("node", "slots"), "node").select("key", "n", "node", "label", "slots")
-        second = materialize(cross_pairs(rest).join(first, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verify(second, texts, threshold), "verified")
+    labels = components(edges)
+
+    def mixed() -> DataFrame:
+        """The members, with labels, of buckets in which labels differ."""
+        labelled = members.drop("head").join(shared.join(labels, "node", "left").select("node", label), "node")
+        differ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        return materialize(labelled.join(differ, "key"), "mixed")
+
+    rest = mixed()
+    for seed in range(HUB_ROUNDS):
+        pairs = materialize(hub_pairs(rest.select("key", "node", "label"), edges, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(verify(pairs, texts, threshold), "verified")
         if not more.isEmpty():
-            labels = components(edges.unionByName(more))
+            tried, edges = tried.unionByName(pairs), edges.unionByName(more)
+            labels = components(edges)
+            rest = mixed()
+    found = with_partners(block_groups(rest.join(nodes.select("node", "slots", "bands"), "node")))
+    more = materialize(group_links(materialize(found, "partners"), texts, threshold), "verified")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     of_node = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", label)
     classes = materialize(of_node.groupBy("label").agg(F.min("first").alias("class_first")), "classes")
     node_class = materialize(of_node.join(classes, "label").select("node", "class_first"), "node-classes")
     out = sigs.select("doc_id", "node").join(node_class, "node")
     sizes = materialize(out.groupBy("class_first").agg(F.count("*").alias("class_size")), "sizes")
-    return out.join(sizes, "class_first").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {2**63 - 1})").alias("class_id"), "class_size")
+    return out.join(sizes, "class_first").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

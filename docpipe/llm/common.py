@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +57,17 @@ def text_or_empty(name: str = "text"):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cuts Arrow batches so that each slice holds about `chars` characters of `column`, or one longer row."""
+    """Cuts Arrow batches so that each slice holds about `chars` bytes of `column`, or one longer row; only a slice's texts
+    are Python strings at a time."""
     for batch in batches:
-        texts = ["" if x is None else x for x in batch.column(column).to_pylist()]
-        start, held = 0, 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        values = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(values):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + chars, "right")))
+            yield batch.slice(start, stop - start), ["" if x is None else x for x in values.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, pa.Table]]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -35,7 +35,7 @@ def classes() -> np.ndarray:
     return table
 
 
-@cache
+@lru_cache(4)
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
