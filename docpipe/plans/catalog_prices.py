@@ -51,7 +51,7 @@ SCORES = f"select l_orderkey, l_linenumber, l_partkey, ({_thousandths('u', 'n',
 
 def best_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.run(spark, sf_dir, ROWS_INPUT).withColumn("c", prices.price_candidates(F.col("row_text"), "fixed"))
-    best = rows.withColumn("b", prices.best_triple(F.col("c"), F.col("q").cast("decimal(18,4)")))
+    best = prices.with_best_triple(rows, "c", F.col("q").cast("decimal(18,4)"), "b")
     money = [F.col(f"b.{name}").cast("double").alias(name) for name in ("score", "unit", "net", "gross")]
     return best.select("doc_id", "item_no", *money)
 

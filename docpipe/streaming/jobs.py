@@ -71,11 +71,12 @@ def retained(jobs: DataFrame, now: Column, seconds: int = RETENTION) -> DataFram
 def transition(held: tuple | None, action: str, stage: str | None, progress: float | None, message: str | None) -> tuple:
     """next_state for one event, for use in a stream's state."""
     status, done, at, said, n = held or (None, None, None, None, 0)
+    if status in (None, *OPEN) and message is not None:
+        said = message
     if status is None and action == "create":
-        return "started", 0, "upload", message, n + 1
+        return "started", 0, "upload", said, n + 1
     if status not in OPEN:
-        return status, done, at, message or said if status is None else said, n + 1
-    said = said if message is None else message
+        return status, done, at, said, n + 1
     if action == "update":
         done = max(0, min(100, int(progress or 0)))
         return "processing", done, stage or at, said, n + 1
@@ -85,7 +86,10 @@ def transition(held: tuple | None, action: str, stage: str | None, progress: flo
 
 
 def streaming_states(events: DataFrame, late: str = "10 minutes", idle_seconds: int = RETENTION) -> DataFrame:
-    """job_states over a stream (EVENT): a row for a job whenever its state changes; idle jobs' state is dropped."""
+    """job_states over a stream (EVENT): a row for a job whenever its state changes.
+
+    The state of a job is dropped once the watermark is `idle_seconds` past its last event.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,9 +101,9 @@ def streaming_states(events: DataFrame, late: str = "10 minutes", idle_seconds:
         for row in rows.itertuples():
             held = transition(held, row.action, row.stage if isinstance(row.stage, str) else None, None if pd.isna(row.progress) else row.progress, row.message if isinstance(row.message, str) else None)
         state.update(held)
-        state.setTimeoutDuration(idle_seconds * 1000)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if held != before:
             yield pd.DataFrame([(key[0], *held)], columns=["job_id", "status", "progress", "stage", "message", "n_events"]).astype({"progress": "Int64"})
 
     state_type = "status string, progress int, stage string, message string, n_events long"
-    return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(run, STATE, state_type, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("job_id").applyInPandasWithState(run, STATE, state_type, "update", GroupStateTimeout.EventTimeTimeout)
