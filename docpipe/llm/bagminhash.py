@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import materialize, partitions, runs, slices, text_or_empty
+from docpipe.llm.common import bounded_batches, materialize, partitions, runs, slices, text_or_empty
 from docpipe.llm.components import components
 
 WORDS = 5
@@ -32,7 +32,7 @@ ESTIMATE = 0.62
 #: A bucket's nodes are compared in blocks of about so many rows, or bytes of text.
 BLOCK, BLOCK_BYTES = 256, 1_000_000
 #: Rounds in which a bucket is compared with one hub before what is left is compared in full.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 LAST_ID = 2**63 - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,11 +273,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     least `threshold`; classes are the connected components. Rows with a null doc_id take part; a class of only such rows
     has a null class_id.
     """
+    bounded_batches(docs.sparkSession)
     sigs = materialize(sketches(docs, bands, rows), "sketches")
     one = {name: F.first(name).alias(name) for name in ("size", "bands", "slots")}
     nodes = materialize(sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), *one.values()), "nodes")
     keys = nodes.select("node", "size", F.explode("bands").alias("key"))
-    heads = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "heads")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     members = materialize(keys.drop("size").join(heads, "key"), "members")
     shared = materialize(members.select("node").distinct(), "shared")
 
@@ -305,15 +306,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             labels = components(edges)
             rest = mixed()
     found = with_partners(block_groups(rest.join(nodes.select("node", "slots", "bands"), "node")))
-    more = materialize(group_links(materialize(found, "partners"), texts, threshold), "verified")
+    more = materialize(group_links(found, texts, threshold), "verified")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
     of_node = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", label)
-    classes = materialize(of_node.groupBy("label").agg(F.min("first").alias("class_first")), "classes")
+    classes = of_node.groupBy("label").agg(F.min("first").alias("class_first"))
     node_class = materialize(of_node.join(classes, "label").select("node", "class_first"), "node-classes")
     out = sigs.select("doc_id", "node").join(node_class, "node")
-    sizes = materialize(out.groupBy("class_first").agg(F.count("*").alias("class_size")), "sizes")
+    sizes = out.groupBy("class_first").agg(F.count("*").alias("class_size"))
     return out.join(sizes, "class_first").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
 
 

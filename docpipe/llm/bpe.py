@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docpipe.llm import spans, tokens
-from docpipe.llm.common import slices, text_or_empty
+from docpipe.llm.common import bounded_batches, slices, text_or_empty
 
 
 class ForcedBoundaryBPE:
@@ -34,7 +34,8 @@ class ForcedBoundaryBPE:
         self.inner = models.BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self.last = models.BPE(vocab=self.vocab, merges=merges, cache_capacity=0, end_of_word_suffix=self.suffix or None)
         self.joined = self._pairs_inside_tokens()
-        self.encode_fragment = lru_cache(100_000)(self._merge)
+        tokens.read_model.cache_clear()
+        self.encode_fragment = lru_cache(30_000)(self._merge)
         self.pieces = tokens.PieceCache(self.encode_piece)
         n = max([*self.vocab.values(), *(x["id"] for x in model["added_tokens"])]) + 1
         self.texts = [""] * n
@@ -115,11 +116,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> Dat
     Null texts count as empty; an empty text has no ids and decodes to "". Repeated rows stay repeated; other columns
     of `docs` are dropped, so their names can't clash. One narrow pass: no shuffle, texts of any length.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * keep_ids
 
     def run(batches):
         bpe = model(tokenizer)
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 1_000_000):
             rows: list[list] = [[], [], [], [], []]
             for ids in bpe.encode(texts):
                 text = bpe.decode(ids)

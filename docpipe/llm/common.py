@@ -52,11 +52,22 @@ def make_dir(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
+def bounded_batches(spark: SparkSession, most_mb: int = 16) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that Python workers hold little of long texts at a time.
+
+    Sessions with a lower limit keep it; it changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None) or ""
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most_mb << 20:
+        spark.conf.set(name, f"{most_mb << 20}b")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 300_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cuts Arrow batches so that each slice holds about `chars` bytes of `column`, or one longer row; only a slice's texts
     are Python strings at a time."""
     for batch in batches:
@@ -68,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_000_00
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + chars, "right")))
             yield batch.slice(start, stop - start), ["" if x is None else x for x in values.slice(start, stop - start).to_pylist()]
             start = stop
+        pa.default_memory_pool().release_unused()  # workers live on; what they hold of a batch should not
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, pa.Table]]:

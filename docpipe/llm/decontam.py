@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import slices, text_or_empty
+from docpipe.llm.common import bounded_batches, slices, text_or_empty
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -95,6 +95,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     made of the same words. Repeated documents repeat their rows; of rows with one item_id and different texts the best
     counts. Documents are read once for each block of items (one block up to MOST_SHINGLES) and never shuffled.
     """
+    bounded_batches(docs.sparkSession)
     spark, out = docs.sparkSession, None
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     for sketches in item_blocks(items, threshold, most):
@@ -122,13 +123,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the documents that contain an item, with all their columns; rows with a null doc_id stay unless they do."""
-    key = F.struct(F.col("doc_id"), F.md5(text_or_empty()))
-    marked = docs.withColumn("__row_key", F.to_json(key))
-    keyed = docs.select(F.xxhash64(F.to_json(key)).alias("doc_id"), "text")
-    bad = contaminated(keyed, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return marked.join(bad, F.xxhash64("__row_key") == F.col("__bad"), "left_anti").drop("__row_key")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, most: int = MOST_SHINGLES) -> DataFrame:
+    """`docs` without the rows that contain an item, with all their columns; null texts contain nothing.
+
+    Narrow passes, one for each block of items: no document is shuffled, and each row is judged by its own text.
+    """
+    bounded_batches(docs.sparkSession)
+    out = docs
+    for sketches in item_blocks(items, threshold, most):
+        held = docs.sparkSession.sparkContext.broadcast(sketches)
+
+        def run(batches, held=held):
+            for batch, texts in slices(batches, "text"):
+                hashes, bounds = spans.shingles(texts, WORDS)
+                clean = [next(held.value.matches(hashes[a:b]), None) is None for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 ORACLE = """

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import file_system, make_dir, materialize, partitions, runs, shared_dir, slices, text_or_empty
+from docpipe.llm.common import bounded_batches, file_system, make_dir, materialize, partitions, runs, shared_dir, slices, text_or_empty
 
 SIZE = 50
 ANCHOR = 20
@@ -323,6 +323,7 @@ def removed_spans(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = CH
     Null texts count as empty; texts shorter than SIZE bytes lose nothing. Rows of one doc_id are not earlier than each
     other; rows with a null doc_id come after all others. Strings are judged on the input, not on what is left.
     """
+    bounded_batches(docs.sparkSession)
     spark, uri = docs.sparkSession, shared_dir(docs.sparkSession, "texts")
     buckets = 4 * partitions(spark)
     chunks = write_chunks(docs, uri, chunk_bytes)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import slices, text_or_empty
+from docpipe.llm.common import bounded_batches, slices, text_or_empty
 
 PASSAGE = 400
 #: Labelled documents to fit on, at the most; half of each label, by the smallest hashes of doc_id.
@@ -172,6 +172,7 @@ def scored(docs: DataFrame, model: AttentionMIL) -> DataFrame:
     Null texts count as empty and are scored as a passage of nothing; repeated rows repeat; a null doc_id is never held
     out. With no usable labels every score is 0.5; with one kind only, that label. One narrow pass.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -190,6 +191,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text the fitted model accepts."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):

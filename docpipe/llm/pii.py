@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm.boosting import BoostedTrees
-from docpipe.llm.common import slices, text_or_empty
+from docpipe.llm.common import bounded_batches, slices, text_or_empty
 
 # The kinds in their order, and the base patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -195,6 +195,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null texts count as empty: no spans, the hash of the empty string. Repeated rows repeat. One narrow pass over whole
     texts; offsets count code points.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
@@ -226,6 +227,7 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with every span of its texts replaced by its kind in brackets, and n_chars, if there, counted anew. Nulls stay."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):

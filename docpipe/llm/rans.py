@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans, tokens
-from docpipe.llm.common import file_system, make_dir, materialize, partitions, shared_dir, slices, text_or_empty
+from docpipe.llm.common import bounded_batches, file_system, make_dir, materialize, partitions, shared_dir, slices, text_or_empty
 
 MAGIC = b"DPRANS01"
 BITS = 18
@@ -157,6 +157,7 @@ class ByteBPE:
 
         self.whole = Tokenizer.from_file(path)
         self.specials = [x["content"] for x in tokens.read_model(path)["added_tokens"]]
+        tokens.read_model.cache_clear()
         merge = self.whole.model.tokenize
         self.pieces = tokens.PieceCache(lambda piece: [x.id for x in merge(tokens.letters_of(piece))])
 
@@ -187,6 +188,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
     by Spark, holds the names of committed attempts only.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     uri = uri or shared_dir(spark, "tokens")
     make_dir(uri)
 
@@ -220,7 +222,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
 
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("path", pa.string()), *((name, pa.int64()) for name in ("at", "size", "n_tokens", "n_docs", "table_at", "table_size"))])
         total = 0
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 1_000_000):
             end = np.array([end_id], np.uint32)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(texts), strict=True):
                 held.append(np.concatenate([ids, end]))

@@ -90,7 +90,7 @@ class PieceCache:
     """Ids of pre-tokens by their hash, in one growing array; emptied when it holds `most` pre-tokens (a bound on memory,
     not on the input)."""
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 200_000):
         self.encode, self.most = encode, most
         self.clear()
 
