@@ -275,8 +275,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     bounded_batches(docs.sparkSession)
     sigs = materialize(sketches(docs, bands, rows), "sketches")
-    one = {name: F.first(name).alias(name) for name in ("size", "bands", "slots")}
-    nodes = materialize(sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), *one.values()), "nodes")
+    one = [F.first(name).alias(name) for name in ("size", "bands", "slots")]
+    nodes = materialize(sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), F.count("*").alias("copies"), *one), "nodes")
     keys = nodes.select("node", "size", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     members = materialize(keys.drop("size").join(heads, "key"), "members")
@@ -310,12 +310,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
-    of_node = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", label)
-    classes = of_node.groupBy("label").agg(F.min("first").alias("class_first"))
-    node_class = materialize(of_node.join(classes, "label").select("node", "class_first"), "node-classes")
-    out = sigs.select("doc_id", "node").join(node_class, "node")
-    sizes = out.groupBy("class_first").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_first").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
+    of_node = nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", "first", "copies", label)
+    classes = of_node.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_size"))
+    node_class = materialize(of_node.join(classes, "label").select("node", "class_first", "class_size"), "node-classes")
+    return sigs.select("doc_id", "node").join(node_class, "node").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
