@@ -1,9 +1,10 @@
 """Personal data: candidate gradient boosting.
 
 Fixed patterns give the base spans, which always stay. High-recall generators propose further, overlapping spans (spelled
-out addresses, numbers without a plus, account and insurance numbers, what fails a base check). Boosted trees score each
-proposal from its format and its context, and those past a calibrated threshold that overlap no chosen span are added.
-The trees are fitted on generated, labelled examples: formats in prose, cues and look-alikes.
+out addresses, numbers without a plus, account and insurance numbers, and the parts of what fails a base check: items beside
+other numbers). Boosted trees score each proposal from its format and its context, and those past a calibrated threshold
+that overlap no chosen span are added. The trees are fitted on generated, labelled examples: formats in prose, cues and
+look-alikes, alone and beside other numbers.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
@@ -82,6 +84,11 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 DIGIT = re.compile(r"[0-9]")
+GROUP = re.compile(r"[0-9]+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+PLUS = re.compile(r"\+[0-9][\x20()./0-9-]*[0-9]")
+DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]")
+DATE_NEXT = re.compile(r" (?:(?:19|20)[0-9]{2}-[01][0-9]|[0-3]?[0-9][./][01]?[0-9][./](?:19|20)|[01][0-9]/[0-9]{2}(?![0-9]))")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -100,10 +107,75 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], BASE_KINDS.index(s[2])))
 
 
+def digit_groups(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in GROUP.finditer(text, start, end)]
+
+
+def card_parts(text: str, groups: list[tuple[int, int]], least: int = 1) -> list[tuple[int, int, str]]:
+    """Sub-runs of at least `least` whole groups that have 12 to 19 digits and pass Luhn."""
+    out = []
+    for i, (start, _) in enumerate(groups):
+        digits = ""
+        for j, (a, b) in enumerate(groups[i:], 1):
+            if len(digits) + b - a > 19:
+                break
+            digits += text[a:b]
+            if len(digits) >= 12 and j >= least and luhn(digits):
+                out.append((start, b, "card"))
+    return out
+
+
+def failed_parts(text: str) -> list[tuple[int, int, str]]:
+    """What a base match that fails its check may hold beside other numbers; parts of sound matches overlap these.
+
+    Cards in runs of digit groups and in dotted ones, quads inside longer dotted runs, pieces of 9 to 15 digits after a plus.
+    """
+    out = []
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 12:
+            out += card_parts(text, digit_groups(text, *m.span()))
+    for m in DOTTED.finditer(text) if "." in text else ():
+        groups = digit_groups(text, *m.span())
+        out += card_parts(text, groups, 2)
+        small = [len(text[a:b].lstrip("0")) <= 3 and int(text[a:b]) <= 255 for a, b in groups] if len(groups) > 4 else []
+        out += [(groups[i][0], groups[i + 3][1], "ip") for i in range(len(small) - 3) if all(small[i : i + 4])]
+    for m in PLUS.finditer(text) if "+" in text else ():
+        digits = 0
+        for a, b in digit_groups(text, *m.span()):
+            digits += b - a
+            if digits > 15:
+                break
+            if digits >= 9 and text.count("(", m.start(), b) == text.count(")", m.start(), b):
+                out.append((m.start(), b, "phone"))
+    return out
+
+
 def proposals(text: str) -> list[tuple[int, int, str]]:
-    if not DIGIT.search(text) and not re.search(r"\bat\b|\[at\]|\(at\)", text, re.I):
+    numbers = DIGIT.search(text)
+    if not numbers and not re.search(r"\bat\b|\[at\]|\(at\)", text, re.I):
         return []
-    return [(m.start(), m.end(), kind) for kind, pattern in PROPOSALS for m in pattern.finditer(text)]
+    out = [(m.start(), m.end(), kind) for kind, pattern in PROPOSALS for m in pattern.finditer(text)]
+    return out + failed_parts(text) if numbers else out
+
+
+def free(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of `found` that overlap no base span."""
+    ends = sorted((b, a) for a, b, _ in base)
+    lows = [a for _, a in ends]
+    for i in range(len(lows) - 2, -1, -1):
+        lows[i] = min(lows[i], lows[i + 1])
+    out = []
+    for s in found:
+        at = bisect_left(ends, (s[0] + 1, -1))  # the first base span that ends after the start
+        if at == len(ends) or lows[at] >= s[1]:
+            out.append(s)
+    return out
+
+
+def brand_fits(digits: str) -> bool:
+    """Whether a number begins and is as long as those of the large card schemes."""
+    n, two = len(digits), digits[:2]
+    return (digits[:1] == "4" and n in (13, 16, 19)) or (n == 16 and (two in ("51", "52", "53", "54", "55", "65") or "2221" <= digits[:4] <= "2720" or digits[:4] == "6011")) or (n == 15 and two in ("34", "37")) or (n == 14 and two in ("30", "36", "38"))
 
 
 def features(text: str, span: tuple[int, int, str]) -> list[float]:
@@ -112,7 +184,8 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     digits = "".join(c for c in inside if "0" <= c <= "9")
     groups = [len(x) for x in re.findall(r"[0-9]+", inside)]
     tail = inside.rpartition(".")[2].lower()
-    cue = lambda words, where: float(any(re.search(r"(?<![a-z])" + w, where) for w in words))
+    cue = lambda words, where: float(bool(re.search(r"(?<![a-z])(?:" + "|".join(words) + ")", where)))
+    last, following = re.search(r"([0-9]+)[ ./-]$", before), re.match(r"[ ./-]([0-9]+)", after)
     return [
         *(float(kind == k) for k in KINDS),
         len(inside), len(digits), len(groups), max(groups, default=0), min(groups, default=0),
@@ -121,11 +194,15 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
         float("[" in inside or "(at" in inside.lower()), float(" dot " in inside.lower() or "[dot]" in inside.lower() or "(dot)" in inside.lower()),
         float(tail in ("com", "org", "net", "edu", "de", "fr", "es", "io", "gov", "info")),
         cue(CUES[kind], before), cue(CUES[kind], after), cue(AGAINST, before), float(before[-1:].isdigit()), float(after[:1].isdigit()),
+        float(inside.startswith("+")), len(last[1]) if last else 0, len(following[1]) if following else 0, float(brand_fits(digits)),
+        float(kind == "card" and any(brand_fits(x) and luhn(x) for x in re.findall(r"[0-9]+", text[max(0, start - 20) : start] + " " + text[end : end + 20]))),
+        float(len(groups) == 1 or (set(groups[:-1]) == {4} and groups[-1] <= 4)), float(len(set(re.findall(r"[ ./-]", inside)))),
+        float(bool(DATE_NEXT.match(after))), float(bool(DATE.search(text, start, min(len(text), end + 3)))),
         float(kind == "ssn" and digits[:3] not in ("000", "666") and digits[:1] != "9" and digits[3:5] != "00" and digits[5:] != "0000"),
     ]
 
 
-def examples(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def examples(n: int = 18000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Proposals in generated sentences, with whether each is personal data."""
     rng, x, y = random.Random(seed), [], []
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -137,6 +214,46 @@ def examples(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         plain = f"DE{check:02d}{body}"
         return plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
 
+    def card() -> str:
+        start, n = rng.choice((("4", 16), ("4", 16), (str(rng.randint(51, 55)), 16), (rng.choice(("34", "37")), 15), ("6011", 16)))
+        body = start + digits(n - 1 - len(start))
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    def grouped(plain: str, by: str) -> str:
+        return by.join(plain[i : i + 4] for i in range(0, len(plain), 4))
+
+    def number() -> str:
+        return rng.choice((digits(rng.randint(1, 4)), digits(rng.randint(1, 3)), digits(rng.randint(5, 8)), date(), f"{rng.randint(1, 12):02d}/{rng.randint(24, 39)}"))
+
+    def date() -> str:
+        return f"{rng.randint(1990, 2039)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+
+    def failing() -> tuple[str, list[tuple[str, str | None]]]:
+        """The kind of an item that stands beside other numbers, and all pieces of text with the kinds of those that are items."""
+        kind = rng.choice(("card", "card", "ip", "phone"))
+        if kind == "phone":
+            country = rng.choice(("1", "49", "44", "33", "34", "39", "351", "420"))
+            if rng.random() < 0.25:
+                return kind, [(f"+{country} {digits(rng.choice((2, 3)))}/{digits(rng.choice((6, 7)))}", kind)]
+            one = rng.choice((f"+{country} {digits(rng.choice((2, 3)))} {digits(7)}", f"+{country} ({digits(2)}) {digits(7)}", f"+{country}{digits(rng.choice((9, 10)))}", f"+{country} {digits(3)} {digits(3)} {digits(4)}", f"+{country}-{digits(3)}-{digits(3)}-{digits(4)}"))
+            return kind, [(one, kind), (" ", None), rng.choice(((f"{date()} {digits(rng.randint(1, 4))}", None), (date(), None), (card(), "card"), (digits(rng.randint(8, 12)), None)))]
+        if kind == "ip":
+            quad = ".".join(str(rng.randint(0 if i else 1, 255)) for i in range(4))
+            return kind, [(f"{rng.choice((rng.randint(256, 999), rng.randint(1000, 65535)))}.", None), (quad, kind), (rng.choice(("", "", "", f".{rng.randint(256, 65535)}")), None)]
+        if rng.random() < 0.25:
+            return kind, [(grouped(card(), "."), kind)]
+        by, side = rng.choice(("", " ", "-")), rng.random()
+        out = [(grouped(card(), by), kind)]
+        if side < 0.4:
+            out = [(number(), None), (" ", None), *out]
+        if side > 0.3:
+            out += [(" ", None), (grouped(card(), by), kind) if rng.random() < 0.5 else (number(), None)]
+        return kind, out
+
+    def look_alike() -> str:
+        """Numbers that fail a base check as a whole and hold no item."""
+        return rng.choice((" ".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(5, 14))), "-".join(digits(rng.randint(2, 5)) for _ in range(rng.randint(4, 8))), " ".join(digits(rng.choice((8, 12, 13, 14, 16))) for _ in range(rng.randint(2, 4))), ".".join(str(rng.randint(0, 30)) for _ in range(rng.randint(5, 8))), f"{rng.randint(1990, 2039)}.{'.'.join(str(rng.randint(0, 31)) for _ in range(rng.randint(4, 6)))}", ".".join(digits(rng.randint(2, 5)) for _ in range(rng.randint(4, 7))), f"+{digits(rng.randint(1, 3))} {' '.join(digits(rng.randint(1, 6)) for _ in range(rng.randint(4, 9)))}", f"+{digits(2)}.{digits(2)} {' '.join(f'{digits(2)}.{digits(2)}' for _ in range(rng.randint(3, 6)))}"))
+
     def good() -> tuple[str, str]:
         kind = rng.choice(("email", "phone", "phone", "iban", "ssn"))
         if kind == "email":
@@ -152,16 +269,22 @@ def examples(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         return rng.choice((f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(3)} {digits(2)} {digits(3)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(2)}-{digits(2)}-{digits(3)}-{digits(2)}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(9)}", f"AB{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}"))
 
     while len(x) < n:
-        real = rng.random() < 0.5
-        kind, value = good() if real else (None, bad())
+        real, beside = rng.random() < 0.5, rng.random() < 0.5
+        kind, value = (failing() if beside else good()) if real else (None, look_alike() if beside else bad())
         cue = rng.choice(CUES[kind]) if real and rng.random() < 0.85 else rng.choice(AGAINST) if not real and rng.random() < 0.6 else word()
-        if real and cue not in CUES[kind] and kind != "iban":
+        if real and cue not in CUES[kind] and kind not in ("iban", "card"):
             real = False  # without a cue a bare number is no evidence
-        text = f"{word()} {word()} {cue}{rng.choice((': ', ' ', ' is ', ' no. '))}{value} {word()} {word()}."
-        for span in proposals(text):
+        head = f"{word()} {word()} {cue}{rng.choice((': ', ' ', ' is ', ' no. '))}"
+        items, at = set(), len(head)
+        for piece, held in value if isinstance(value, list) else ():
+            items |= {(at, at + len(piece), held)} if held else set()
+            at += len(piece)
+        value = "".join(piece for piece, _ in value) if isinstance(value, list) else value
+        text = f"{head}{value} {word()} {word()}."
+        for span in free(proposals(text), base_spans(text)):
             if text[span[0] : span[1]] in value or value in text[span[0] : span[1]]:
                 x.append(features(text, span))
-                y.append(float(real and span[2] == kind))
+                y.append(float(real and (span in items if items else span[2] == kind)))
     return np.array(x[:n]), np.array(y[:n])
 
 
@@ -170,18 +293,21 @@ def model() -> BoostedTrees:
     """Fitted on two thirds of the examples and calibrated on the rest; the same in every process."""
     x, y = examples()
     cut = len(x) * 2 // 3
-    return BoostedTrees(trees=40).fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:])
+    return BoostedTrees(trees=60).fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:])
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], trees: BoostedTrees, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Proposals past the threshold that overlap neither a base span nor a likelier proposal."""
-    found = [s for s in proposals(text) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+    found = free(proposals(text), base)
     if not found:
         return []
     p, out = trees.probability(np.array([features(text, s) for s in found])), []
     for i in np.argsort(-p, kind="stable").tolist():
-        if p[i] >= threshold and not any(found[i][0] < b[1] and b[0] < found[i][1] for b in out):
-            out.append(found[i])
+        if p[i] < threshold:
+            break
+        at = bisect_left(out, found[i])  # the chosen ones overlap nowhere, so only neighbours can
+        if all(found[i][0] >= b[1] or b[0] >= found[i][1] for b in out[max(0, at - 1) : at + 1]):
+            insort(out, found[i])
     return out
 
 

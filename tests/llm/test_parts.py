@@ -201,3 +201,33 @@ def test_emails_like_the_pattern():
     for _ in range(4000):
         text = "".join(rng.choice("ab.@-_ %+é") for _ in range(rng.randint(0, 40)))
         assert pii.emails(text) == [(m.start(), m.end()) for m in brute.EMAIL.finditer(text)], text
+
+
+def test_items_beside_other_numbers():
+    trees = pii.model()
+    for text, kind, item in (
+        ("card 4111111111111111 12 items", "card", "4111111111111111"), ("please pay with card 4111 1111 1111 1111 12/27 thanks", "card", "4111 1111 1111 1111"), ("visa: 12 4111-1111-1111-1111 today", "card", "4111-1111-1111-1111"),
+        ("card 4111.1111.1111.1111 thanks", "card", "4111.1111.1111.1111"), ("phone +49 30 1234567 2024-01-02 10", "phone", "+49 30 1234567"), ("call +49 30/1234567 now", "phone", "+49 30/1234567"), ("server 2024.192.168.0.17 is up", "ip", "192.168.0.17"),
+    ):
+        base = pii.base_spans(text)
+        assert base == [] and [(text[a:b], k) for a, b, k in pii.added_spans(text, base, trees)] == [(item, kind)], text
+    for text in ("version 2024.1.12.3.4 of x", "order 1234 5678 9012 3456 7890 11", "values " + " ".join(map(str, range(1, 40)))):
+        assert pii.added_spans(text, pii.base_spans(text), trees) == [], text
+
+
+def test_failed_parts_in_full():
+    rng = random.Random(13)
+    for _ in range(300):
+        text = "".join(rng.choice("0123456789" * 3 + "  -.+") for _ in range(rng.randint(0, 60)))
+        want = set()
+        for m in pii.CARD.finditer(text):
+            groups = [g.span() for g in re.finditer("[0-9]+", text) if m.start() <= g.start() and g.end() <= m.end()]
+            for (a, _), (_, b) in ((x, y) for x in groups for y in groups if x <= y):
+                digits = re.sub("[^0-9]", "", text[a:b])
+                if 12 <= len(digits) <= 19 and pii.luhn(digits):
+                    want.add((a, b, "card"))
+        got = set(pii.failed_parts(text))
+        assert {s for s in got if s[2] == "card" and "." not in text[s[0] : s[1]]} == want, text
+        assert all(9 <= len(re.sub("[^0-9]", "", text[a:b])) <= 15 and text[a] == "+" for a, b, k in got if k == "phone")
+        base = pii.base_spans(text)
+        assert pii.free(sorted(got), base) == [s for s in sorted(got) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
