@@ -264,14 +264,13 @@ def hub_pairs(labelled: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     return labelled.join(hubs, "key").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_md5, class_id (the smallest doc_id of the class) and class_size, a row per input row.
+def labelled_nodes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The sketches of `docs`, and node, first (its smallest doc_id, LAST_ID if all are null), copies, label (of its class).
 
     Exact copies are one node (null texts count as empty; empty texts are copies of each other, wordless texts link to
     nothing else). Nodes that share a band key are compared first with the smallest node of the bucket, then with hubs;
     buckets whose nodes still differ in class are compared in full, block by block. A link is a multiset overlap of at
-    least `threshold`; classes are the connected components. Rows with a null doc_id take part; a class of only such rows
-    has a null class_id.
+    least `threshold`; classes are the connected components. Rows with a null doc_id take part.
     """
     bounded_batches(docs.sparkSession)
     sigs = materialize(sketches(docs, bands, rows), "sketches")
@@ -310,17 +309,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
-    of_node = nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", "first", "copies", label)
+    return sigs, nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", "first", "copies", label)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_md5, class_id (the smallest doc_id of the class) and class_size, a row per input row.
+
+    A class of only rows with a null doc_id has a null class_id.
+    """
+    sigs, of_node = labelled_nodes(docs, threshold, bands, rows)
     classes = of_node.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_size"))
     node_class = materialize(of_node.join(classes, "label").select("node", "class_first", "class_size"), "node-classes")
     return sigs.select("doc_id", "node").join(node_class, "node").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one row of each class: that with the smallest doc_id, then the smallest md5 of the text."""
-    classes = near_duplicates(docs, threshold)
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_md5")).alias("k")).where("class_id is not null").select(F.col("k.doc_id").alias("__id"), F.col("k.text_md5").alias("__node"))
-    kept = kept.unionByName(classes.where("class_id is null").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__node")).distinct())
-    marked = docs.withColumn("__md5", F.md5(text_or_empty()))
-    joined = marked.join(kept, (marked["__md5"] == kept["__node"]) & marked["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__md5"]).drop("__md5")
+    """`docs` with one row of each class: that with the smallest doc_id (null as the largest), then the smallest md5 of the text."""
+    _, of_node = labelled_nodes(docs, threshold)
+    kept = of_node.groupBy("label").agg(F.min(F.struct("first", "node")).alias("k")).select(F.col("k.first").alias("__kept_id"), F.col("k.node").alias("__kept_node"))
+    marked = docs.withColumns({"__md5": F.md5(text_or_empty()), "__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))})
+    joined = marked.join(kept, (marked["__md5"] == kept["__kept_node"]) & (marked["__id"] == kept["__kept_id"]), "left_semi")
+    return joined.dropDuplicates(["__id", "__md5"]).drop("__id", "__md5")

@@ -149,6 +149,16 @@ def test_near_duplicates(docs, empty):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 8, 9, 10, 11]
 
 
+def test_near_duplicates_without_ids(spark):
+    """Near copies without an id leave one row; beside rows with ids, that with the smallest id stays; classes that share an id stay apart."""
+    near = lambda name, k: " ".join([*(f"{name}{i}" for i in range(100)), f"end{k}"])
+    rows = [*((None, near("a", k)) for k in range(5)), (None, near("b", 0)), (7, near("b", 1)), (5, near("b", 2)), (5, near("c", 0)), (8, near("c", 1)), (None, near("d", 0)), (None, near("d", 0))]
+    kept = [(r["doc_id"], r["text"]) for r in bagminhash.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert len(kept) == 4
+    assert {(5, near("b", 2)), (5, near("c", 0)), (None, near("d", 0))} <= set(kept)
+    assert [i for i, text in kept if text.startswith("a0 ")] == [None]
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A chain of texts, each near only to the next, with a long shared part: found in full though blocks are small."""
     monkeypatch.setattr(bagminhash, "BLOCK", 8)
