@@ -7,10 +7,10 @@ A global suffix array of all texts would have to move every suffix. Instead:
    anchors at equal places, so windows can only match within an anchor's bucket. Neighbouring windows with one anchor are
    a run. Runs whose whole context is equal (a class) match in all their windows: all but those of the class's smallest
    doc_id are removed, in the chunk itself first and then across chunks.
-3. Where an anchor has several classes, the bytes of the classes' first runs meet in buckets. There the windows are put
-   into suffix order (equal ones by position, so by doc_id) and the longest-previous-factor rule is applied: a window is
-   removed if its previous or next smaller position in suffix order shares at least SIZE bytes with it. Anchors with very
-   many classes are cut into single windows and bucketed by those, so that no bucket grows with one common string.
+3. Where an anchor has several classes, the bytes of the classes' first runs meet in buckets. There the windows,
+   cut off at SIZE bytes, are sorted (equal ones by doc_id), and one is removed if an equal one has a smaller doc_id: what
+   the longest-previous-factor rule comes to at that length. No suffix, LCP or smaller-position arrays are built. Anchors
+   with very many classes are cut into single windows and bucketed by those; step 2 still gathers all their runs.
 4. Each chunk gathers its removed windows and writes its documents' results.
 """
 
