@@ -102,6 +102,19 @@ def test_topk(spark):
     assert topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_topk_finite_extremes(spark):
+    """Every finite vector takes part; scores past 64 bits are ranked exactly and returned as the nearest long."""
+    top, least = 2**63 - 1, -(2**63)
+    rows = [(1, [1e17, 1.0]), (2, [3e38, 1.0]), (3, [1.0, 0.5]), (4, [-3e38, 0.0]), (5, [2.9e38, 0.0]), (6, [0.0, 0.0]), (7, [-1e30, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id in (1, 2, 3)"), k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got[2] == [(5, top), (1, top), (3, top), (6, 0), (7, least), (4, least)]
+    assert [i for i, _ in got[1]] == [2, 5, 3, 6, 7, 4] and got[1][2] == (3, top)
+    assert [i for i, _ in got[3]] == [2, 5, 1, 6, 7, 4]
+
+
 def test_quality(docs, labels, empty):
     rows = mil.quality(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)

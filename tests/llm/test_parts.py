@@ -172,13 +172,23 @@ def test_sketch_sizes():
         assert decontam.sketch_size(n) > lacking or decontam.sketch_size(n) == n
 
 
-def test_topk_block():
+@pytest.mark.parametrize("size", [3, 3000, 2_000_000, 1_500_000_000, 10**30])
+def test_topk_block(size):
+    """Scores of every size are exact: in 24, 53 and 63 bits and past them."""
     rng = np.random.default_rng(3)
-    queries, rows = rng.integers(-3, 4, (9, 6)), rng.integers(-3, 4, (50, 6))
-    of, found, score = topk.best((np.arange(9), queries), (np.arange(50), topk._postings(rows)), 5)
+    queries, rows = ((rng.integers(-3, 4, shape).astype(object) * (size // 3) + rng.integers(0, 2, shape)) for shape in ((9, 6), (50, 6)))
+    queries, rows = topk.narrowed(queries), topk.narrowed(rows)
+    of, found, score = topk.best((np.arange(9), queries, topk.largest(queries)), (np.arange(50), topk.postings(rows), topk.largest(rows)), 5)
     for q in range(9):
-        want = sorted(((-int(queries[q] @ rows[i]), i) for i in range(50) if i != q))[:5]
-        assert [(-s, i) for s, i in zip(score[of == q].tolist(), found[of == q].tolist(), strict=True)] == want
+        exact = [sum(int(a) * int(b) for a, b in zip(queries[q], rows[i], strict=True)) for i in range(50)]
+        want = sorted((-exact[i], i) for i in range(50) if i != q)[:5]
+        assert [(-int(s), i) for s, i in zip(score[of == q].tolist(), found[of == q].tolist(), strict=True)] == want
+
+
+def test_topk_order_past_64_bits():
+    values = sorted({s * (10**k) + d for k in (18, 19, 20, 40, 80) for s in (-3, -1, 1, 3) for d in (-1, 0, 1)} | {0, topk.LEAST, topk.MOST, topk.MOST + 1})
+    keys = [(min(topk.MOST, max(topk.LEAST, x)), topk.beyond(x) or b"\1") for x in values]
+    assert keys == sorted(keys) and len(set(keys)) == len(values)
 
 
 def test_boosted_trees_held_out():
