@@ -64,7 +64,10 @@ def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def word_bounds(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of letters, numbers and marks (lower-cased text is expected); never across texts."""
+    """Starts and ends of the runs of letters and numbers (lower-cased text is expected); never across texts.
+
+    Any other character ends a word, combining marks among them; a run without spaces, as in Chinese or Thai, is one word.
+    """
     kind = classes()[codes]
     inside = np.concatenate([[False], (kind == LETTER) | (kind == NUMBER), [False]])
     first = np.zeros(len(codes) + 1, bool)
@@ -74,33 +77,43 @@ def word_bounds(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(edge), np.flatnonzero(last)
 
 
-def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `words` lower-cased words, with repeats, in order, and where each text's begin.
-
-    A text with fewer words, but at least one, has one shingle: all its words.
-    """
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words in order, and where each text's begin."""
     codes, offsets = code_points([t.lower() for t in texts])
     starts, ends = word_bounds(codes, offsets)
-    single = hashes(codes, starts, ends)
-    at = np.searchsorted(starts, offsets)
+    return hashes(codes, starts, ends), np.searchsorted(starts, offsets)
+
+
+def grams(single: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `words` words, with repeats, in order, and where each text's begin; shorter texts have none."""
     n = np.diff(at)
     with np.errstate(over="ignore"):
         joined = np.zeros(max(0, len(single) - words + 1), np.uint64)
         for i in range(words):
             joined = joined * np.uint64(BASE) + single[i : i + len(joined)]
-    joined = mix(joined)
     many = np.maximum(n - words + 1, 0)
     keep = np.zeros(len(single) + 1, np.int64)
     np.add.at(keep, at[:-1][many > 0], 1)
     np.add.at(keep, (at[:-1] + many)[many > 0], -1)
-    inside = np.cumsum(keep)[: len(joined)] > 0
-    out_n = np.where((many == 0) & (n > 0), 1, many)
-    bounds = np.concatenate([[0], np.cumsum(out_n)])
-    out = np.empty(bounds[-1], np.uint64)
+    return mix(joined[np.cumsum(keep)[: len(joined)] > 0]), np.concatenate([[0], np.cumsum(many)])
+
+
+def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `words` lower-cased words, with repeats, in order, and where each text's begin.
+
+    A text with fewer words, but at least one, has one shingle: all its words.
+    """
+    single, at = word_hashes(texts)
+    whole, edges = grams(single, at, words)
+    n, many = np.diff(at), np.diff(edges)
     short = np.flatnonzero((many == 0) & (n > 0))
+    if not len(short):
+        return whole, edges
+    bounds = np.concatenate([[0], np.cumsum(np.where((many == 0) & (n > 0), 1, many))])
+    out = np.empty(bounds[-1], np.uint64)
     mask = np.ones(len(out), bool)
     mask[bounds[short]] = False
-    out[mask] = joined[inside]
+    out[mask] = whole
     for i in short:
         value = 0
         for x in single[at[i] : at[i + 1]].tolist():

@@ -13,13 +13,7 @@ def sha(data: bytes | str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    out, held = [], ""
-    for c in (text or "").lower():
-        if unicodedata.category(c)[0] in "LN":
-            held += c
-        elif held:
-            out, held = [*out, held], ""
-    return [*out, held] if held else out
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in (text or "").lower()).split()
 
 
 def shingles(text: str | None, n: int = 5) -> Counter:
@@ -30,14 +24,17 @@ def shingles(text: str | None, n: int = 5) -> Counter:
 
 
 def contained(docs, items, threshold: float = 0.8) -> set[tuple]:
-    """doc_id, item_id, shingles of the item, shared ones."""
-    sets = [(item_id, set(shingles(text))) for item_id, text in items]
+    """doc_id, item_id, shingles of the item, shared ones; items of fewer than five words by runs of as many."""
     out = set()
-    for doc_id, text in docs:
-        mine = set(shingles(text))
-        for item_id, wanted in sets:
-            if wanted and len(mine & wanted) >= threshold * len(wanted) - 1e-9:
-                out.add((doc_id, item_id, len(wanted), len(mine & wanted)))
+    for item_id, item in items:
+        w = words(item)
+        k = min(5, len(w))
+        wanted = set(zip(*(w[i:] for i in range(k)), strict=False)) if k else set()
+        for doc_id, text in docs if wanted else ():
+            v = words(text)
+            shared = wanted & set(zip(*(v[i:] for i in range(k)), strict=False))
+            if len(shared) >= threshold * len(wanted) - 1e-9:
+                out.add((doc_id, item_id, len(wanted), len(shared)))
     return out
 
 

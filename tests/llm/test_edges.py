@@ -55,6 +55,17 @@ def test_containment(docs, items, empty):
     assert decontam.decontaminate(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of one to seven words, alone and inside long texts, among repeated rows and wordless ones."""
+    base = "Quick, brown fox -- jumps over the lazy dog".split()
+    items = [(k, " ".join(base[:k])) for k in range(1, 9)] + [(20, "!!!"), (21, "fox"), (22, "nowhere else at all")]
+    rows = [(1, LONG + " the quick brown FOX. " + LONG), (1, "quick brown"), (2, "brown quick"), (3, "the fox"), (4, None), (5, "quick brown fox jumps over the lazy"), (None, "quick"), (6, "quick. brown - fox; jumps; over")]
+    got = [tuple(r)[:4] for r in decontam.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = [row for r in rows for row in brute.contained([r], items)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(1, 1), (1, 2), (1, 3), (2, 1), (3, 21), (5, 7)} <= {(r[0], r[1]) for r in got} and not {20, 22} & {r[1] for r in got}
+
+
 def test_item_blocks_agree(docs, items):
     one, many = (sorted(map(tuple, decontam.contaminated(docs, items, most=m).collect())) for m in (400_000, 20))
     assert one == many
