@@ -1,17 +1,26 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller doc_id are removed.
 
-A global suffix array of all texts would have to move every suffix. Instead:
+The rule is that of the longest-previous-factor array: a place is covered if its longest factor that also starts earlier,
+here in a document with a smaller id, reaches SIZE bytes. In suffix order that factor is shared with the previous or the
+next smaller position. A suffix array of the whole corpus would have to move every suffix, so the suffixes that can matter
+are brought together first, in buckets that are sorted on their own:
 
 1. Texts are packed into chunks, files in the shared folder, that tasks read again by name.
 2. Every window of SIZE bytes has an anchor: the smallest hash of its ANCHOR-byte strings. Equal windows have equal
    anchors at equal places, so windows can only match within an anchor's bucket. Neighbouring windows with one anchor are
-   a run. Runs whose whole context is equal (a class) match in all their windows: all but those of the class's smallest
-   doc_id are removed, in the chunk itself first and then across chunks.
-3. Where an anchor has several classes, the bytes of the classes' first runs meet in buckets. There the windows,
-   cut off at SIZE bytes, are sorted (equal ones by doc_id), and one is removed if an equal one has a smaller doc_id: what
-   the longest-previous-factor rule comes to at that length. No suffix, LCP or smaller-position arrays are built. Anchors
-   with very many classes are cut into single windows and bucketed by those; step 2 still gathers all their runs.
+   a run. Runs whose whole surroundings are equal (a class, told by a 64-bit hash) match in all their windows: they are
+   one suffix for our purpose, and all but those of the class's smallest doc_id are removed, in the chunk itself first and
+   then across chunks.
+3. Where an anchor has several classes, the bytes of the classes' first runs meet in buckets. There the suffixes are
+   sorted up to SIZE bytes, the previous and next smaller positions are found over their doc_ids, and a window is removed
+   if the factor that it shares with either reaches SIZE bytes.
 4. Each chunk gathers its removed windows and writes its documents' results.
+
+Hot keys: equal runs are merged within a chunk before anything is shuffled. Anchors with over COMMON runs in a chunk never
+enter the anchor's bucket: their windows are bucketed one by one by their own contents (equal ones merged within the chunk),
+and a mark tells the bucket to treat what other chunks hold of the anchor alike. So an anchor adds at most COMMON runs of
+about 30 bytes for each chunk to its bucket, a window one row. Packs number chunks times buckets; take larger chunks where
+both are many.
 """
 
 from __future__ import annotations
@@ -31,12 +40,13 @@ from docpipe.llm.common import bounded_batches, file_system, make_dir, materiali
 
 SIZE = 50
 ANCHOR = 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 23
 SEGMENT = 1 << 21
-MANY_CLASSES = 64
+#: Anchors with more classes in a bucket, or more runs in a chunk, are compared window by window, elsewhere.
+MANY_CLASSES, COMMON = 64, 8
 LAST_ID = 2**63 - 1
 PACKED = "bucket int, chunk long, kind int, pack binary"
-DONE, LOCAL, ASK, CONTEXT = 0, 1, 2, 3
+DONE, LOCAL, ASK, CONTEXT, MARK = 0, 1, 2, 3, 4
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -59,7 +69,7 @@ def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
 def anchored_runs(data: np.ndarray, bounds: np.ndarray, size: int = SIZE, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor: first window, number of windows, anchor hash, class hash, document number."""
     out = [[], [], [], [], []]
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    document = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for begin in range(0, max(0, len(data) - size + 1), SEGMENT):
         part = data[begin : begin + SEGMENT + size - 1]
         n, wide = len(part), size - anchor + 1
@@ -77,7 +87,7 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, size: int = SIZE, anchor
         if reach < wide:
             least = np.minimum(least[: len(least) - (wide - reach)], least[wide - reach :])
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        mine = doc[begin : begin + n]
+        mine = document[begin : begin + n]
         whole = mine[:windows] == mine[size - 1 :]
         change = np.ones(windows + 1, bool)
         change[1:windows] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1]) | (mine[1:windows] != mine[: windows - 1])
@@ -88,23 +98,44 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, size: int = SIZE, anchor
         place = at[first]
         shape = ((place - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64)
         context = spans.mix((total[last + size] - total[first]) * back[first] + spans.mix(shape))
-        for held, values in zip(out, (first + begin, last - first + 1, hashed[place], context ^ hashed[place], mine[first]), strict=True):
+        for held, values in zip(out, (first + begin, last - first + 1, hashed[place], context ^ hashed[place], mine[first].astype(np.int64)), strict=True):
             held.append(values)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64 if i in (0, 1, 4) else np.uint64) for i, x in enumerate(out))
 
 
-def longest_previous(windows: np.ndarray, order_ids: np.ndarray) -> np.ndarray:
-    """For windows of equal length: whether an equal one stands in a document with a smaller id.
+def previous_smaller(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it, in its group (equal neighbours of `group`), with a smaller value; else -1.
 
-    Suffix order with equal windows by id. Among equal neighbours the previous smaller position is then the last window of
-    the next smaller id, and next smaller positions lie past the equal ones, where fewer bytes are shared.
+    All places follow their pointers at once; what a pointer skips is never smaller, so pointers may follow pointers.
     """
-    order = np.lexsort((order_ids, windows))
-    sorted_windows, ids = windows[order], order_ids[order]
-    shares = np.concatenate([[False], sorted_windows[1:] == sorted_windows[:-1]])  # at least SIZE bytes with the one before
-    start = np.maximum.accumulate(np.where(shares, 0, np.arange(len(ids))))
+    out = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while len(open_):
+        at = out[open_]
+        ends = (at < 0) | (group[at] != group[open_])
+        out[open_[ends]] = -1
+        open_, at = open_[~ends], at[~ends]
+        climbs = values[at] >= values[open_]
+        open_ = open_[climbs]
+        out[open_] = out[at[climbs]]
+    return out
+
+
+def longest_previous(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For suffixes cut off at SIZE bytes: whether the longest previous factor, with a smaller id, is as long as that.
+
+    In suffix order the longest factor that starts earlier is shared with the previous or the next smaller position. The
+    common prefix with it is the least over all neighbours between; it reaches SIZE if none of them falls short, that is,
+    if both lie in one group of full common prefixes.
+    """
+    order = np.argsort(windows, kind="stable")
+    suffixes, held = windows[order], ids[order]
+    short = np.concatenate([[True], suffixes[1:] != suffixes[:-1]]) if len(order) else np.zeros(0, bool)
+    group = np.cumsum(short)
+    before = previous_smaller(held, group)
+    after = previous_smaller(held[::-1], group[::-1])[::-1]
     out = np.zeros(len(ids), bool)
-    out[order] = ids[start] < ids
+    out[order] = (before >= 0) | (after >= 0)
     return out
 
 
@@ -171,6 +202,11 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["bucket", "chunk", "kind", "pack"])
 
 
+def _aside(chunk: int, buckets: int) -> int:
+    """A bucket below 0 for rows that pass a stage as they are, spread over the tasks."""
+    return -1 - (chunk + (chunk >> 32)) % buckets
+
+
 def _by_bucket(bucket: np.ndarray):
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -178,7 +214,8 @@ def _by_bucket(bucket: np.ndarray):
 
 
 def chunk_runs(chunks: DataFrame, uri: str, buckets: int) -> DataFrame:
-    """Runs of every chunk by anchor bucket; runs that an earlier document of the same chunk repeats are done already."""
+    """Runs of every chunk by anchor bucket; runs that an earlier document of the same chunk repeats are done already, and
+    those of anchors that are common in the chunk are asked for window by window, with a mark for the bucket."""
 
     def run(batches):
         for batch in batches:
@@ -187,10 +224,18 @@ def chunk_runs(chunks: DataFrame, uri: str, buckets: int) -> DataFrame:
                 first, n, anchor, context, doc = anchored_runs(data, bounds)
                 owner = ids[doc]
                 mine = local_firsts(context, owner)
-                rows = [_row(-1, row["chunk"], LOCAL, pack(first[~mine], n[~mine]))] if not mine.all() else []
+                aside = _aside(row["chunk"], buckets)
+                rows = [_row(aside, row["chunk"], LOCAL, pack(first[~mine], n[~mine]))] if not mine.all() else []
                 first, n, anchor, context, owner = (x[mine] for x in (first, n, anchor, context, owner))
-                low = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for bucket, at in _by_bucket(((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+                _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
+                common = (count > COMMON)[of]
+                low, bucket_of = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                if common.any():
+                    rows.append(_row(aside, row["chunk"], ASK, pack(first[common], n[common], np.ones(int(common.sum()), np.int64))))
+                    for bucket, at in _by_bucket(bucket_of[common]):
+                        rows.append(_row(bucket, row["chunk"], MARK, pack(np.unique(low[common][at]))))
+                first, n, low, bucket_of, context, owner = (x[~common] for x in (first, n, low, bucket_of, context, owner))
+                for bucket, at in _by_bucket(bucket_of):
                     rows.append(_row(bucket, row["chunk"], ASK, pack(low[at], context[at], first[at], n[at], owner[at])))
                 yield _batch(rows)
 
@@ -205,9 +250,14 @@ def resolve_classes(rows: DataFrame) -> DataFrame:
             if bucket < 0:
                 yield from (b.select(["bucket", "chunk", "kind", "pack"]) for b in table.to_batches())
                 continue
-            chunks, packs = table.column("chunk").to_pylist(), [unpack(x, np.uint32, np.uint64, np.int64, np.int64, np.int64) for x in table.column("pack").to_pylist()]
+            kinds, numbers, data = (table.column(name).to_pylist() for name in ("kind", "chunk", "pack"))
+            marks = [unpack(x, np.uint32)[0] for x, kind in zip(data, kinds, strict=True) if kind == MARK]
+            chunks, packs = [c for c, kind in zip(numbers, kinds, strict=True) if kind == ASK], [unpack(x, np.uint32, np.uint64, np.int64, np.int64, np.int64) for x, kind in zip(data, kinds, strict=True) if kind == ASK]
+            if not packs:
+                continue
             chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in packs])
             anchor, context, first, n, owner = (np.concatenate([p[i] for p in packs]) for i in range(5))
+            del packs, data, table
             order = np.lexsort((owner, context, anchor))
             chunk, anchor, context, first, n, owner = (x[order] for x in (chunk, anchor, context, first, n, owner))
             index = np.arange(len(anchor))
@@ -219,8 +269,9 @@ def resolve_classes(rows: DataFrame) -> DataFrame:
             starts = np.flatnonzero(new_anchor)
             classes = np.add.reduceat(new_class.astype(np.int64), starts)
             differ = np.maximum.reduceat(np.where(new_class, owner, -(2**63)), starts) > np.minimum.reduceat(owner, starts)
-            ask = ~done & (differ & (classes > 1))[group]
-            many = (classes > MANY_CLASSES)[group]
+            common = np.isin(anchor, np.unique(np.concatenate(marks))) if marks else np.zeros(len(anchor), bool)
+            ask = ~done & ((differ & (classes > 1))[group] | common)
+            many = (classes > MANY_CLASSES)[group] | common
             out = []
             for kind, chosen in ((DONE, np.flatnonzero(done)), (ASK, np.flatnonzero(ask))):
                 for _, at in _by_bucket(np.unique(chunk[chosen], return_inverse=True)[1]) if len(chosen) else []:
@@ -264,7 +315,7 @@ def contexts(asked: DataFrame, chunks: DataFrame, uri: str, buckets: int) -> Dat
                 mine = local_firsts(number, owner)
                 if not mine.all():
                     done = np.sort(at[~mine])
-                    rows.append(_row(-1, chunk, LOCAL, pack(done, np.ones_like(done))))
+                    rows.append(_row(_aside(chunk, buckets), chunk, LOCAL, pack(done, np.ones_like(done))))
                 text, at, owner = text[mine], at[mine], owner[mine]
                 hashed = spans.mix((text.astype(np.uint64) * spans.powers(spans.BASE, 64)[:SIZE]).sum(axis=1, dtype=np.uint64))
                 for bucket, chosen in _by_bucket((hashed % np.uint64(buckets)).astype(np.int64)):
@@ -282,7 +333,7 @@ def _joined(text: bytes, packed: bytes) -> bytes:
 
 
 def resolve_windows(rows: DataFrame) -> DataFrame:
-    """Per bucket: the contexts' windows in suffix order, and those with an earlier match."""
+    """Per bucket: the suffixes that the contexts' windows begin, in order, and those whose longest previous factor is long enough."""
 
     def run(batches):
         for bucket, table in runs(batches, "bucket"):
@@ -320,12 +371,14 @@ def resolve_windows(rows: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept, its remaining bytes, if keep_text).
 
-    Null texts count as empty; texts shorter than SIZE bytes lose nothing. Rows of one doc_id are not earlier than each
-    other; rows with a null doc_id come after all others. Strings are judged on the input, not on what is left.
+    Null texts count as empty; texts shorter than SIZE bytes lose nothing; texts of any length are taken whole, with a chunk
+    of their own past chunk_bytes. Rows of one doc_id, repeated or not, are not earlier than each other; rows with a null
+    doc_id come after all others, and are not earlier than each other. Strings are judged on the input, not on what is
+    left. Empty tables give no rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     spark, uri = docs.sparkSession, shared_dir(docs.sparkSession, "texts")
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
     chunks = write_chunks(docs, uri, chunk_bytes)
     first = materialize(resolve_classes(chunk_runs(chunks.repartition(partitions(spark), "chunk"), uri, buckets)), "classes")
     asked = first.where(f"kind = {ASK}").select("bucket", "chunk", "pack")
@@ -344,17 +397,17 @@ def removed_spans(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = CH
                     at, n = unpack(packed, np.int64, np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + n + SIZE - 1, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
+            gone = np.cumsum(change[:-1], out=change[:-1]) > 0
+            total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)]) if len(gone) < 2**31 else np.concatenate([[0], np.cumsum(gone)])
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             inner = bounds[:-1][bounds[:-1] < len(data)]
             edge[inner] = gone[inner]
-            edges = np.concatenate([[0], np.cumsum(edge)])
+            edges = np.concatenate([np.zeros(1, total.dtype), np.cumsum(edge, dtype=total.dtype)])
             kept = data[~gone].tobytes()
             keep_bounds = bounds - total[bounds]
             parts = [kept[a:b] for a, b in zip(keep_bounds, keep_bounds[1:], strict=False)]
-            columns = [pa.array(ids, mask=~known), pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds])), pa.array(np.diff(edges[bounds])), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
+            columns = [pa.array(ids, mask=~known), pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]).astype(np.int64)), pa.array(np.diff(edges[bounds]).astype(np.int64)), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
             columns += [pa.array(parts, pa.binary())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 

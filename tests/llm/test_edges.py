@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -147,10 +148,11 @@ def test_lpf(docs, empty):
     assert lpf.removed_spans(empty).count() == 0
 
 
-@pytest.mark.parametrize("many", [1, 64])
-def test_lpf_common_strings(spark, monkeypatch, many):
-    """Strings that many documents share in different surroundings, in chunks of their own, with anchors cut or not."""
+@pytest.mark.parametrize(("many", "common"), [(1, 10**6), (64, 10**6), (64, 1), (64, 3), (1, 2)])
+def test_lpf_common_strings(spark, monkeypatch, many, common):
+    """Strings that many documents share in different surroundings, in chunks of their own, with anchors cut in the bucket, in the chunk, or not."""
     monkeypatch.setattr(lpf, "MANY_CLASSES", many)
+    monkeypatch.setattr(lpf, "COMMON", common)
     import random
 
     rng = random.Random(3)
@@ -162,6 +164,32 @@ def test_lpf_common_strings(spark, monkeypatch, many):
     assert got == brute.removed(rows)
 
 
+def test_lpf_hot_line(spark):
+    """A line that every document holds between its own words: no bucket of its anchors grows with the documents."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    line = "Licensed under terms that every document repeats word by word."
+    rows = [(i, " ".join(word() for _ in range(12)) + f" {line} " + " ".join(word() for _ in range(12))) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in lpf.removed_spans(df, chunk_bytes=1 << 15).collect()}
+    assert got == brute.removed(rows)
+    uri = lpf.shared_dir(spark, "hot")
+    packs = lpf.chunk_runs(lpf.write_chunks(df, uri, 1 << 15), uri, 1).where(f"kind = {lpf.ASK} and bucket >= 0").select("pack").collect()
+    low = np.concatenate([lpf.unpack(r["pack"], np.uint32, np.uint64, np.int64, np.int64, np.int64)[0] for r in packs])
+    assert np.unique(low, return_counts=True)[1].max() <= lpf.COMMON * len(packs)
+
+
+def test_lpf_repeated_ids(spark):
+    """Rows of one id are not earlier than each other, but both are later than a smaller id."""
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(5, text), (5, text + " more"), (None, text), (None, text), (9, text[:49]), (9, text[:50])]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in lpf.removed_spans(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    n = len(text)
+    assert got == [(0, n, n), (0, n, n), (5, n, 0), (5, n + 5, 0), (9, 49, 0), (9, 50, 50)]
+
+
 def test_near_duplicates(docs, empty):
     rows = {(r["doc_id"], r["text_md5"]): r for r in bagminhash.near_duplicates(docs).collect()}
     of = {doc_id: r for (doc_id, _), r in rows.items()}

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docpipe.llm import bagminhash, bpe, decontam, pii, rans, spans, tokens, topk, warc
+from docpipe.llm import bagminhash, bpe, decontam, lpf, pii, rans, spans, tokens, topk, warc
 from docpipe.llm.queries import BYTE_BPE, WORD_BPE
 from tests.llm import brute
 
@@ -166,6 +166,23 @@ def test_bags():
         assert np.allclose(got, [bagminhash.similarity(texts[x], y) for y in texts])
 
 
+def test_longest_previous_factors():
+    """Previous and next smaller positions in suffix order, against the factors themselves."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 60, 400):
+        windows = np.array(["".join(x) for x in rng.choice(list("ab"), (n, 5))], "S5") if n else np.zeros(0, "S5")
+        ids = rng.integers(0, 6, n)
+        least: dict = {}
+        for w, i in zip(windows.tolist(), ids.tolist(), strict=True):
+            least[w] = min(i, least.get(w, i))
+        assert lpf.longest_previous(windows, ids).tolist() == [least[w] < i for w, i in zip(windows.tolist(), ids.tolist(), strict=True)]
+    values = rng.integers(0, 50, 500)
+    group = np.cumsum(rng.random(500) < 0.05)
+    want = [next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and values[j] < values[i]), -1) if all(group[j] == group[i] for j in range(i - 1, i)) or i == 0 else -1 for i in range(500)]
+    want = [-1 if j >= 0 and group[j] != group[i] else j for i, j in enumerate(want)]
+    assert lpf.previous_smaller(values, group).tolist() == want
+
+
 def test_sketch_sizes():
     for n in range(1, 3000):
         lacking = n - decontam.least_shared(n)
