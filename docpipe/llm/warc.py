@@ -1,14 +1,21 @@
 """WARC archives: a writer of gzip members, one record each, with revisit records, and a salvage reader.
 
-The reader trusts nothing: a member has to inflate with a right checksum, hold one record with a version line, a right
-Content-Length and, for responses, a payload that fits its digest. After a failed check it searches for the next gzip
-member (or, in files that are not compressed, the next version line) that passes, goes on from there, and logs the bytes
-between as a quarantined gap with the reason.
+The reader trusts nothing: a member has to inflate with a right checksum and hold records, each with a version line, a
+right Content-Length and a block and payload that fit their digests (SHA-256, SHA-1 or MD5, in hex or base32; the payload
+of an HTTP response is the body behind its headers). After a failed check it searches for the next gzip member or version
+line that passes, goes on from there, and logs the bytes between as a quarantined gap with the reason. Members that hold
+several records, or break off, are searched for version lines in what they inflate to, so sound records before and after
+the damage come back.
+
+Reading costs time in proportion to the file, whatever it holds: the places of the next marks are remembered, false ones
+are refused after a few bytes, and what a record or member may hold is bounded (`most`).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +31,12 @@ MEMBER = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 CHUNK = 1 << 20
 FILE_BYTES = 32 << 20
+#: Bytes that a header may have, and a record or an inflated member by default; larger ones are quarantined.
+HEADER_BYTES, MOST_BYTES = 1 << 16, 256 << 20
+#: Bytes of a member (its own header: names, comments) before the first one that it inflates to.
+MEMBER_HEADER = 1 << 11
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+\r\n")
+ALGORITHMS = {"sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha1": hashlib.sha1, "sha-1": hashlib.sha1, "md5": hashlib.md5}
 SMALLEST = 100  # bytes of payload from which equal payloads are revisited
 RECORDS = "path string, offset long, length long, record_type string, record_id string, target_uri string, refers_to_id string, warc_date string, payload_digest string, payload_bytes long, payload binary, problem string"
 
@@ -44,36 +57,91 @@ def record_bytes(record_type: str, record_id: str, uri: str, digest: str, payloa
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + payload + END
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Fields, block and whole size of the record that `data` begins with; Bad if a check fails."""
-    if not data.startswith(b"WARC/1."):
+def parse_header(head: bytes) -> dict[str, str]:
+    """The fields of a record's header, without the empty line that ends it; Bad at the first line that is none."""
+    version = VERSION_LINE.match(head + b"\r\n")
+    if not version:
         raise Bad("no version line")
-    stop = data.find(END)
-    if stop < 0:
-        raise Bad("no end of header")
-    fields = {}
-    for line in data[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
+    fields: dict[str, str] = {}
+    at, name = version.end(), ""
+    while at < len(head):
+        stop = head.find(b"\r\n", at)
+        line, at = head[at : stop if stop >= 0 else len(head)], stop + 2 if stop >= 0 else len(head)
+        text = line.decode("utf-8", "replace")
+        if line[:1] in (b" ", b"\t") and name:  # a folded line goes on with the field before
+            fields[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
             raise Bad("field without colon")
-        fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isascii() or not fields.get("content-length", "").isdigit():
+        fields[name] = value.strip()
+    size = fields.get("content-length", "")
+    if not (size.isascii() and size.isdigit() and len(size) < 19):
         raise Bad("no content length")
-    size = int(fields["content-length"])
-    block = data[stop + 4 : stop + 4 + size]
-    if len(block) < size or data[stop + 4 + size : stop + 8 + size] != END:
-        raise Bad("block shorter or longer than its content length")
+    return fields
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """The block, or the body behind the headers of an HTTP message."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return block
+    stop = block.find(END)
+    return block[stop + 4 :] if stop >= 0 else b""
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """A body without its chunked transfer coding; None if it has none."""
+    out, at = [], 0
+    while True:
+        stop = body.find(b"\r\n", at, at + 64)
+        size = body[at:stop].split(b";")[0].strip() if stop >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[stop + 2 : stop + 2 + n])
+        at = stop + 4 + n
+
+
+def fits(digest: str, data: bytes) -> bool:
+    """Whether data has the digest (algorithm:value, hex or base32); one of an unknown algorithm says nothing."""
+    name, colon, value = digest.partition(":")
+    make = ALGORITHMS.get(name.strip().lower())
+    if not colon or make is None:
+        return True
+    found, value = make(data).digest(), value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def check_digests(fields: dict[str, str], block: bytes) -> None:
+    if not fits(fields.get("warc-block-digest", ""), block):
+        raise Bad("block does not fit its digest")
     digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
-        raise Bad("payload does not fit its digest")
-    return fields, block, stop + 8 + size
+    if digest and fields.get("warc-type") in ("response", "resource", "conversion"):
+        payload = payload_of(fields, block)
+        if not fits(digest, payload):
+            plain = unchunked(payload) if payload is not block else None
+            if plain is None or not fits(digest, plain):
+                raise Bad("payload does not fit its digest")
+
+
+def proven(fields: dict[str, str]) -> bool:
+    """Whether a sound record carries a digest that was checked."""
+    names = ["warc-block-digest", *(["warc-payload-digest"] if fields.get("warc-type") in ("response", "resource", "conversion") else [])]
+    return any(fields.get(name, "").partition(":")[0].strip().lower() in ALGORITHMS for name in names)
 
 
 class Window:
-    """Reads of a file by place, through a buffer, so that searching forward never holds the whole file."""
+    """Reads of a file by place, through a buffer, so that searching forward never holds the whole file.
+
+    The place of the next mark of each kind is remembered: searches from ever later places read the file once.
+    """
 
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.held = file, size, 0, b""
+        self.next: dict[bytes, int] = {}
 
     def read(self, at: int, n: int) -> bytes:
         n = min(n, self.size - at)
@@ -84,71 +152,134 @@ class Window:
         return self.held[at - self.at : at - self.at + n]
 
     def find(self, what: bytes, at: int) -> int:
+        """The first place of `what` from `at` on, the file's size if there is none; `at` must not go back."""
+        if self.next.get(what, -1) < at:
+            self.next[what] = self._search(what, at)
+        return self.next[what]
+
+    def _search(self, what: bytes, at: int) -> int:
         while at < self.size:
-            data = self.read(at, CHUNK)
-            found = data.find(what)
+            if not self.at <= at < self.at + len(self.held) - len(what):
+                self.read(at, CHUNK)
+            found = self.held.find(what, at - self.at)
             if found >= 0:
-                return at + found
-            if at + len(data) >= self.size:
+                return self.at + found
+            if self.at + len(self.held) >= self.size:
                 break
-            at += len(data) - len(what) + 1
-        return -1
+            at = self.at + len(self.held) - len(what) + 1
+        return self.size
 
 
-def member(window: Window, at: int) -> tuple[bytes, int]:
-    """The inflated gzip member at a place and its size in the file."""
-    inflate, out, here = zlib.decompressobj(wbits=31), [], at
-    while not inflate.eof:
-        data = window.read(here, 1 << 16)
-        if not data:
-            raise Bad("member cut short")
-        try:
-            out.append(inflate.decompress(data))
-        except zlib.error as e:
-            raise Bad(f"member does not inflate: {e}") from e
-        here += len(data)
-        if len(out) == 1 and out[0] and not b"WARC/1.".startswith(out[0][:7]) and not out[0].startswith(b"WARC/1."):
-            raise Bad("member holds no version line")
-    return b"".join(out), here - len(inflate.unused_data) - at
-
-
-def record_at(window: Window, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record at a place, compressed or not, and its size in the file; Bad if a check fails."""
-    if window.read(at, 3) == MEMBER:
-        data, size = member(window, at)
-        fields, block, used = parse_record(data)
-        if used != len(data):
-            raise Bad("member holds more than a record")
-        return fields, block, size
-    if window.read(at, 7) != b"WARC/1.":
-        raise Bad("neither a member nor a version line")
+class Text:
+    """A Window's reads and searches over bytes that are held."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+        self.next: dict[bytes, int] = {}
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+    def find(self, what: bytes, at: int) -> int:
+        if self.next.get(what, -1) < at:
+            found = self.data.find(what, at)
+            self.next[what] = self.size if found < 0 else found
+        return self.next[what]
+
+
+def plain_record(window: Window | Text, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
+    """Fields, block and whole size of the uncompressed record at a place; Bad if a check fails.
+
+    The cheap checks come first: the block is read only if the bytes behind it are those that end a record.
+    """
+    if not VERSION_LINE.match(window.read(at, 16)):
+        raise Bad("no version line")
     stop = window.find(END, at)
-    if stop < 0:
+    if stop >= window.size:
         raise Bad("no end of header")
-    head = window.read(at, stop + 4 - at)
-    length = next((line.partition(b":")[2].strip() for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")), b"")
-    if not length.isdigit():
-        raise Bad("no content length")
-    return parse_record(window.read(at, len(head) + int(length) + 4))
+    if stop - at > HEADER_BYTES:
+        raise Bad("header too long")
+    fields = parse_header(window.read(at, stop - at))
+    size = int(fields["content-length"])
+    if size > most:
+        raise Bad(f"record of more than {most} bytes")
+    if window.read(stop + 4 + size, 4) != END:
+        raise Bad("block shorter or longer than its content length")
+    block = window.read(stop + 4, size)
+    check_digests(fields, block)
+    return fields, block, stop + 8 + size - at
+
 
+def member(window: Window, at: int, most: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at a place inflates to, its size in the file, and what is wrong with it, if anything.
 
-def salvage(window: Window) -> Iterator[tuple[int, int, dict[str, str], bytes, str | None]]:
-    """Place, size, fields and block of each sound record, and place, size and reason of each quarantined gap, in order."""
+    The first bytes decide whether it is one: a false mark costs a few hundred bytes, not a search.
+    """
+    inflate, out, here, total, problem = zlib.decompressobj(wbits=31), [], at, 0, None
+    while not inflate.eof:
+        data = window.read(here, 1 << 16 if total else 1 << 9)
+        if not data:
+            problem = "member cut short"
+            break
+        here += len(data)
+        while data and problem is None and not inflate.eof:
+            try:
+                part = inflate.decompress(data, 1 << 20)
+            except zlib.error as e:
+                problem = f"member does not inflate: {e}"
+                break
+            out.append(part)
+            total += len(part)
+            data = inflate.unconsumed_tail
+            if total > most:
+                problem = f"member of more than {most} bytes"
+        if problem:
+            break
+        if here - at > MEMBER_HEADER and not total:
+            problem = "member holds nothing"
+            break
+        if total and len(out) <= 2 and not (head := b"".join(out)[:7]).startswith(b"WARC/1."[: len(head)]):
+            problem = "member holds no version line"
+            break
+    return b"".join(out), here - len(inflate.unused_data) - at, problem
+
+
+Found = tuple[int, int, dict[str, str], bytes, str | None]
+
+
+def salvage(window: Window, most: int = MOST_BYTES) -> Iterator[Found]:
+    """Place, size, fields and block of each sound record, and place, size and reason of each quarantined gap, in order.
+
+    Records of one member have its place; the first has its size, the others 0, so sizes always sum up to the file's. Of a
+    member that breaks off the proven records have size 0, and the gap begins at the member.
+    """
     at, gap, reason = 0, None, None
     while at < window.size:
+        step, found = 0, []
         try:
-            fields, block, size = record_at(window, at)
+            if window.read(at, 3) == MEMBER:
+                data, size, problem = member(window, at, most)
+                if problem != "member holds no version line":
+                    held = list(salvage(Text(data), most)) if data else []
+                    found = [x for x in held if x[4] is None and (problem is None or proven(x[2]))]
+                    problem = problem or next((x[4] for x in held if x[4] is not None), None if found else "member holds no record")
+                if problem is None:
+                    step = size
+                else:
+                    # past a member that inflates to its end the next mark is behind it, whatever its bytes look like
+                    raise Bad(problem)
+            else:
+                fields, block, step = plain_record(window, at, most)
+                found = [(at, step, fields, block, None)]
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            places = [x for x in (window.find(MEMBER, at + 1), window.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(places, default=window.size)
-            continue
-        if gap is not None:
+        if step and gap is not None:
             yield gap, at - gap, {}, b"", reason
             gap = None
-        yield at, size, fields, block, None
-        at += size
+        for i, (_, _, fields, block, _) in enumerate(found):
+            yield at, step if i == 0 else 0, fields, block, None
+        at = at + step if step else min(window.find(MEMBER, at + 1), window.find(b"WARC/1.", at + 1))
     if gap is not None:
         yield gap, window.size - gap, {}, b"", reason
 
@@ -157,11 +288,13 @@ def _bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
-def read_records(files: DataFrame) -> DataFrame:
+def read_records(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """Records and gaps of the archives in `files` (uri, path): a task reads whole files, through bounded buffers.
 
-    A gap is a row with record_type "gap", its place, length and `problem`; all else about it is null. Empty files give no
-    rows. Records of other kinds (warcinfo, request ...) come as they are.
+    A gap is a row with record_type "gap", its place, length and `problem`; all else about it is null. Records of more than
+    `most` bytes, and members that inflate to more, are gaps. Empty files, and a table without files, give no rows; a file
+    listed twice is read twice. Records of other kinds (warcinfo, request ...) come as they are; payloads of HTTP messages
+    are their bodies. Other columns are not read.
     """
 
     def run(batches):
@@ -171,10 +304,10 @@ def read_records(files: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with file_system(row["uri"])[0].open_input_file(row["path"]) as f:
-                    for at, size, fields, block, problem in salvage(Window(f, f.size())):
-                        digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                    for at, size, fields, block, problem in salvage(Window(f, f.size()), most):
+                        digest, payload = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload_of(fields, block)
                         length = fields.get("warc-payload-length", "")
-                        values = (row["path"], at, size, "gap" if problem else fields.get("warc-type"), _bare(fields.get("warc-record-id")), fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), fields.get("warc-date"), digest, None if problem else int(length) if length.isascii() and length.isdigit() else len(block), None if problem else block, problem)
+                        values = (row["path"], at, size, "gap" if problem else fields.get("warc-type"), _bare(fields.get("warc-record-id")), fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), fields.get("warc-date"), digest, None if problem else int(length) if length.isascii() and length.isdigit() and len(length) < 19 else len(payload), None if problem else payload, problem)
                         for column, value in zip(columns, values, strict=True):
                             column.append(value)
                         held += len(block) + 200
@@ -242,8 +375,14 @@ def write_pages(pages: DataFrame, uri: str | None = None) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Writes the pages as an archive and reads its records back, with page_id and refers_to from the record ids."""
-    records = read_records(write_pages(pages)).where("record_type <> 'gap'")
+    """Writes the pages as an archive and reads its records back, with page_id and refers_to from the record ids.
+
+    Null html is an empty payload, a null url is empty, a null page_id stays null; of repeated ids every row has its record.
+    Empty tables give no rows; other columns are not read. A gap in an archive that was just written is an error: no record
+    is lost in silence.
+    """
+    whole = F.when(F.col("record_type") == "gap", F.raise_error(F.concat(F.lit("damaged archive: "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "problem"))).otherwise(F.col("record_type"))
+    records = read_records(write_pages(pages)).withColumn("record_type", whole.cast("string"))
     number = lambda name: F.expr(f"try_cast(substring({name}, 10) as bigint)")  # noqa: E731  after urn:page:
     return records.withColumns({"page_id": number("record_id"), "refers_to": number("refers_to_id")})
 
