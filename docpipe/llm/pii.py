@@ -3,8 +3,13 @@
 Fixed patterns give the base spans, which always stay. High-recall generators propose further, overlapping spans (spelled
 out addresses, numbers without a plus, account and insurance numbers, and the parts of what fails a base check: items beside
 other numbers). Boosted trees score each proposal from its format and its context, and those past a calibrated threshold
-that overlap no chosen span are added. The trees are fitted on generated, labelled examples: formats in prose, cues and
-look-alikes, alone and beside other numbers.
+that overlap no chosen span are added.
+
+The trees are fitted on two sources. One is the documents themselves: base spans of a bounded sample, in the words around
+them, are rewritten so that the base patterns fail (spelled out, without a plus, beside other numbers), look-alikes are put
+in their places, and what is proposed in documents besides is taken as no personal data where its format proves nothing.
+The other is generated sentences with cues, for kinds and cues that the documents lack. Both are split into a part to fit on
+and a part to calibrate on.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -27,7 +33,7 @@ from docpipe.llm.common import bounded_batches, slices, text_or_empty
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never begins inside a run of digits: so long runs are read once
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +41,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: Calibrated probability from which a proposal is added.
 THRESHOLD = 0.98
 CONTEXT = 40
+#: Documents whose spans and proposals are looked at to fit the trees (about so many, by a hash of the text), and snippets used.
+MOST_SAMPLED, MOST_SNIPPETS = 4000, 3000
 
 # What proposals look like.
 PROPOSALS = (
@@ -85,18 +93,24 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 DIGIT = re.compile(r"[0-9]")
 GROUP = re.compile(r"[0-9]+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 PLUS = re.compile(r"\+[0-9][\x20()./0-9-]*[0-9]")
 DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]")
 DATE_NEXT = re.compile(r" (?:(?:19|20)[0-9]{2}-[01][0-9]|[0-3]?[0-9][./][01]?[0-9][./](?:19|20)|[01][0-9]/[0-9]{2}(?![0-9]))")
 
 
+def octet(part: str) -> bool:
+    """Whether a number of any length, with zeros before it or not, is at most 255."""
+    plain = part.lstrip("0")
+    return len(plain) <= 3 and int(plain or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of the fixed patterns' matches that pass their checks, by start, then kind as listed."""
     out = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+            out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(map(octet, m.group().split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -137,7 +151,7 @@ def failed_parts(text: str) -> list[tuple[int, int, str]]:
     for m in DOTTED.finditer(text) if "." in text else ():
         groups = digit_groups(text, *m.span())
         out += card_parts(text, groups, 2)
-        small = [len(text[a:b].lstrip("0")) <= 3 and int(text[a:b]) <= 255 for a, b in groups] if len(groups) > 4 else []
+        small = [octet(text[a:b]) for a, b in groups] if len(groups) > 4 else []
         out += [(groups[i][0], groups[i + 3][1], "ip") for i in range(len(small) - 3) if all(small[i : i + 4])]
     for m in PLUS.finditer(text) if "+" in text else ():
         digits = 0
@@ -202,98 +216,212 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     ]
 
 
-def examples(n: int = 18000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Proposals in generated sentences, with whether each is personal data."""
-    rng, x, y = random.Random(seed), [], []
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("aeioubcdlmnrstv") for _ in range(rng.randint(2, 9)))
+class Inventor:
+    """Items, numbers and look-alikes drawn from a seed."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def digits(self, k: int) -> str:
+        return "".join(self.rng.choice("0123456789") for _ in range(k))
 
-    def iban() -> str:
-        body = digits(rng.choice((14, 16, 18)))
+    def word(self) -> str:
+        return "".join(self.rng.choice("aeioubcdlmnrstv") for _ in range(self.rng.randint(2, 9)))
+
+    def iban(self) -> str:
+        body = self.digits(self.rng.choice((14, 16, 18)))
         check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
         plain = f"DE{check:02d}{body}"
-        return plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+        return plain if self.rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
 
-    def card() -> str:
-        start, n = rng.choice((("4", 16), ("4", 16), (str(rng.randint(51, 55)), 16), (rng.choice(("34", "37")), 15), ("6011", 16)))
-        body = start + digits(n - 1 - len(start))
+    def card(self) -> str:
+        start, n = self.rng.choice((("4", 16), ("4", 16), (str(self.rng.randint(51, 55)), 16), (self.rng.choice(("34", "37")), 15), ("6011", 16)))
+        body = start + self.digits(n - 1 - len(start))
         return body + next(c for c in "0123456789" if luhn(body + c))
 
-    def grouped(plain: str, by: str) -> str:
+    def grouped(self, plain: str, by: str) -> str:
         return by.join(plain[i : i + 4] for i in range(0, len(plain), 4))
 
-    def number() -> str:
-        return rng.choice((digits(rng.randint(1, 4)), digits(rng.randint(1, 3)), digits(rng.randint(5, 8)), date(), f"{rng.randint(1, 12):02d}/{rng.randint(24, 39)}"))
+    def date(self) -> str:
+        return f"{self.rng.randint(1990, 2039)}-{self.rng.randint(1, 12):02d}-{self.rng.randint(1, 28):02d}"
+
+    def number(self) -> str:
+        return self.rng.choice((self.digits(self.rng.randint(1, 4)), self.digits(self.rng.randint(1, 3)), self.digits(self.rng.randint(5, 8)), self.date(), f"{self.rng.randint(1, 12):02d}/{self.rng.randint(24, 39)}"))
+
+    def spelled(self, name: str, host: str) -> str:
+        at, dot = self.rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")))
+        return f"{name}{at}{host.replace('.', dot)}"
 
-    def date() -> str:
-        return f"{rng.randint(1990, 2039)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    def phone_beside(self, one: str) -> list[tuple[str, str | None]]:
+        rng = self.rng
+        return [(one, "phone"), (" ", None), rng.choice(((f"{self.date()} {self.digits(rng.randint(1, 4))}", None), (self.date(), None), (self.card(), "card"), (self.digits(rng.randint(8, 12)), None)))]
 
-    def failing() -> tuple[str, list[tuple[str, str | None]]]:
+    def ip_beside(self, quad: str) -> list[tuple[str, str | None]]:
+        rng = self.rng
+        return [(f"{rng.choice((rng.randint(256, 999), rng.randint(1000, 65535)))}.", None), (quad, "ip"), (rng.choice(("", "", "", f".{rng.randint(256, 65535)}")), None)]
+
+    def card_beside(self, plain: str) -> list[tuple[str, str | None]]:
+        rng = self.rng
+        if rng.random() < 0.25:
+            return [(self.grouped(plain, "."), "card")]
+        by, side = rng.choice(("", " ", "-")), rng.random()
+        out: list[tuple[str, str | None]] = [(self.grouped(plain, by), "card")]
+        if side < 0.4:
+            out = [(self.number(), None), (" ", None), *out]
+        if side > 0.3:
+            out += [(" ", None), (self.grouped(self.card(), by), "card") if rng.random() < 0.5 else (self.number(), None)]
+        return out
+
+    def failing(self) -> tuple[str, list[tuple[str, str | None]]]:
         """The kind of an item that stands beside other numbers, and all pieces of text with the kinds of those that are items."""
-        kind = rng.choice(("card", "card", "ip", "phone"))
+        rng, kind = self.rng, self.rng.choice(("card", "card", "ip", "phone"))
         if kind == "phone":
             country = rng.choice(("1", "49", "44", "33", "34", "39", "351", "420"))
             if rng.random() < 0.25:
-                return kind, [(f"+{country} {digits(rng.choice((2, 3)))}/{digits(rng.choice((6, 7)))}", kind)]
-            one = rng.choice((f"+{country} {digits(rng.choice((2, 3)))} {digits(7)}", f"+{country} ({digits(2)}) {digits(7)}", f"+{country}{digits(rng.choice((9, 10)))}", f"+{country} {digits(3)} {digits(3)} {digits(4)}", f"+{country}-{digits(3)}-{digits(3)}-{digits(4)}"))
-            return kind, [(one, kind), (" ", None), rng.choice(((f"{date()} {digits(rng.randint(1, 4))}", None), (date(), None), (card(), "card"), (digits(rng.randint(8, 12)), None)))]
+                return kind, [(f"+{country} {self.digits(rng.choice((2, 3)))}/{self.digits(rng.choice((6, 7)))}", kind)]
+            d = self.digits
+            return kind, self.phone_beside(rng.choice((f"+{country} {d(rng.choice((2, 3)))} {d(7)}", f"+{country} ({d(2)}) {d(7)}", f"+{country}{d(rng.choice((9, 10)))}", f"+{country} {d(3)} {d(3)} {d(4)}", f"+{country}-{d(3)}-{d(3)}-{d(4)}")))
         if kind == "ip":
-            quad = ".".join(str(rng.randint(0 if i else 1, 255)) for i in range(4))
-            return kind, [(f"{rng.choice((rng.randint(256, 999), rng.randint(1000, 65535)))}.", None), (quad, kind), (rng.choice(("", "", "", f".{rng.randint(256, 65535)}")), None)]
-        if rng.random() < 0.25:
-            return kind, [(grouped(card(), "."), kind)]
-        by, side = rng.choice(("", " ", "-")), rng.random()
-        out = [(grouped(card(), by), kind)]
-        if side < 0.4:
-            out = [(number(), None), (" ", None), *out]
-        if side > 0.3:
-            out += [(" ", None), (grouped(card(), by), kind) if rng.random() < 0.5 else (number(), None)]
-        return kind, out
+            return kind, self.ip_beside(".".join(str(rng.randint(0 if i else 1, 255)) for i in range(4)))
+        return kind, self.card_beside(self.card())
 
-    def look_alike() -> str:
+    def look_alike(self) -> str:
         """Numbers that fail a base check as a whole and hold no item."""
+        rng, digits = self.rng, self.digits
         return rng.choice((" ".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(5, 14))), "-".join(digits(rng.randint(2, 5)) for _ in range(rng.randint(4, 8))), " ".join(digits(rng.choice((8, 12, 13, 14, 16))) for _ in range(rng.randint(2, 4))), ".".join(str(rng.randint(0, 30)) for _ in range(rng.randint(5, 8))), f"{rng.randint(1990, 2039)}.{'.'.join(str(rng.randint(0, 31)) for _ in range(rng.randint(4, 6)))}", ".".join(digits(rng.randint(2, 5)) for _ in range(rng.randint(4, 7))), f"+{digits(rng.randint(1, 3))} {' '.join(digits(rng.randint(1, 6)) for _ in range(rng.randint(4, 9)))}", f"+{digits(2)}.{digits(2)} {' '.join(f'{digits(2)}.{digits(2)}' for _ in range(rng.randint(3, 6)))}"))
 
-    def good() -> tuple[str, str]:
-        kind = rng.choice(("email", "phone", "phone", "iban", "ssn"))
+    def good(self) -> tuple[str, str]:
+        rng, digits, kind = self.rng, self.digits, self.rng.choice(("email", "phone", "phone", "iban", "ssn"))
         if kind == "email":
-            at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")))
-            return kind, f"{word()}.{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
+            return kind, self.spelled(f"{self.word()}.{self.word()}", f"{self.word()}.{rng.choice(('com', 'org', 'net', 'de'))}")
         if kind == "phone":
-            return kind, rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}".replace(") ", ")-"), f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"0049 {digits(3)} {digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))
+            return kind, rng.choice((f"({digits(3)})-{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"0049 {digits(3)} {digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))
         if kind == "iban":
-            return kind, iban()
+            return kind, self.iban()
         return kind, f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
 
-    def bad() -> str:
-        return rng.choice((f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(3)} {digits(2)} {digits(3)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(2)}-{digits(2)}-{digits(3)}-{digits(2)}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(9)}", f"AB{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}"))
+    def bad(self) -> str:
+        digits, word = self.digits, self.word
+        return self.rng.choice((f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(3)} {digits(2)} {digits(3)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(2)}-{digits(2)}-{digits(3)}-{digits(2)}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(9)}", f"AB{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}"))
+
+    def rewritten(self, kind: str, item: str) -> list[tuple[str, str | None]]:
+        """A base item of a document in a form that the base patterns miss, in pieces with their kinds."""
+        rng = self.rng
+        if kind == "email":
+            name, _, host = item.partition("@")
+            return [(self.spelled(name, host), kind)]
+        if kind == "ip":
+            return self.ip_beside(item)
+        if kind == "card":
+            return self.card_beside("".join(c for c in item if c.isdigit()))
+        return self.phone_beside(item) if rng.random() < 0.7 else [("00" + item[1:], kind)]
+
+
+def proposed(before: str, pieces: list[tuple[str, str | None]], after: str) -> Iterator[tuple[list[float], float]]:
+    """Features of the proposals that meet the pieces between two contexts, and whether each is just one of the items."""
+    items, at = set(), len(before)
+    for piece, kind in pieces:
+        items |= {(at, at + len(piece), kind)} if kind else set()
+        at += len(piece)
+    text = before + "".join(piece for piece, _ in pieces) + after
+    for span in free(proposals(text), base_spans(text)):
+        if span[0] < at and span[1] > len(before):
+            yield features(text, span), float(span in items)
 
+
+def examples(n: int = 18000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Proposals in generated sentences, with whether each is personal data."""
+    make = Inventor(seed)
+    rng, x, y = make.rng, [], []
     while len(x) < n:
         real, beside = rng.random() < 0.5, rng.random() < 0.5
-        kind, value = (failing() if beside else good()) if real else (None, look_alike() if beside else bad())
-        cue = rng.choice(CUES[kind]) if real and rng.random() < 0.85 else rng.choice(AGAINST) if not real and rng.random() < 0.6 else word()
+        kind, value = (make.failing() if beside else make.good()) if real else (None, make.look_alike() if beside else make.bad())
+        cue = rng.choice(CUES[kind]) if real and rng.random() < 0.85 else rng.choice(AGAINST) if not real and rng.random() < 0.6 else make.word()
         if real and cue not in CUES[kind] and kind not in ("iban", "card"):
             real = False  # without a cue a bare number is no evidence
-        head = f"{word()} {word()} {cue}{rng.choice((': ', ' ', ' is ', ' no. '))}"
-        items, at = set(), len(head)
-        for piece, held in value if isinstance(value, list) else ():
-            items |= {(at, at + len(piece), held)} if held else set()
-            at += len(piece)
-        value = "".join(piece for piece, _ in value) if isinstance(value, list) else value
-        text = f"{head}{value} {word()} {word()}."
-        for span in free(proposals(text), base_spans(text)):
-            if text[span[0] : span[1]] in value or value in text[span[0] : span[1]]:
-                x.append(features(text, span))
-                y.append(float(real and (span in items if items else span[2] == kind)))
+        pieces = value if isinstance(value, list) else [(value, kind)]
+        if not real:
+            pieces = [(piece, None) for piece, _ in pieces]
+        for row, good in proposed(f"{make.word()} {make.word()} {cue}{rng.choice((': ', ' ', ' is ', ' no. '))}", pieces, f" {make.word()} {make.word()}."):
+            x.append(row)
+            y.append(good)
     return np.array(x[:n]), np.array(y[:n])
 
 
+Snippet = tuple[str, str, str, str, bool]
+
+
+def snippets(docs: DataFrame, most: int = MOST_SAMPLED) -> list[Snippet]:
+    """before, item, after, kind of base spans and of other proposals (True: base) of about `most` documents, in order.
+
+    Documents are taken by a hash of their text, as many as make up `most` of all on average; a task returns a few words
+    around each span, never texts, and at most MOST_SNIPPETS of them, by hash, come to the driver's fit.
+    """
+    n = docs.count()
+    rows = docs.select(text_or_empty().alias("text"))
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            found = []
+            for text in texts:
+                base = base_spans(text)
+                other = free(proposals(text), base)
+                for spans, is_base in ((base, True), (other, False)):
+                    found += [(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], kind, is_base) for a, b, kind in spans[:50]]  # a page of numbers is one example, not a thousand
+            yield pa.RecordBatch.from_pylist([dict(zip(SNIPPET.names, row, strict=True)) for row in found], SNIPPET)
+
+    sample = rows.mapInArrow(run, "before string, item string, after string, kind string, base boolean").distinct()
+    order = F.xxhash64("before", "item", "after", "kind")
+    return sorted(tuple(r) for r in sample.orderBy(order, "before", "item").limit(MOST_SNIPPETS).collect())
+
+
+SNIPPET = pa.schema([("before", pa.string()), ("item", pa.string()), ("after", pa.string()), ("kind", pa.string()), ("base", pa.bool_())])
+
+
+def corpus_examples(found: list[Snippet], seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Proposals in the documents' own words: rewritten base items, look-alikes in their places, and what was proposed there.
+
+    Proposals of cards, addresses and account numbers come with a proof of format, so those found in documents are not
+    taken as examples against it.
+    """
+    make = Inventor(seed)
+    x, y = [np.zeros((0, N_FEATURES))], []
+    for before, item, after, kind, base in found:
+        rows = []
+        if base:
+            for _ in range(3):
+                rows += proposed(before, make.rewritten(kind, item), after)
+                rows += proposed(before, [(make.look_alike() if make.rng.random() < 0.5 else make.bad(), None)], after)
+        elif kind in ("email", "phone", "ssn"):
+            rows += proposed(before, [(item, None)], after)
+        if rows:
+            x.append(np.array([r for r, _ in rows]))
+            y += [g for _, g in rows]
+    return np.concatenate(x), np.array(y)
+
+
+def trained(found: list[Snippet], n: int = 18000) -> BoostedTrees:
+    """Trees fitted on two thirds of the examples of both sources, and calibrated on the rest."""
+    both = [examples(n), corpus_examples(found)]
+    part = lambda a, fit: a[: len(a) * 2 // 3] if fit else a[len(a) * 2 // 3 :]
+    pick = lambda i, fit: np.concatenate([part(data[i], fit) for data in both])
+    return BoostedTrees(trees=60).fit(pick(0, True), pick(1, True)).calibrate(pick(0, False), pick(1, False))
+
+
+def fitted(docs: DataFrame, most: int = MOST_SAMPLED) -> BoostedTrees:
+    """The trees for a table of documents; the same for the same rows, however they are dealt."""
+    return trained(snippets(docs, most))
+
+
 @cache
 def model() -> BoostedTrees:
-    """Fitted on two thirds of the examples and calibrated on the rest; the same in every process."""
-    x, y = examples()
-    cut = len(x) * 2 // 3
-    return BoostedTrees(trees=60).fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:])
+    """Fitted on generated sentences alone; the same in every process."""
+    return trained([])
+
+
+N_FEATURES = len(features("x", (0, 1, "email")))
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], trees: BoostedTrees, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
@@ -301,6 +429,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], trees: BoostedTrees
     found = free(proposals(text), base)
     if not found:
         return []
+    found = sorted(set(found), key=lambda s: (s[0], s[1], KINDS.index(s[2])))
     p, out = trees.probability(np.array([features(text, s) for s in found])), []
     for i in np.argsort(-p, kind="stable").tolist():
         if p[i] < threshold:
@@ -315,14 +444,16 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees | None = None) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans of each row.
 
-    Null texts count as empty: no spans, the hash of the empty string. Repeated rows repeat. One narrow pass over whole
-    texts; offsets count code points.
+    Null texts count as empty: no spans, the hash of the empty string. Repeated rows repeat, null ids stay, empty tables
+    give no rows, other columns are not read. Of equally likely proposals that overlap the first in order of place is
+    added. A pass over a sample to fit the trees (`trees`: fitted ones), then one narrow pass over whole texts; offsets
+    count code points.
     """
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model())
+    held = docs.sparkSession.sparkContext.broadcast(trees or fitted(docs))
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -351,10 +482,13 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with every span of its texts replaced by its kind in brackets, and n_chars, if there, counted anew. Nulls stay."""
+def redact(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees | None = None) -> DataFrame:
+    """`docs` with every span of its texts replaced by its kind in brackets, and n_chars, if there, counted anew.
+
+    Null texts stay null, empty ones empty; repeated rows repeat; other columns stay as they are, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model())
+    held = docs.sparkSession.sparkContext.broadcast(trees or fitted(docs))
 
     def run(batches):
         for batch, texts in slices(batches, "text"):

@@ -102,7 +102,7 @@ def passes_luhn(digits: str) -> bool:
 def pii(text: str | None) -> list[tuple[int, int, str]]:
     text = text or ""
     out = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int("0" + x.lstrip("0")) <= 255 for x in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 12 <= len(digits) <= 19 and passes_luhn(digits):
