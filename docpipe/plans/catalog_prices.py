@@ -27,7 +27,11 @@ priced as (select *, list_filter(list_transform(regexp_extract_all(row_text, '-?
 candidates as (select *, list_filter(range(len(p)), lambda i: abs(p[i + 1]) >= 100 and abs(p[i + 1]) < 1000 and list_max(list_transform(p, lambda x: abs(x))) >= 900) as amb from priced)"""
 CANDIDATES = f"with {CANDIDATES_STEP} select doc_id, item_no, array_to_string(p, ' ') as prices, (rate / 100)::decimal(18, 6)::double as vat_percent, array_to_string(amb, ' ') as ambiguous from candidates"
 
-TRIPLES_INPUT = f"select l_orderkey, l_linenumber, l_partkey, q, t, case when l_partkey % 7 = 0 then gross_c else case when l_partkey % 2 = 0 then net_c else unit_c end end as u, net_c as n, gross_c + case when l_partkey % 5 = 0 then 77 else 0 end as g from ({inputs.LINES}) l"
+#: Triples in and out of order, all negative, with one amount a cent below zero, and of no more than a cent.
+TRIPLES_INPUT = f"""
+select l_orderkey, l_linenumber, l_partkey, q, t, case when l_partkey % 13 = 3 then -1 else sign * u end as u, sign * n as n, case when l_partkey % 13 = 4 then -1 else sign * g end as g from (
+  select *, case when l_partkey % 11 = 0 then -1 else 1 end as sign, case when l_partkey % 7 = 0 then gross_c when l_partkey % 17 = 1 then 0 when l_partkey % 2 = 0 then net_c else unit_c end as u,
+    case when l_partkey % 17 = 1 then 1 else net_c end as n, case when l_partkey % 17 = 1 then l_partkey % 3 - 1 else gross_c + case when l_partkey % 5 = 0 then 77 else 0 end end as g from ({inputs.LINES}) l) x"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +43,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _thousandths(u: str, n: str, g: str, q: str, rate_known: str, rate: str) -> str:
-    """The score times 1,000 of amounts in cents, all at least 0."""
-    off = lambda r: f"abs(floor(({n} * (100 + {r}) + 50) / 100)::bigint - {g})"
+    """The score times 1,000 of amounts in cents; null where impossible."""
+    off = lambda r: f"abs((sign({n}) * floor((abs({n}) * (100 + {r}) + 50) / 100))::bigint - {g})"
     best = f"least({off(0)}, {off(5)}, {off(18)}, {off(27)})"
-    return f"""case when {u} <= {n} + 1 and {n} <= {g} + 1 then case when {q} <> 1 then 0 when {u} = {n} then -100000 else abs({u} - {n}) * 100 end
+    possible = f"""(least({u}, {n}, {g}) >= 0 or greatest({u}, {n}, {g}) <= 0)
+    and case when least({u}, {n}, {g}) < -1 then {u} >= {n} - 1 and {n} >= {g} - 1 else {u} <= {n} + 1 and {n} <= {g} + 1 end"""
+    return f"""case when {possible} then case when {q} <> 1 then 0 when {u} = {n} then -100000 else abs({u} - {n}) * 100 end
     + case when {rate_known} then case when {off(rate)} <= 50 then -50000 else {off(rate)} * 200 end else case when {best} <= 50 then -30000 else {best} * 100 end end + ({g} - {u}) end"""
 
 
