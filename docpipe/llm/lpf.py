@@ -40,7 +40,7 @@ from docpipe.llm.common import bounded_batches, file_system, make_dir, materiali
 
 SIZE = 50
 ANCHOR = 20
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 SEGMENT = 1 << 21
 #: Anchors with more classes in a bucket, or more runs in a chunk, are compared window by window, elsewhere.
 MANY_CLASSES, COMMON = 64, 8
@@ -290,6 +290,27 @@ def _windows(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def window_hashes(data: np.ndarray, at: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A hash of each window, worked out for some at a time."""
+    view, weights = np.lib.stride_tricks.sliding_window_view(data, SIZE), spans.powers(spans.BASE, 64)[:SIZE]
+    parts = [view[at[i : i + step]].astype(np.uint64) @ weights for i in range(0, len(at), step)]
+    return spans.mix(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+
+def window_firsts(data: np.ndarray, at: np.ndarray, owner: np.ndarray, hashed: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Whether no equal window of the chunk has a smaller id. Windows with equal hashes are compared byte by byte."""
+    order = np.lexsort((owner, hashed))
+    new = np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])
+    same, view = np.flatnonzero(~new), np.lib.stride_tricks.sliding_window_view(data, SIZE)
+    for i in range(0, len(same), step):
+        part = same[i : i + step]
+        new[part] = (view[at[order[part]]] != view[at[order[part - 1]]]).any(axis=1)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    out = np.zeros(len(at), bool)
+    out[order] = owner[order[start]] == owner[order]
+    return out
+
+
 def contexts(asked: DataFrame, chunks: DataFrame, uri: str, buckets: int) -> DataFrame:
     """The bytes of the runs that were asked for, by bucket; runs of very common anchors window by window."""
 
@@ -308,19 +329,16 @@ def contexts(asked: DataFrame, chunks: DataFrame, uri: str, buckets: int) -> Dat
             first, n = (np.concatenate(x) for x in zip(*common, strict=True))
             if len(first):
                 at = _windows(first, n)
-                text = np.lib.stride_tricks.sliding_window_view(data, SIZE)[at]
-                key = np.ascontiguousarray(text).view(f"S{SIZE}")[:, 0]
-                owner = doc(at)
-                _, number = np.unique(key, return_inverse=True)
-                mine = local_firsts(number, owner)
+                owner, hashed = doc(at), window_hashes(data, at)
+                mine = window_firsts(data, at, owner, hashed)
                 if not mine.all():
                     done = np.sort(at[~mine])
                     rows.append(_row(_aside(chunk, buckets), chunk, LOCAL, pack(done, np.ones_like(done))))
-                text, at, owner = text[mine], at[mine], owner[mine]
-                hashed = spans.mix((text.astype(np.uint64) * spans.powers(spans.BASE, 64)[:SIZE]).sum(axis=1, dtype=np.uint64))
+                at, owner, hashed = at[mine], owner[mine], hashed[mine]
                 for bucket, chosen in _by_bucket((hashed % np.uint64(buckets)).astype(np.int64)):
                     chosen = chosen[np.argsort(at[chosen], kind="stable")]
-                    rows.append(_row(bucket, chunk, CONTEXT, _joined(text[chosen].tobytes(), pack(at[chosen], np.ones(len(chosen), np.int64), owner[chosen]))))
+                    text = np.lib.stride_tricks.sliding_window_view(data, SIZE)[at[chosen]].tobytes()
+                    rows.append(_row(bucket, chunk, CONTEXT, _joined(text, pack(at[chosen], np.ones(len(chosen), np.int64), owner[chosen]))))
             yield _batch(rows)
 
     wanted = asked.join(chunks, "chunk").repartition(partitions(asked.sparkSession), "chunk").sortWithinPartitions("chunk")
