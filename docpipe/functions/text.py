@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,14 +58,33 @@ def clean_text(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkd_fold(texts: pd.Series) -> pd.Series:
-    """Compatibility-decomposed, without combining marks, lower case; Spark has no function for it."""
-    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower())
-
-
-def latin_fold(c: Column) -> Column:
-    """nfkd_fold for Latin letters, inside the JVM."""
-    return F.lower(F.translate(c, "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖŐòóôõöőÙÚÛÜŰùúûüűÝýÿŠšŽžČč", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUUuuuuuYyySsZzCc"))
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Texts without combining marks after compatibility decomposition, lower case; nulls stay. Whole batches are joined
+    and decomposed at once: no text holds the mark between them."""
+    known = texts.notna()
+    if not known.any():
+        return texts
+    parts = unicodedata.normalize("NFKD", "\ue000".join(t.replace("\ue000", "\ue001") for t in texts[known]))
+    plain = parts.translate(_marks()).lower().split("\ue000")
+    out = texts.astype(object)
+    out[known] = plain
+    return out
+
+
+@cache
+def _marks() -> dict[int, None]:
+    """Combining characters, for deletion."""
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+
+
+def nfkd_fold(c: Column | str) -> Column:
+    """Compatibility-decomposed, without combining marks, lower case; null gives empty text.
+
+    Spark has no function for it, but letters of ASCII need none: only other texts are sent to Python.
+    """
+    text = F.col(c) if isinstance(c, str) else c
+    plain = ~F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.when(plain, F.lower(F.coalesce(text, F.lit("")))), _decomposed(F.when(~plain, text)))
 
 
 def name_tokens(folded: Column) -> Column:

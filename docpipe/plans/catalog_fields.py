@@ -181,9 +181,10 @@ ESTIMATES = "select doc_id, round(75.00 + coalesce(n_chars, 0)::decimal(18, 2) *
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.run(spark, sf_dir, CURRENCY_INPUT)
-    each = [docs.select("doc_id", F.lit(kind).alias("kind"), F.md5(extraction_prompt(F.col("text"), kind)).alias("prompt_md5")) for kind in ("metadata", "items", "full")]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    """Every kind of prompt for every document: texts are read and their currencies found once."""
+    docs = inputs.run(spark, sf_dir, CURRENCY_INPUT).withColumn("found", currency.detect_currency(F.col("text")))
+    each = [F.struct(F.lit(kind).alias("kind"), F.md5(extraction_prompt(F.col("text"), kind, F.col("found"))).alias("prompt_md5")) for kind in ("metadata", "items", "full")]
+    return docs.select("doc_id", F.inline(F.array(*each)))
 
 
 def _prompt_sql(kind: str) -> str:

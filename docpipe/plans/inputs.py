@@ -69,13 +69,10 @@ ROW_TEXT = f"concat(name, ' 4744183012622 ', quantity, ' ', {cents('unit_c', ','
 
 #: Lines of the invoices' tables: a header, a row for each item, up to two lines that go on with its name, sums, a greeting.
 TABLE_LINES = f"""
-select doc_id, cast(3 * item_no as int) as line_no, {ROW_TEXT} as line from ({ITEMS}) i
-union all select doc_id, cast(3 * item_no + 1 as int), 'deluxe edition' from ({ITEMS}) i where l_partkey % 3 = 0
-union all select doc_id, cast(3 * item_no + 2 as int), 'in blue box' from ({ITEMS}) i where l_partkey % 6 = 0
-union all select o_orderkey, 0, 'Item quantity unit net gross' from {{orders}}
-union all select o_orderkey, 90000, 'Total' from {{orders}} where o_orderkey % 2 = 0
-union all select o_orderkey, 90001, '1,00 2,00 3,00' from {{orders}} where o_orderkey % 4 = 0
-union all select o_orderkey, 90002, 'Thank you' from {{orders}}"""
+select doc_id, cast(3 * item_no + k as int) as line_no, case k when 0 then {ROW_TEXT} when 1 then 'deluxe edition' else 'in blue box' end as line
+from ({ITEMS}) i join (values (0), (1), (2)) v(k) on k = 0 or k = 1 and l_partkey % 3 = 0 or k = 2 and l_partkey % 6 = 0
+union all select o_orderkey, cast(case k when 0 then 0 else 89999 + k end as int), case k when 0 then 'Item quantity unit net gross' when 1 then 'Total' when 2 then '1,00 2,00 3,00' else 'Thank you' end
+from {{orders}} join (values (0), (1), (2), (3)) v(k) on k = 0 or k = 3 or k = 1 and o_orderkey % 2 = 0 or k = 2 and o_orderkey % 4 = 0"""
 
 #: Words with places: lines of three words whose y drifts, gaps of two widths, some documents in two columns.
 WORD_PLACES = """

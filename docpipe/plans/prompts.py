@@ -30,9 +30,9 @@ def prompt_frame(kind: str) -> tuple[str, str, int | None]:
     return f"{task}\n{GUARD}\nShape of the answer: ", shape, chars
 
 
-def extraction_prompt(text: Column, kind: str = "full") -> Column:
-    """The prompt for a document's text. metadata sees its first 1,500 characters, full its first 1,800, items all of it."""
+def extraction_prompt(text: Column, kind: str = "full", currency: Column | None = None) -> Column:
+    """The prompt for a document's text, with its currency (if that is not given, found in the text). metadata sees its first 1,500 characters, full its first 1,800, items all of it."""
     before, shape, chars = prompt_frame(kind)
     body = F.coalesce(text, F.lit(""))
-    answer = F.replace(F.lit(shape), F.lit("%s"), detect_currency(text))
+    answer = F.replace(F.lit(shape), F.lit("%s"), detect_currency(text) if currency is None else currency)
     return F.concat(F.lit(before), answer, F.lit("\n\nDocument:\n"), F.substring(body, 1, chars) if chars else body, F.lit("\n\nJSON:"))
