@@ -15,7 +15,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans, tokens
@@ -37,10 +37,9 @@ class CorruptBlock(ValueError):
 
 
 def frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Positive integers in proportion to positive counts that sum to 2**bits."""
+    """Positive integers in proportion to positive counts that sum to 2**bits, or to more where there are more symbols."""
+    bits = max(bits, (2 * len(counts)).bit_length())
     total = 1 << bits
-    if len(counts) > total:
-        raise ValueError(f"{len(counts)} symbols need more than {bits} bits")
     if not len(counts):
         return np.zeros(0, np.int64)
     out = np.maximum(1, counts.astype(np.float64) * total / counts.sum()).astype(np.int64)
@@ -54,9 +53,14 @@ def frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def encode_lanes(index: np.ndarray, freq: np.ndarray, start: np.ndarray, bits: int = BITS, lanes: int = LANES, every: int = CHECKPOINT_STEPS) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
+def table_bits(freq: np.ndarray) -> int:
+    """Whose power of two the frequencies sum to."""
+    return max(0, int(freq.sum()).bit_length() - 1)
+
+
+def encode_lanes(index: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int = LANES, every: int = CHECKPOINT_STEPS) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """The final states, the 32-bit words in the decoder's order, and checkpoints (step, place, states)."""
-    f, c = freq[index].astype(np.uint64), start[index].astype(np.uint64)
+    f, c, bits = freq[index].astype(np.uint64), start[index].astype(np.uint64), table_bits(freq)
     limit = f << np.uint64(63 - bits)
     state, chunks, marks, written = np.full(lanes, LOW, np.uint64), [], [], 0
     for step in reversed(range(-(-len(index) // lanes))):
@@ -75,9 +79,10 @@ def encode_lanes(index: np.ndarray, freq: np.ndarray, start: np.ndarray, bits: i
     return state, words, [(step, len(words) - at, x) for step, at, x in reversed(marks)]
 
 
-def decode_lanes(n: int, state: np.ndarray, words: np.ndarray, freq: np.ndarray, start: np.ndarray, slots: np.ndarray, bits: int = BITS, first_step: int = 0, at: int = 0, last_step: int | None = None) -> np.ndarray:
+def decode_lanes(n: int, state: np.ndarray, words: np.ndarray, freq: np.ndarray, start: np.ndarray, slots: np.ndarray, first_step: int = 0, at: int = 0, last_step: int | None = None) -> np.ndarray:
     """Symbol indexes of the steps from first_step up to last_step, of a block of n tokens."""
     lanes, steps = len(state), -(-n // max(1, len(state)))
+    bits = table_bits(freq)
     last_step = steps if last_step is None else min(last_step, steps)
     state, f, c, mask = state.copy(), freq.astype(np.uint64), start.astype(np.uint64), np.uint64((1 << bits) - 1)
     out = np.empty(max(0, min(n, last_step * lanes) - first_step * lanes), np.int32)
@@ -121,8 +126,13 @@ def unpack_block(data: bytes, symbols: np.ndarray, freq: np.ndarray, slots: np.n
 
 
 def decode_from(data: bytes, step: int, symbols: np.ndarray, freq: np.ndarray, slots: np.ndarray) -> tuple[int, np.ndarray]:
-    """Decodes a block from the last checkpoint at or before `step`: the first token's place and the ids from there on."""
-    n, _, lanes, n_words, n_marks, n_dir, _, _ = HEAD.unpack_from(data)
+    """Decodes a block from the last checkpoint at or before `step`: the first token's place and the ids from there on.
+
+    The block's bytes are checked, its ids can't be, as they are not all decoded; CorruptBlock if the check fails.
+    """
+    n, _, lanes, n_words, n_marks, n_dir, _, body_crc = HEAD.unpack_from(data)
+    if zlib.crc32(memoryview(data)[HEAD.size :]) != body_crc:
+        raise CorruptBlock("block bytes")
     at = HEAD.size + n_dir
     words = np.frombuffer(data, "<u4", n_words, at + 8 * lanes + n_marks * (8 + 8 * lanes))
     best = (0, 0, np.frombuffer(data, "<u8", lanes, at))
@@ -183,9 +193,10 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
     """Tokenizes doc_id and text, appends end_id to each document and writes archive files in ascending doc_id order.
 
     Returns the manifest, a row per block. Null texts count as empty (only the end id); null doc_ids come first; rows of
-    one doc_id stand by text. A range shuffle on doc_id orders the documents; each task writes a file of its own, holding
-    GROUP_TOKENS ids (or one longer document) at a time. A retried task writes under a new name, and the manifest, written
-    by Spark, holds the names of committed attempts only.
+    one doc_id stand by a hash of their text, then by text, so many rows of one id, or without one, are spread over
+    tasks. Empty tables give no blocks; other columns are not read. A range shuffle orders the documents; each task writes
+    a file of its own, holding GROUP_TOKENS ids (or one longer document) at a time. A retried task writes under a new name,
+    and the manifest, written by Spark, holds the names of committed attempts only.
     """
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
@@ -239,7 +250,8 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int = 0, uri: str | N
             out.close()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = rows.withColumn("__h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
     return materialize(ordered.mapInArrow(run, BLOCKS), "manifest").withColumn("uri", F.lit(uri))
 
 
@@ -250,7 +262,10 @@ def _table(uri: str, path: str, at: int, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def read_archive(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and token_ids, decoded from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and token_ids, decoded from the files.
+
+    A manifest without blocks gives no rows; a block whose checksum fails is an error.
+    """
     order = ["part", "block"]
     files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per task that wrote
     before, total = {}, 0
@@ -279,10 +294,5 @@ def read_archive(manifest: DataFrame) -> DataFrame:
 
 
 def token_archive(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes the archive of `docs` and reads it back."""
+    """Writes the archive of `docs` and reads it back: see write_archive for nulls, repeats and order."""
     return read_archive(write_archive(docs, tokenizer, end_id))
-
-
-def open_session_archive(spark: SparkSession, manifest_path: str) -> DataFrame:
-    """An archive whose manifest was written earlier."""
-    return read_archive(spark.read.parquet(manifest_path))
