@@ -150,7 +150,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     if not sample:
         return [], np.zeros(0)
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in sample], "doc_id long, y int")  # at most `most` rows
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of a repeated id always the same text
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -190,7 +190,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text the fitted model accepts."""
+    """The rows of `docs`, with all their columns, whatever their names, whose text the fitted model accepts.
+
+    Null texts count as empty; repeated rows share their fate; empty tables stay empty; without usable labels all rows stay.
+    """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
