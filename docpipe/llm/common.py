@@ -14,18 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders below the shared one that this process has made and not dropped, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for `name` below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests, one machine) a local folder is made and set as the checkpoint folder.
+    Only in local mode (tests, one machine) may that setting be missing: a local folder is made then and set as the
+    checkpoint folder. On a cluster a missing setting is an error, as no executor could read another's local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="docpipe-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docpipe/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/docpipe/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +45,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """A mark for `drop_since`: how many folders are there now."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Deletes the folders made since the mark, but for that which `keep`, a materialized table, was written to.
+
+    For callers that have written what they need: DataFrames that read one of the folders can't be read any more.
+    """
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    for path in _made[mark:]:
+        if not any(x.startswith(path) or path.rsplit("/", 1)[-1] in x for x in kept):
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _made.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
