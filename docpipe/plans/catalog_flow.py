@@ -114,11 +114,32 @@ def kept_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEPT_JOBS = f"select job_id from ({inputs.JOB_EVENTS}) x group by job_id having max(ts) >= timestamp '2024-01-30 00:00:00'"
 
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.snapshots(events(spark, sf_dir))
+
+
+_stage = lambda name: f"""'"{name}":{{"progress":' || coalesce(max(p) filter (stage = '{name}'), 0) || ',"status":"' || coalesce(max(s) filter (stage = '{name}'), 'pending') || '"' || coalesce(',"duration":' || max(seconds::double) filter (stage = '{name}'), '') || '}}'"""
+SNAPSHOTS = f"""
+with states as ({STATES}), durations as ({DURATIONS}),
+stages as (select job_id, stage, case when bool_or(action = 'complete') then 100 else greatest(0, least(100, arg_max(coalesce(progress, 0), (ts, seq)))) end as p,
+  case when bool_or(action = 'complete') then 'completed' when bool_or(progress > 0) then 'processing' else 'pending' end as s
+  from ({inputs.JOB_EVENTS}) x where stage in ('upload', 'ocr', 'llm', 'postprocess') and action in ('update', 'complete') group by all),
+listed as (select st.job_id, st.status, st.progress, st.stage as place, g.stage, p, s, seconds from states st left join stages g using (job_id) left join durations d on d.job_id = g.job_id and d.stage = g.stage where st.status is not null)
+select job_id, '{{"status":"' || status || '","progress":' || progress || ',"stage":"' || place || '","stages":{{' || {_stage('upload')} || ',' || {_stage('ocr')} || ',' || {_stage('llm')} || ',' || {_stage('postprocess')} || '}}}}' as snapshot
+from listed group by job_id, status, progress, place"""
+
+
+def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.listed(jobs.job_states(events(spark, sf_dir)))
+
+
+JOB_LIST = f"select job_id, status, progress from ({STATES}) x where status is not null"
+
 QUERIES = {
     "json_header": headers, "json_items": items, "json_longest": arrays, "process_invoices": invoices, "model_answers": answers,
-    "job_state": states, "job_changes": changes, "stage_durations": durations, "job_retention": kept_jobs,
+    "job_state": states, "job_changes": changes, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
     "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "model_answers": ANSWERS,
-    "job_state": STATES, "job_changes": CHANGES, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS,
+    "job_state": STATES, "job_changes": CHANGES, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }

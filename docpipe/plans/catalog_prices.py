@@ -111,15 +111,15 @@ def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 GREEDY = f"""
 with recursive s as materialized ({MATCHES}),
 n as (select doc_id, max(item_no) as last from s group by doc_id),
-fold(doc_id, at, used, line_idx) as (
+fold(doc_id, pos, used, line_idx) as (
   select doc_id, 0, []::int[], null::int from n
   union all
-  select f.doc_id, f.at + 1, case when max(b.best) > 0 then list_append(any_value(f.used), arg_max(b.line_idx, (b.best, -b.line_idx))::int) else any_value(f.used) end,
+  select f.doc_id, f.pos + 1, case when max(b.best) > 0 then list_append(any_value(f.used), arg_max(b.line_idx, (b.best, -b.line_idx))::int) else any_value(f.used) end,
     case when max(b.best) > 0 then arg_max(b.line_idx, (b.best, -b.line_idx))::int end
-  from fold f join n on n.doc_id = f.doc_id and f.at < n.last
-  join lateral (select s.line_idx, s.score - case when list_contains(f.used, s.line_idx) then 0.5 else 0 end as best from s where s.doc_id = f.doc_id and s.item_no = f.at + 1) b on true
-  group by f.doc_id, f.at)
-select doc_id, at as item_no, line_idx from fold where at > 0"""
+  from fold f join n on n.doc_id = f.doc_id and f.pos < n.last
+  join lateral (select s.line_idx, s.score - case when list_contains(f.used, s.line_idx) then 0.5 else 0 end as best from s where s.doc_id = f.doc_id and s.item_no = f.pos + 1) b on true
+  group by f.doc_id, f.pos)
+select doc_id, pos as item_no, line_idx from fold where pos > 0"""
 
 SPLIT_INPUT = "select page_id, html as text from {pages}"
 
@@ -134,4 +134,4 @@ with a as (select page_id, list_filter(list_transform(regexp_split_to_array(repl
 select page_id, unnest(range(len(l)))::int as line_idx, unnest(l) as line from a"""
 
 QUERIES = {"price_candidates": candidates, "triple_score": scores, "best_triple": best_triples, "item_remap": remapped, "match_score": matches, "match_greedy": greedy, "table_lines": split_lines}
-ORACLES = {"price_candidates": CANDIDATES, "triple_score": SCORES, "best_triple": BEST, "match_score": MATCHES, "table_lines": SPLIT}
+ORACLES = {"price_candidates": CANDIDATES, "triple_score": SCORES, "best_triple": BEST, "match_score": MATCHES, "match_greedy": GREEDY, "table_lines": SPLIT}

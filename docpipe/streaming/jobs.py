@@ -55,6 +55,38 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return ends.select("job_id", "stage", seconds.alias("seconds"))
 
 
+def stage_states(events: DataFrame) -> DataFrame:
+    """job_id, stage, progress, status (pending, processing, completed) of the known stages that a job's updates name.
+
+    The last update gives the progress; a stage that ever was past 0 is processing, one that was completed stays so.
+    """
+    known = events.where(F.col("stage").isin(*STAGES) & F.col("action").isin("update", "complete"))
+    done = F.max(F.col("action") == "complete")
+    last = F.max_by(F.coalesce("progress", F.lit(0)), F.struct("ts", "seq"))
+    by_stage = known.groupBy("job_id", "stage").agg(last.alias("progress"), done.alias("done"), F.max(F.coalesce("progress", F.lit(0)) > 0).alias("begun"))
+    status = F.when(F.col("done"), "completed").when(F.col("begun"), "processing").otherwise("pending")
+    return by_stage.select("job_id", "stage", F.when(F.col("done"), 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), "progress"))).cast("int").alias("progress"), status.alias("status"))
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    """job_id and snapshot, JSON of each created job as a listener sees it: status, progress, stage and the four stages.
+
+    Times at which stages began are not shown, nor durations that are not known; stages without updates are pending.
+    """
+    states = job_states(events).where("status is not null")
+    stages = stage_states(events).join(stage_durations(events).withColumnRenamed("seconds", "duration"), ["job_id", "stage"], "left")
+    held = stages.groupBy("job_id").agg(*(F.max(F.when(F.col("stage") == name, F.struct("progress", "status", "duration"))).alias(name) for name in STAGES))
+    pending = F.struct(F.lit(0).alias("progress"), F.lit("pending").alias("status"), F.lit(None).cast("double").alias("duration"))
+    joined = states.join(held, "job_id", "left")
+    every = F.struct(*(F.coalesce(name, pending).alias(name) for name in STAGES)).alias("stages")
+    return joined.select("job_id", F.to_json(F.struct("status", "progress", "stage", every)).alias("snapshot"))
+
+
+def listed(states: DataFrame) -> DataFrame:
+    """job_id, status, progress of all created jobs."""
+    return states.where("status is not null").select("job_id", "status", "progress")
+
+
 def changes(snapshots: DataFrame, columns: tuple[str, ...] = ("status", "progress", "stage")) -> DataFrame:
     """Snapshots (job_id, ts, seq, columns) that differ from the job's one before: what a listener would be sent."""
     w = Window.partitionBy("job_id").orderBy("ts", "seq")
