@@ -30,8 +30,18 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.anchored_lines(words(spark, sf_dir)).select("doc_id", "page_no", "word_no", "anchored_line")
 
 
-#: In this input the words of a page lie 0.003 apart, so an anchor holds three of them.
-GROUPED = f"with {W} select doc_id, page_no, word_no, floor((word_no % 240) / 3)::int as anchored_line from w"
+def _anchored(keys: str, tolerance: float, source: str) -> str:
+    """CTEs numbered, fold and anchored: a fold over each page's words in order, one word a step, by recursion."""
+    same = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    joins = f"abs(t.y - f.anchor) < {tolerance}::double"
+    return f"""numbered as materialized (select *, row_number() over (partition by {keys} order by y, x, block_no, line_no, word_no) as n from {source}),
+fold as (select {keys}, n, y as anchor, 0 as line from numbered where n = 1 union all
+  select {", ".join(f"t.{k}" for k in keys.split(", "))}, t.n, case when {joins} then f.anchor else t.y end, case when {joins} then f.line else f.line + 1 end from fold f join numbered t on {same("t", "f")} and t.n = f.n + 1),
+anchored as (select t.*, f.line::int as anchored_line from numbered t join fold f on {same("t", "f")} and t.n = f.n)"""
+
+
+ANCHORED = _anchored("doc_id, page_no", layout.LINE_TOLERANCE, "w")
+GROUPED = f"with recursive {W}, {ANCHORED} select doc_id, page_no, word_no, anchored_line from anchored"
 
 
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +53,14 @@ def _spaced(keys: str, source: str) -> str:
 spaced as (select {keys}, anchored_line, string_agg(case when gap > 0.03::double then '  ' else '' end || value, ' ' order by x, word_no) as text from gapped group by all)"""
 
 
-ANCHORED = "anchored as (select *, floor((word_no % 240) / 3)::int as anchored_line from w)"
-SPACED = f"with {W}, {ANCHORED}, {_spaced('doc_id, page_no', 'anchored')} select * from spaced"
+SPACED = f"with recursive {W}, {ANCHORED}, {_spaced('doc_id, page_no', 'anchored')} select * from spaced"
 
 
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.structured_text(words(spark, sf_dir)).select("doc_id", "page_no", "text")
 
 
-STRUCTURED = f"with {W}, {ANCHORED}, {_spaced('doc_id, page_no', 'anchored')} select doc_id, page_no, {fold('string_agg(text, chr(10) order by anchored_line)')} as text from spaced where trim(text) <> '' group by all"
+STRUCTURED = f"with recursive {W}, {ANCHORED}, {_spaced('doc_id, page_no', 'anchored')} select doc_id, page_no, {fold('string_agg(text, chr(10) order by anchored_line)')} as text from spaced where trim(text) <> '' group by all"
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +76,9 @@ def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.two_column_text(words(spark, sf_dir))
 
 
-TWO = f"""with c as ({COLUMNS}), {W},
-sided as (select w.*, case when x < split_x then 0 else 1 end as side, floor((word_no % 240) / 6)::int as anchored_line from w join c using (doc_id) where split_x is not null),
-{_spaced('doc_id, page_no, side', 'sided')},
+TWO = f"""with recursive c as ({COLUMNS}), {W},
+sided as (select w.*, case when x < split_x then 0 else 1 end as side from w join c using (doc_id) where split_x is not null),
+{_anchored('doc_id, page_no, side', layout.COLUMN_LINE_TOLERANCE, 'sided')}, {_spaced('doc_id, page_no, side', 'anchored')},
 sides as (select doc_id, page_no, side, string_agg(text, chr(10) order by anchored_line) as t from spaced group by all)
 select doc_id, page_no, {fold("concat('=== LEFT COLUMN ===', chr(10), coalesce(max(t) filter (side = 0), ''), chr(10), chr(10), '=== RIGHT COLUMN ===', chr(10), coalesce(max(t) filter (side = 1), ''))")} as text from sides group by all"""
 

@@ -62,8 +62,8 @@ def best_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "item_no", *money)
 
 
-BEST = rf"""
-with raw as (select *, regexp_extract(row_text, ' (\d+)%', 1)::int as t, list_transform(regexp_extract_all(row_text, '\d+,\d+'), lambda p: replace(p, ',', '')::bigint) as p0 from ({ROWS_INPUT}) x),
+BEST_STEPS = rf"""
+raw as (select *, regexp_extract(row_text, ' (\d+)%', 1)::int as t, list_transform(regexp_extract_all(row_text, '\d+,\d+'), lambda p: replace(p, ',', '')::bigint) as p0 from ({ROWS_INPUT}) x),
 kept as (select doc_id, item_no, q, t, list_filter(p0, lambda p: p <> t * 100) as p from raw),
 r as (select doc_id, item_no, q, t, p, list_filter(range(1, len(p) + 1), lambda i: p[i] >= 10000 and p[i] < 100000 and list_max(p) >= 90000) as amb from kept where len(p) >= 3),
 options as (select doc_id, item_no, unnest(range(1, len(p) + 1)) as i, p, amb from r),
@@ -74,8 +74,8 @@ triples as (select a.doc_id, a.item_no, a.i, b.i as j, c.i as k, a.v as va, b.v
 orders6 as (select doc_id, item_no, s, i, j, k, unnest([(va, vb, vc), (va, vc, vb), (vb, va, vc), (vb, vc, va), (vc, va, vb), (vc, vb, va)]) as o from triples),
 split as (select doc_id, item_no, s, i, j, k, o[1] as u, o[2] as n, o[3] as g from orders6),
 scored as (select s.*, {_thousandths('u', 'n', 'g', 'q', 'true', 't')} as score from split s join r using (doc_id, item_no)),
-best as (select *, row_number() over (partition by doc_id, item_no order by score, s, i, j, k, u, n, g) as place from scored where score is not null)
-select doc_id, item_no, score::bigint / 1000 as score, u / 100 as unit, n / 100 as net, g / 100 as gross from raw left join (select * from best where place = 1) b using (doc_id, item_no)"""
+best as (select *, row_number() over (partition by doc_id, item_no order by score, s, i, j, k, u, n, g) as place from scored where score is not null)"""
+BEST = f"with {BEST_STEPS} select doc_id, item_no, score::bigint / 1000 as score, u / 100 as unit, n / 100 as net, g / 100 as gross from raw left join (select * from best where place = 1) b using (doc_id, item_no)"
 
 #: Items whose prices are all equal, or whose gross is far off, beside their rows.
 REPAIR_INPUT = f"select doc_id, item_no, name, quantity, case when l_partkey % 3 = 0 then {cents('net_c')} else unit_price end as unit_price, {cents('net_c')} as net, case when l_partkey % 3 = 0 then {cents('net_c')} when l_partkey % 3 = 1 then {cents('gross_c * 2')} else {cents('gross_c')} end as gross, currency, case when l_partkey % 11 = 0 then '' else {ROW_TEXT} end as row_text from ({inputs.ITEMS}) i"
@@ -86,6 +86,25 @@ def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("doc_id", "item_no", "unit_price", "net", "gross", F.array_join("warnings", ",").alias("warnings"))
 
 
+_off = lambda n, g, rate: f"abs(floor(({n} * (100 + {rate}) + 50) / 100)::bigint - {g})"  # noqa: E731  of positive cents
+_least_off = lambda n, g: f"case when {n} > 0 and {g} > 0 then least({_off(n, g, 0)}, {_off(n, g, 5)}, {_off(n, g, 18)}, {_off(n, g, 27)}) end"
+_in_row = lambda v: f"len(list_filter(p, lambda x: abs(x - {v}) <= 51)) > 0"
+#: Amounts in cents, scores in thousandths; a score or error that is missing counts as infinite.
+REMAPPED = f"""
+with {BEST_STEPS},
+own as (select *, quantity::bigint as q, (unit_price::decimal(18, 2) * 100)::bigint as u, (net::decimal(18, 2) * 100)::bigint as n, (gross::decimal(18, 2) * 100)::bigint as g from ({REPAIR_INPUT}) x),
+held as (select own.*, kept.p, kept.t, b.score as new_score, b.u as bu, b.n as bn, b.g as bg from own left join kept on own.doc_id = kept.doc_id and own.item_no = kept.item_no and row_text <> ''
+  left join best b on b.place = 1 and b.doc_id = own.doc_id and b.item_no = own.item_no and row_text <> ''),
+judged as (select *, {_thousandths('u', 'n', 'g', 'q', 'false', '0')} as score, {_least_off('n', 'g')} as error, {_least_off('bn', 'bg')} as new_error, u = n and n = g as repeated from held),
+chosen as (select *, coalesce((repeated or error is null or error > greatest(500, abs(g) * 0.05)) and bu is not null and not (bu = bn and bn = bg) and (
+  repeated and {_in_row('bu')} and {_in_row('bn')} and {_in_row('bg')} and {_off('bn', 'bg', 't')} <= 50
+  or coalesce(error - new_error > greatest(200, error * 0.5), false)
+  or case when score is null then true else score - new_score > 20000 end and case when error is null then true else coalesce(new_error <= error, false) end), false) as changed from judged)
+select doc_id, item_no, case when changed then {cents('bu')} else unit_price end as unit_price, case when changed then {cents('bn')} else net end as net, case when changed then {cents('bg')} else gross end as gross,
+  array_to_string(list_filter([case when changed then 'remapped_prices_by_vat_rule' end, case when g < n and g > 0 and n > 0 then 'gross_less_than_net' end, case when q = 1 and abs(u - n) > 1 and u > 0 then 'unit_price_ne_net_when_qty_1' end], lambda x: x is not null), ',') as warnings
+from chosen"""
+
+
 MATCH_LINES = f"select doc_id, cast(item_no * 2 as int) as line_idx, {ROW_TEXT} as line from ({inputs.ITEMS}) i union all select o_orderkey, 1, 'Total ' || cast(o_orderkey as string) || ',00' from {{orders}} union all select o_orderkey, 3, '' from {{orders}}"
 MATCH_ITEMS = f"select doc_id, item_no, name, quantity, unit_price, net, gross from ({inputs.ITEMS}) i"
 
@@ -134,4 +153,4 @@ with a as (select page_id, list_filter(list_transform(regexp_split_to_array(repl
 select page_id, unnest(range(len(l)))::int as line_idx, unnest(l) as line from a"""
 
 QUERIES = {"price_candidates": candidates, "triple_score": scores, "best_triple": best_triples, "item_remap": remapped, "match_score": matches, "match_greedy": greedy, "table_lines": split_lines}
-ORACLES = {"price_candidates": CANDIDATES, "triple_score": SCORES, "best_triple": BEST, "match_score": MATCHES, "match_greedy": GREEDY, "table_lines": SPLIT}
+ORACLES = {"price_candidates": CANDIDATES, "triple_score": SCORES, "best_triple": BEST, "item_remap": REMAPPED, "match_score": MATCHES, "match_greedy": GREEDY, "table_lines": SPLIT}

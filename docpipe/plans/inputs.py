@@ -74,11 +74,11 @@ from ({ITEMS}) i join (values (0), (1), (2)) v(k) on k = 0 or k = 1 and l_partke
 union all select o_orderkey, cast(case k when 0 then 0 else 89999 + k end as int), case k when 0 then 'Item quantity unit net gross' when 1 then 'Total' when 2 then '1,00 2,00 3,00' else 'Thank you' end
 from {{orders}} join (values (0), (1), (2), (3)) v(k) on k = 0 or k = 3 or k = 1 and o_orderkey % 2 = 0 or k = 2 and o_orderkey % 4 = 0"""
 
-#: Words with places: lines of three words whose y drifts, gaps of two widths, some documents in two columns.
+#: Words with places: lines whose y drifts and wavers, gaps of two widths, some documents in two columns.
 WORD_PLACES = """
   cast(floor(i / 240) as int) as page_no, 0 as block_no, cast(floor((i % 240) / 8) as int) as line_no, cast(i as int) as word_no, w as value,
   cast((i % 3) * 30 + (i % 7) * 2 + case when doc_id % 4 = 0 and i % 2 = 1 then 500 else 0 end as double) / 1000 as x,
-  cast((i % 240) * 3 as double) / 1000 as y, cast((doc_id * 31 + i * 17) % 100 as double) / 100 as confidence"""
+  cast((i % 240) * 3 + (i * 7 + doc_id) % 6 as double) / 1000 as y, cast((doc_id * 31 + i * 17) % 100 as double) / 100 as confidence"""
 WORDS = f"select doc_id, {WORD_PLACES} from (select doc_id, posexplode(split(trim(text), ' +')) as (i, w) from {{documents}}) p where w <> ''"
 WORDS_DUCK = f"select doc_id, {WORD_PLACES} from (select doc_id, unnest(a) as w, generate_subscripts(a, 1) - 1 as i from (select doc_id, regexp_split_to_array(trim(text), ' +') as a from documents)) p where w <> ''"
 
