@@ -141,12 +141,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> Dat
 
 
 def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and token_ids of each document."""
+    """doc_id and token_ids of each row; see encode_decode for nulls, repeats and other columns."""
     return encode_decode(docs, tokenizer).select("doc_id", "token_ids")
 
 
 def decode_rows(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and text for rows of doc_id and token_ids (null: no ids)."""
+    """doc_id and text for rows of doc_id and token_ids.
+
+    Null or empty ids decode to empty text; repeated rows repeat; empty tables give no rows; other columns are not read.
+    """
 
     def run(batches):
         bpe = model(tokenizer)

@@ -185,7 +185,11 @@ def scored(docs: DataFrame, model: AttentionMIL) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fits on the labelled documents and scores all."""
+    """Fits on the labelled documents and scores all; see `scored` for nulls, empty texts, repeats and missing labels.
+
+    Of an id with several labels the larger counts, of one with several texts the smallest text; labels for no document,
+    null or other than 0 and 1 are left out.
+    """
     return scored(docs, fit(docs, labels))
 
 

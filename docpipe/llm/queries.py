@@ -23,29 +23,35 @@ def op1_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every page, from archives that are written and read back."""
     records = warc.archive_pages(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and hashes of every document, encoded and decoded."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), keep_ids=False)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every query vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
 def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of every document's ids, read from the archive that is written first."""
     archive = rans.token_archive(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
     return archive.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
     return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans of every document."""
     return lpf.removed_spans(table(spark, sf_dir, "documents"), keep_text=False)
 
 
@@ -55,10 +61,12 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 

@@ -92,7 +92,11 @@ class BlobLedger:
         return left.where(F.size("missing") > 0).select("blob", "first", "missing")
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
-        """Appends the scans of all unseen pairs of a blob of `docs` (doc_id, text) and a rule version."""
+        """Appends the scans of all unseen pairs of a blob of `docs` (doc_id, text) and a rule version.
+
+        Null texts count as the empty blob; repeated rows and ids share their blobs, each scanned once; empty tables append
+        an empty scan; other columns are not read. Where nothing is unseen no text is shuffled: the join's other side is empty.
+        """
         rows = addressed(docs, keep_text=True)
         todo = materialize(self.unseen(rows.select("blob", "first"), rules), "unseen")
         texts = rows.join(todo, ["first", "blob"]).select("blob", "text", "missing")
@@ -102,7 +106,10 @@ class BlobLedger:
         out.write.mode("append").parquet(self.path)
 
     def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """doc_id, blob and findings (by start, then the rules' order) of every row of `docs`."""
+        """doc_id, blob and findings (by start, then the rules' order) of every row of `docs`.
+
+        Repeated rows repeat, null ids stay, null texts have the empty blob's findings (none); blobs not scanned have none.
+        """
         order = F.array(*[F.lit(r.kind) for r in rules])
         current = self.rows().where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.concat_ws("@", "f.kind", F.col("f.version").cast("string")).isin([r.key for r in rules]))
         keyed = current.select("blob", F.struct(F.col("f.start").alias("start"), F.array_position(order, F.col("f.kind")).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.stop").alias("stop")).alias("f"))
@@ -121,7 +128,8 @@ def addressed(docs: DataFrame, keep_text: bool) -> DataFrame:
 def report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """Scans what the ledger has not seen; doc_id, counts by base kind, base_sha256 and spans of every row of `docs`.
 
-    Null texts count as empty and have no findings; repeated rows repeat; a blob that many rows share is scanned once.
+    Null texts count as empty and have no findings; repeated rows repeat; a blob that many rows share is scanned once. Of
+    findings that start together the order is that of the rules. Empty tables give no rows; other columns are not read.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.scan(docs)
