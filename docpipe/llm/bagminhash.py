@@ -27,7 +27,8 @@ THRESHOLD = 0.8
 BANDS = 26
 ROWS = 5
 SLOTS = BANDS * ROWS
-#: Pairs of a bucket that differ in label are verified from this estimate on; 5 standard errors below the threshold.
+#: Pairs of a bucket that differ in label are compared in full where so many of their slots agree: 5 standard errors below
+#: the threshold, so that one pair in a million at the threshold is passed over. With 0 every such pair is compared.
 ESTIMATE = 0.62
 #: A bucket's nodes are compared in blocks of about so many rows, or bytes of text.
 BLOCK, BLOCK_BYTES = 256, 1_000_000
@@ -91,7 +92,7 @@ def similarity(a: str, b: str, words: int = WORDS) -> float:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (md5 of the text), size, bands (a key for each band; none without words) and 16 bits of each slot."""
+    """doc_id, md5 of the text, size, bands (a key for each band; none without words) and 16 bits of each slot."""
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -106,10 +107,10 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             small = pa.array([x.tobytes() for x in (bits & np.uint64(0xFFFF)).astype("<u2")], pa.binary())
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
             nodes, sizes = pa.array([hashlib.md5(x).hexdigest() for x in data], pa.string()), pa.array([len(x) for x in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, sizes, lists, small], ["doc_id", "node", "size", "bands", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, sizes, lists, small], ["doc_id", "md5", "size", "bands", "slots"])
 
     rows_in = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, node string, size long, bands array<long>, slots binary")
+    return rows_in.mapInArrow(run, "doc_id long, md5 string, size long, bands array<long>, slots binary")
 
 
 class Bags:
@@ -158,7 +159,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 keep = [bags.overlaps(place[left[i]], np.array([place[text]]))[0] >= threshold for i, text in zip(at, right, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def first_shared(bands: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
@@ -171,8 +172,7 @@ def partners(group: pa.Table, estimate: float) -> Iterator[tuple[int, np.ndarray
 
     A pair that shares several bands is left to the bucket of the first.
     """
-    label = np.unique(np.array(group.column("label").to_pylist()), return_inverse=True)[1]
-    node, mine = np.array(group.column("node").to_pylist()), group.column("mine").to_numpy()
+    label, node, mine = (group.column(name).to_numpy() for name in ("label", "node", "mine"))
     slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), "<u2").reshape(len(label), -1)
     bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(label), -1)
     of = group.column("g")[0].as_py()
@@ -200,7 +200,7 @@ def block_groups(members: DataFrame, block: int = BLOCK, block_bytes: int = BLOC
     return left.select(g, "mine", "node", "label", "slots", "bands")
 
 
-ROWS_OF = "g struct<key:bigint,i:int,j:int>, mine int, node string, label string, slots binary, bands array<long>"
+ROWS_OF = "g struct<key:bigint,i:int,j:int>, mine int, node long, label long, slots binary, bands array<long>"
 
 
 def with_partners(groups: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
@@ -230,7 +230,7 @@ def group_links(rows: DataFrame, texts: DataFrame, threshold: float, estimate: f
             parent = dict.fromkeys(group.column("label").to_pylist())
             label, a, b = group.column("label").to_pylist(), [], []
 
-            def root(x: str) -> str:
+            def root(x: int) -> int:
                 while parent[x] is not None:  # noqa: B023
                     x = parent[x]  # noqa: B023
                 return x
@@ -245,10 +245,10 @@ def group_links(rows: DataFrame, texts: DataFrame, threshold: float, estimate: f
                         parent[one] = two
                         a.append(min(node[x], node[y]))
                         b.append(max(node[x], node[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     keyed = rows.join(texts, "node").repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g")
-    return keyed.mapInArrow(run, "a string, b string")
+    return keyed.mapInArrow(run, "a long, b long")
 
 
 def hub_pairs(labelled: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
@@ -260,40 +260,51 @@ def hub_pairs(labelled: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     links = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     chance = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_003)) + 1) / F.lit(1_000_005.0)
     weight = F.pow(chance, 1 / (F.coalesce("links", F.lit(0)) + 1))
-    hubs = labelled.join(links, "node", "left").groupBy("key").agg(F.max_by(F.struct("node", "label"), weight).alias("hub"))
-    return labelled.join(hubs, "key").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    hubs = materialize(labelled.join(links, "node", "left").groupBy("key").agg(F.max_by("node", weight).alias("hub"), F.max_by("label", weight).alias("hub_label")), "hubs")
+    pairs = labelled.join(hubs, "key").where("label <> hub_label")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def labelled_nodes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """The sketches of `docs`, and node, first (its smallest doc_id, LAST_ID if all are null), copies, label (of its class).
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) with the classes joined that `links` (a, b) connect; only the links' own labels are searched."""
+    one, two = (labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("a", "b"))
+    between = links.join(one, "a").join(two, "b").where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    return materialize(labels.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "labels")
+
+
+def labelled_nodes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, estimate: float = ESTIMATE) -> tuple[DataFrame, DataFrame]:
+    """The sketches of `docs`, and md5, first (its smallest doc_id, LAST_ID if all are null), copies, label (of its class).
 
     Exact copies are one node (null texts count as empty; empty texts are copies of each other, wordless texts link to
-    nothing else). Nodes that share a band key are compared first with the smallest node of the bucket, then with hubs;
-    buckets whose nodes still differ in class are compared in full, block by block. A link is a multiset overlap of at
-    least `threshold`; classes are the connected components. Rows with a null doc_id take part.
+    nothing else), numbered once the nodes are written. Nodes that share a band key are compared first with the smallest
+    node of the bucket, then with hubs; buckets whose nodes still differ in class are compared in full, block by block. A
+    link is a multiset overlap of at least `threshold`; classes are the connected components. Rows with a null doc_id take
+    part. What a key's rows come to (its head, its hub, whether its labels differ) is aggregated before the shuffle and
+    written, so that the joins back to the rows can be split where a key is hot.
     """
     bounded_batches(docs.sparkSession)
     sigs = materialize(sketches(docs, bands, rows), "sketches")
     one = [F.first(name).alias(name) for name in ("size", "bands", "slots")]
-    nodes = materialize(sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), F.count("*").alias("copies"), *one), "nodes")
+    nodes = sigs.groupBy("md5").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first"), F.count("*").alias("copies"), *one)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", "size", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    heads = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "heads")
     members = materialize(keys.drop("size").join(heads, "key"), "members")
-    shared = materialize(members.select("node").distinct(), "shared")
+    shared = members.select("node").distinct()
 
-    wanted = shared.join(nodes.select("node", "first"), "node")
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("first"), text_or_empty().alias("text")).withColumn("node", F.md5("text"))
-    texts = materialize(texts.join(wanted, ["first", "node"]).dropDuplicates(["first", "node"]).select("node", "text"), "texts")
+    wanted = nodes.select("node", "md5", "first").join(shared, "node", "left_semi")
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("first"), text_or_empty().alias("text")).withColumn("md5", F.md5("text"))
+    texts = materialize(texts.join(wanted, ["first", "md5"]).dropDuplicates(["node"]).select("node", "text"), "texts")
 
     tried = materialize(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     edges = materialize(verify(tried, texts, threshold), "verified")
-    label = F.coalesce("label", "node").alias("label")
-    labels = components(edges)
+    labels = materialize(texts.select("node").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
     def mixed() -> DataFrame:
         """The members, with labels, of buckets in which labels differ."""
-        labelled = members.drop("head").join(shared.join(labels, "node", "left").select("node", label), "node")
-        differ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        labelled = members.drop("head").join(labels, "node")
+        differ = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "differ")
         return materialize(labelled.join(differ, "key"), "mixed")
 
     rest = mixed()
@@ -302,31 +313,36 @@ def labelled_nodes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = B
         more = materialize(verify(pairs, texts, threshold), "verified")
         if not more.isEmpty():
             tried, edges = tried.unionByName(pairs), edges.unionByName(more)
-            labels = components(edges)
+            labels = relabelled(labels, more)
             rest = mixed()
-    found = with_partners(block_groups(rest.join(nodes.select("node", "slots", "bands"), "node")))
-    more = materialize(group_links(found, texts, threshold), "verified")
+    found = with_partners(block_groups(rest.join(nodes.select("node", "slots", "bands"), "node")), estimate)
+    more = materialize(group_links(found, texts, threshold, estimate), "verified")
     if not more.isEmpty():
-        labels = components(edges.unionByName(more))
-
-    return sigs, nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", "first", "copies", label)
+        labels = relabelled(labels, more)
+    return sigs, nodes.select("node", "md5", "first", "copies").join(labels, "node", "left").select("md5", "first", "copies", F.coalesce("label", "node").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, estimate: float = ESTIMATE) -> DataFrame:
     """doc_id, text_md5, class_id (the smallest doc_id of the class) and class_size, a row per input row.
 
-    A class of only rows with a null doc_id has a null class_id.
+    Null texts count as empty, and empty texts are one class. A class of only rows with a null doc_id has a null class_id;
+    ties and repeated rows are members like others. Empty tables give no rows; other columns are not read.
     """
-    sigs, of_node = labelled_nodes(docs, threshold, bands, rows)
+    sigs, of_node = labelled_nodes(docs, threshold, bands, rows, estimate)
     classes = of_node.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_size"))
-    node_class = materialize(of_node.join(classes, "label").select("node", "class_first", "class_size"), "node-classes")
-    return sigs.select("doc_id", "node").join(node_class, "node").select("doc_id", F.col("node").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
+    node_class = materialize(of_node.join(classes, "label").select("md5", "class_first", "class_size"), "node-classes")
+    return sigs.select("doc_id", "md5").join(node_class, "md5").select("doc_id", F.col("md5").alias("text_md5"), F.expr(f"nullif(class_first, {LAST_ID})").alias("class_id"), "class_size")
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one row of each class: that with the smallest doc_id (null as the largest), then the smallest md5 of the text."""
-    _, of_node = labelled_nodes(docs, threshold)
-    kept = of_node.groupBy("label").agg(F.min(F.struct("first", "node")).alias("k")).select(F.col("k.first").alias("__kept_id"), F.col("k.node").alias("__kept_node"))
-    marked = docs.withColumns({"__md5": F.md5(text_or_empty()), "__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))})
-    joined = marked.join(kept, (marked["__md5"] == kept["__kept_node"]) & (marked["__id"] == kept["__kept_id"]), "left_semi")
-    return joined.dropDuplicates(["__id", "__md5"]).drop("__id", "__md5")
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, estimate: float = ESTIMATE) -> DataFrame:
+    """`docs` with one row of each class: that with the smallest doc_id (null as the largest), then the smallest md5 of the text.
+
+    All columns stay, whatever their names; of repeated rows one stays, of null and empty texts one
+    in all. Empty tables stay empty.
+    """
+    taken = {c.lower() for c in docs.columns}
+    md5, key = (next(n for n in (f"{base}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for base in ("__md5", "__id"))
+    _, of_node = labelled_nodes(docs, threshold, estimate=estimate)
+    kept = of_node.groupBy("label").agg(F.min(F.struct("first", "md5")).alias("k")).select(F.col("k.first").alias(key), F.col("k.md5").alias(md5))
+    marked = docs.withColumns({md5: F.md5(text_or_empty()), key: F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))})
+    return marked.join(kept, [key, md5], "left_semi").dropDuplicates([key, md5]).drop(key, md5)

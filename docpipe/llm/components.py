@@ -9,7 +9,8 @@ from docpipe.llm.common import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label for every node of the edges a, b: the smallest node it is connected to. Empty edges give no rows."""
+    """node, label for every node of the edges a, b: the smallest node it is connected to. Empty edges give no rows, repeated
+    edges and loops change nothing."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
     while True:

@@ -93,7 +93,7 @@ def test_tokens(docs, empty):
     rows = rans.token_archive(docs, BYTE).collect()
     assert len(rows) == len(ROWS)
     by_start = sorted(rows, key=lambda r: r["start"])
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))  # rows of one id are equal here
     at = 0
     for r, (doc_id, text) in zip(by_start, order, strict=True):
         ids = [*held.encode(text or "", add_special_tokens=False).ids, 0]
@@ -211,6 +211,36 @@ def test_near_duplicates_without_ids(spark):
     assert [i for i, text in kept if text.startswith("a0 ")] == [None]
 
 
+def test_repeated_ids_are_spread(spark):
+    """Many rows of one id, and without one, in any order of texts: each row once, starts in a row, files of several tasks."""
+    rows = [*((7, f"text {i} of seven") for i in range(40)), *((None, f"no id {i}") for i in range(40)), (1, "one"), (9, "nine")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(rans.token_archive(df, BYTE).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 40 + [1] + [7] * 40 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    assert rans.write_archive(df, BYTE).where("n_docs > 0").select("part").distinct().count() > 2
+
+
+def test_estimate_of_zero_compares_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "HUB_ROUNDS", 0)
+    base = [f"q{i}" for i in range(200)]
+    rows = [(k, " ".join(base[: 200 - 10 * k] + [f"r{k}x{i}" for i in range(8 * k)])) for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(df, estimate=0.0).collect()}
+    assert got == brute.classes(rows)
+
+
+def test_clashing_names(spark):
+    """Columns that are named like the operators' own, in either case."""
+    rows = [(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __md5 string, __ID int").withColumns({n: F.lit("z") for n in ("md5", "first", "node", "copies", "label", "__h", "v", "terms", "blob")})
+    kept = bagminhash.deduplicate(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["__md5"]) for r in kept.collect()) == [(1, "x"), (3, None)]
+    assert pii.redact(df).columns == df.columns and rans.token_archive(df, BYTE).count() == 3
+    assert {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert secrets.report(df).count() == 3 and lpf.removed_spans(df).count() == 3 and bpe.encode_decode(df, WORD).count() == 3
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A chain of texts, each near only to the next, with a long shared part: found in full though blocks are small."""
     monkeypatch.setattr(bagminhash, "BLOCK", 8)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docpipe.llm import bagminhash, bpe, decontam, lpf, pii, rans, spans, tokens, topk, warc
+from docpipe.llm import bagminhash, bpe, decontam, lpf, mil, pii, rans, spans, tokens, topk, warc
 from docpipe.llm.queries import BYTE_BPE, WORD_BPE
 from tests.llm import brute
 
@@ -175,6 +175,18 @@ def test_rans_checkpoints_and_checksums(monkeypatch):
     assert 0 < at <= 2000 * 64 and (tail == ids[at:]).all()
     with pytest.raises(rans.CorruptBlock):
         rans.unpack_block(block[:-5] + b"\0" * 5, *table)
+    with pytest.raises(rans.CorruptBlock):
+        rans.decode_from(block[:-5] + b"\0" * 5, 2000, *table)
+
+
+def test_rans_more_symbols_than_bits():
+    """A vocabulary past 2**BITS gets a finer table."""
+    ids = np.arange(400_000, dtype=np.uint32) % 300_001
+    symbols, counts = np.unique(ids, return_counts=True)
+    freq = rans.frequencies(counts)
+    assert freq.min() > 0 and rans.table_bits(freq) > rans.BITS
+    block = rans.pack_block(ids, symbols, freq, np.array([1]), np.array([True]), np.array([len(ids)]))
+    assert (rans.unpack_block(block, *rans.unpack_table(rans.pack_table(symbols, freq)))[3] == ids).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
@@ -256,6 +268,70 @@ def test_signatures_are_unbiased_and_alone():
     assert abs(np.mean(scores)) < 0.6 and 0.6 < np.std(scores) < 1.4
 
 
+def test_estimate_passes_over_few_pairs_at_the_threshold():
+    """Of pairs whose overlap is just at the threshold all agree to the estimate."""
+    low = 1.0
+    for k in range(300):
+        shared = [f"s{k} {i}" for i in range(300)]
+        pair = [" ".join(shared + [f"{side}{k}x{i}" for i in range(70)]) for side in "ab"]
+        assert 0.8 < bagminhash.similarity(*pair) < 0.82
+        times = bagminhash.signatures(*bagminhash.multisets(pair), 2)
+        low = min(low, float((times[0] == times[1]).mean()))
+    assert low > bagminhash.ESTIMATE
+
+
+def test_gradients_of_attention():
+    """Gradients by hand against differences."""
+    rng = np.random.default_rng(4)
+    model = mil.AttentionMIL(hidden=5, attention=4)
+    bounds = np.array([0, 1, 4, 9])
+    x, y = rng.normal(size=(9, mil.FEATURES)), np.array([1.0, 0.0, 1.0])
+
+    def loss() -> float:
+        p = model.forward(x, bounds)["p"]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    got = model.gradients(x, bounds, y, 0.0)
+    for name, w in model.w.items():
+        flat = w.reshape(-1)
+        for i in rng.integers(0, len(flat), 4).tolist():
+            held = flat[i]
+            flat[i] = held + 1e-5
+            up = loss()
+            flat[i] = held - 1e-5
+            down = loss()
+            flat[i] = held
+            assert abs(got[name].reshape(-1)[i] - (up - down) / 2e-5) < 1e-6, name
+
+
+def test_attention_finds_the_telling_passage():
+    """Bags of many passages of which one tells the label: attention finds it, and beats the mean of all passages."""
+    rng = np.random.default_rng(6)
+
+    def bags(n: int, y: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for label in y:
+            x = rng.normal(0, 1, (20, mil.FEATURES)) * 0.05
+            x[rng.integers(20), 0 if label else 1] += 1.0
+            out.append(x)
+        return out
+
+    class Mean(mil.AttentionMIL):
+        def forward(self, x, bounds):
+            self.w["attend"][:] = 0  # equal weights
+            return super().forward(x, bounds)
+
+    y, held = rng.integers(0, 2, 300).astype(float), rng.integers(0, 2, 300).astype(float)
+    train, test = bags(300, y), bags(300, held)
+    edges = np.concatenate([[0], np.cumsum([len(b) for b in test])])
+    found = mil.AttentionMIL().fit(train, y, epochs=40).forward(np.concatenate(test), edges)
+    plain = Mean().fit(train, y, epochs=40).forward(np.concatenate(test), edges)
+    right, mean_right = (((f["p"] >= 0.5) == (held > 0.5)).mean() for f in (found, plain))
+    telling = np.concatenate([b[:, :2].max(axis=1) > 0.5 for b in test])
+    print(right, mean_right, found["a"][telling].mean())
+    assert right > 0.95 and right > mean_right + 0.02 and found["a"][telling].mean() > 0.3
+
+
 def test_bags():
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)] + [""]
