@@ -50,17 +50,15 @@ def made() -> int:
     return len(_made)
 
 
-def drop_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
-    """Deletes the folders made since the mark, but for that which `keep`, a materialized table, was written to.
+def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Deletes the folders made since the mark, but for `keep`.
 
     For callers that have written what they need: DataFrames that read one of the folders can't be read any more.
     """
-    kept = set(keep.inputFiles()) if keep is not None else set()
-    for path in _made[mark:]:
-        if not any(x.startswith(path) or path.rsplit("/", 1)[-1] in x for x in kept):
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-            _made.remove(path)
+    for path in [p for p in _made[mark:] if p != keep]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -53,3 +53,26 @@ def test_pipeline_like_its_stages(spark, sf, tmp_path):
     assert len(rows) > len(good) > len(alone) > len(clean) > changed > 0
     assert len(got) == len(want)
     assert {r["doc_id"]: (r["n_tokens"], r["token_ids"], r["decoded"]) for r in got} == want
+
+
+def test_pipeline_on_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ids that repeat or lack, columns that clash; and empty tables."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a fine text of some words that nobody else has"), (1, "a fine text of some words that nobody else has"), (2, None), (3, ""), (None, "no id here but words enough to stand alone"), (4, "mail me at a.b@example.org today please and thanks"), (4, "another text with the same id and its own words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("z") for n in ("lang", "source", "__md5", "node", "label", "score")}).withColumn("n_chars", F.length("text").cast("long"))
+    tables = {"documents": docs, "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, "a benchmark item that is found in no document at all")], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(f"file://{tmp_path}/some/{name}.parquet")
+        df.limit(0).write.parquet(f"file://{tmp_path}/none/{name}.parquet")
+    got = sorted((r["doc_id"] or 0, r["n_tokens"] > 0, "[email]" in r["decoded"].replace(" ", "").replace("</w>", "")) for r in corpus_pipeline.run(spark, f"file://{tmp_path}/some").collect())
+    assert got == [(0, True, False), (1, True, False), (2, False, False), (4, True, False), (4, True, True)]
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_pipeline_leaves_only_its_result(spark, sf):
+    from docpipe.llm import common
+
+    before = common.made()
+    rows = corpus_pipeline.run(spark, sf)
+    assert common.made() == before + 1 and rows.count() > 0
