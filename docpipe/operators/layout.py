@@ -22,8 +22,11 @@ TABLE_HEADER = r"(?iu)pozíció|leírás|mennyiség|egységár|nettó|bruttó|qu
 
 
 def plain_text(words: DataFrame) -> DataFrame:
-    """doc_id, page_no, text: words in the recogniser's own order, a line for each of its lines, folded."""
-    lines = words.groupBy(*PAGE, "block_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "value"))).alias("w"))
+    """doc_id, page_no, text: words in the recogniser's own order, a line for each of its lines, folded.
+
+    Words are dealt by page once; lines and pages are both gathered where they lie.
+    """
+    lines = words.repartition(*PAGE).groupBy(*PAGE, "block_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "value"))).alias("w"))
     lines = lines.select(*PAGE, "block_no", "line_no", F.array_join("w.value", " ").alias("line")).where(strip(F.col("line")) != "")
     pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("block_no", "line_no", "line"))).alias("l"))
     return pages.select(*PAGE, fold_accents(F.array_join("l.line", "\n")).alias("text"))

@@ -14,7 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STAGES = ("upload", "ocr", "llm", "postprocess")
 OPEN = ("started", "processing")
-FINAL = ("completed", "error", "cancelled")
+#: Actions that end a job, and the states that they leave.
+ENDS = {"complete": "completed", "error": "error", "cancel": "cancelled"}
 #: Seconds after which a job without events is dropped.
 RETENTION = 3600
 EVENT = "job_id string, ts timestamp, seq long, action string, stage string, progress int, message string"
@@ -25,24 +26,29 @@ def clamped(progress: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(progress, F.lit(0))))
 
 
-def next_state(held: Column, e: Column) -> Column:
-    """The state after an event: create, update, complete, error or cancel."""
-    is_open = held["status"].isin(*OPEN)
-    act = e["action"]
-    status = F.when(act == "create", F.coalesce(held["status"], F.lit("started"))).when(~is_open | held["status"].isNull(), held["status"]).when(act == "update", "processing").when(act == "complete", "completed").when(act == "error", "error").when(act == "cancel", "cancelled").otherwise(held["status"])
-    moves = is_open & act.isin("update", "complete")
-    progress = F.when(act == "create", F.coalesce(held["progress"], F.lit(0))).when(moves & (act == "complete"), 100).when(moves, clamped(e["progress"])).otherwise(held["progress"])
-    stage = F.when(act == "create", F.coalesce(held["stage"], F.lit("upload"))).when(moves & e["stage"].isNotNull(), e["stage"]).otherwise(held["stage"])
-    message = F.when(is_open | held["status"].isNull(), F.coalesce(e["message"], held["message"])).otherwise(held["message"])
-    return F.struct(status.alias("status"), progress.cast("int").alias("progress"), stage.alias("stage"), message.alias("message"), (held["n_events"] + 1).alias("n_events"))
-
-
 def job_states(events: DataFrame) -> DataFrame:
-    """job_id, status, progress, stage, message, n_events: each job after all its events by (ts, seq). Jobs never created have a null status."""
-    jobs = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "action", "stage", "progress", "message"))).alias("e"))
-    none = F.lit(None)
-    start = F.struct(none.cast("string").alias("status"), none.cast("int").alias("progress"), none.cast("string").alias("stage"), none.cast("string").alias("message"), F.lit(0).cast("long").alias("n_events"))
-    return jobs.select("job_id", F.aggregate("e", start, next_state).alias("s")).select("job_id", "s.*")
+    """job_id, status, progress, stage, message, n_events: each job after all its events by (ts, seq). Jobs never created have a null status.
+
+    Whether a job was created, or ended, before an event is a running maximum over its events in order; what counts is then
+    aggregated. So a job's events are sorted and streamed, spilling where they must, and never held as one value.
+    """
+    order = ("ts", "seq", "action", "stage", "progress", "message")
+    job = Window.partitionBy("job_id").orderBy(*order)
+    before = job.rowsBetween(Window.unboundedPreceding, -1)
+    once = lambda c: F.coalesce(F.max(c).over(before), F.lit(False))
+    seen = events.select("job_id", *order, F.row_number().over(job).alias("n"), once(F.col("action") == "create").alias("born"))
+    seen = seen.withColumn("ends", F.col("born") & F.col("action").isin(*ENDS)).withColumn("ended", once(F.col("ends")))
+    acts = F.col("born") & ~F.col("ended")
+    update, end = acts & (F.col("action") == "update"), acts & F.col("ends")
+    last = lambda value, where: F.max_by(value, F.when(where, F.col("n")))
+    moved = (update | (end & (F.col("action") == "complete"))) & F.col("stage").isNotNull()
+    jobs = seen.groupBy("job_id").agg(
+        F.max(F.col("action") == "create").alias("created"), F.max(F.when(end, F.col("action"))).alias("end"), F.max(update).alias("updated"), last(clamped(F.col("progress")), update).alias("p"),
+        last(F.col("stage"), moved).alias("s"), last(F.col("message"), ~F.col("ended") & F.col("message").isNotNull()).alias("message"), F.count("*").alias("n_events"),
+    )
+    status = F.coalesce(*(F.when(F.col("end") == action, status) for action, status in ENDS.items()), F.when(F.col("updated"), "processing"), F.lit("started"))
+    held = {"status": status, "progress": F.when(F.col("end") == "complete", 100).otherwise(F.coalesce("p", F.lit(0))).cast("int"), "stage": F.coalesce("s", F.lit("upload"))}
+    return jobs.select("job_id", *(F.when(F.col("created"), c).alias(name) for name, c in held.items()), "message", "n_events")
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def retained(jobs: DataFrame, now: Column, seconds: int = RETENTION) -> DataFram
 
 
 def transition(held: tuple | None, action: str, stage: str | None, progress: float | None, message: str | None) -> tuple:
-    """next_state for one event, for use in a stream's state."""
+    """A job's state after one event: create, update, complete, error or cancel; for use in a stream's state."""
     status, done, at, said, n = held or (None, None, None, None, 0)
     if status in (None, *OPEN) and message is not None:
         said = message

@@ -202,3 +202,17 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_job_states_like_a_fold(spark):
+    """Random events, jobs without a creation, created twice, ended and gone on with: as one event after another."""
+    rng, rows = random.Random(31), []
+    for job in range(120):
+        for seq in range(rng.randint(1, 12)):
+            action = rng.choice(("create", "update", "update", "update", "complete", "error", "cancel"))
+            rows.append((f"j{job}", datetime(2024, 1, 1, 0, rng.randint(0, 3)), seq, action, rng.choice((None, "ocr", "llm", "vision")), rng.choice((None, -5, 0, 40, 170)), rng.choice((None, None, "hello", "bye"))))
+    got = {r["job_id"]: tuple(r)[1:] for r in jobs.job_states(spark.createDataFrame(rows, jobs.EVENT)).collect()}
+    want: dict = {}
+    for row in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        want[row[0]] = jobs.transition(want.get(row[0]), *row[3:])
+    assert got == want
