@@ -13,7 +13,7 @@ from docpipe.plans.inputs import TABLES
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 #: Tested elsewhere, against plain restatements.
-WITHOUT_SQL = {"item_remap", "match_greedy", "process_invoices"}
+WITHOUT_SQL = {"process_invoices"}
 
 
 @pytest.fixture(scope="module")
