@@ -36,7 +36,7 @@ class ForcedBoundaryBPE:
         self.joined = self._pairs_inside_tokens()
         tokens.read_model.cache_clear()
         self.encode_fragment = lru_cache(30_000)(self._merge)
-        self.pieces = tokens.PieceCache(self.encode_piece)
+        self.pieces = tokens.PieceCache(lambda pieces: [self.encode_piece(piece) for piece in pieces])
         n = max([*self.vocab.values(), *(x["id"] for x in model["added_tokens"])]) + 1
         self.texts = [""] * n
         for token, i in self.vocab.items():

@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 over whole tables, and DuckDB SQL where SQL can express one."""
+"""The queries of this subpackage: op1 to op13 over whole tables, and DuckDB SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docpipe.llm import bagminhash, bpe, decontam, lpf, mil, pii, rans, secrets, topk, warc
+from docpipe.llm import bagminhash, bpe, decontam, lpf, merkle, mil, periodic, pii, rans, replay, secrets, topk, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +71,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and hashes of every document, encoded by replayed merges and decoded."""
+    return replay.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), keep_ids=False)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every document, a tenth of them with a looped tail."""
+    return periodic.periodic(table(spark, sf_dir, "documents"), rewrite=True, keep_text=False)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document, a third of them tampered with."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op6_attention_mil, op7_lpf, op8_bagminhash, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_containment, op2_warc, op3_bpe_round_trip, op4_topk, op5_rans_tokens, op6_attention_mil, op7_lpf, op8_bagminhash, op9_pii, op10_secrets, op11_merge_replay, op12_periodic, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_containment": decontam.ORACLE, "op2_warc": warc.ORACLE, "op4_topk": topk.ORACLE}
+    return {"op1_containment": decontam.ORACLE, "op2_warc": warc.ORACLE, "op4_topk": topk.ORACLE, "op13_merkle": merkle.ORACLE}

@@ -169,7 +169,7 @@ class ByteBPE:
         self.specials = [x["content"] for x in tokens.read_model(path)["added_tokens"]]
         tokens.read_model.cache_clear()
         merge = self.whole.model.tokenize
-        self.pieces = tokens.PieceCache(lambda piece: [x.id for x in merge(tokens.letters_of(piece))])
+        self.pieces = tokens.PieceCache(lambda pieces: [[x.id for x in merge(tokens.letters_of(piece))] for piece in pieces])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = {i for i, text in enumerate(texts) if any(s in text for s in self.specials)}

@@ -38,12 +38,12 @@ def _contracted(codes: np.ndarray, kind: np.ndarray, start: np.ndarray, glued: n
     return at[length > 0], length[length > 0]
 
 
-def glued_pieces(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def glued_pieces(codes: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pre-tokens that hold every character, where one space joins the run after it."""
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = spans.classes()[codes]
+    kind = (spans.classes() if classes is None else classes)[codes]
     blank = (kind == spans.SPACE) | (kind == spans.WHITE)
     group = np.where(blank, spans.SPACE, kind)
     text_start = np.zeros(n + 1, bool)
@@ -86,16 +86,48 @@ def bare_pieces(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return begin[keep], end[keep]
 
 
+def told_apart(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, first: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of pieces with equal hashes (of: a piece's group, first: a group's first piece) made groups of equal contents.
+
+    Every piece is compared with its group's first, in blocks of about `most` code points; those that differ get groups of
+    their own.
+    """
+    lengths = ends - starts
+    model = first[of]
+    differs = lengths != lengths[model]
+    rest = np.flatnonzero(~differs & (model != np.arange(len(of))))
+    total = np.cumsum(lengths[rest])
+    for block in np.split(rest, np.searchsorted(total, np.arange(most, total[-1], most))) if len(rest) else ():
+        if not len(block):
+            continue
+        n = lengths[block]
+        begin = np.cumsum(n) - n
+        step = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
+        unlike = codes[np.repeat(starts[block], n) + step] != codes[np.repeat(starts[model[block]], n) + step]
+        differs[block] = np.logical_or.reduceat(unlike, begin)
+    odd = np.flatnonzero(differs)
+    if not len(odd):
+        return of, first
+    of, more, known = of.copy(), [], {}
+    for i in odd.tolist():
+        content = codes[starts[i] : ends[i]].tobytes()
+        if content not in known:
+            known[content] = len(first) + len(more)
+            more.append(i)
+        of[i] = known[content]
+    return of, np.concatenate([first, np.array(more, first.dtype)])
+
+
 class PieceCache:
-    """Ids of pre-tokens by their hash, in one growing array; emptied when it holds `most` pre-tokens (a bound on memory,
-    not on the input)."""
+    """Ids of pre-tokens by their text, in one growing array; emptied when it holds `most` pre-tokens, or fifty times as many
+    ids (a bound on memory, not on the input)."""
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[str, int] = {}
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,18 +135,20 @@ class PieceCache:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         of, keys = pd.factorize(spans.hashes(codes, starts, ends))
-        if len(self.slots) > self.most:
+        first = np.zeros(len(keys), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        of, first = told_apart(codes, starts, ends, of, first)
+        joined = "".join(texts)
+        pieces = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.slots) > self.most or len(self.flat) > 50 * self.most:
             self.clear()
-        get = self.slots.get
-        slot = np.fromiter((get(key, -1) for key in keys.tolist()), np.int64, len(keys))
+        slot = np.fromiter((self.slots.get(piece, -1) for piece in pieces), np.int64, len(pieces))
         new = np.flatnonzero(slot < 0)
         if len(new):
-            first = np.zeros(len(keys), np.int64)
-            first[of[::-1]] = np.arange(len(of))[::-1]
-            joined, begin, end = "".join(texts), starts[first[new]].tolist(), ends[first[new]].tolist()
-            found = [self.encode(joined[a:b]) for a, b in zip(begin, end, strict=True)]
+            unseen = [pieces[i] for i in new.tolist()]
+            found = self.encode(unseen)
             slot[new] = np.arange(len(self.slots), len(self.slots) + len(new))
-            self.slots.update(zip(keys[new].tolist(), slot[new].tolist(), strict=True))
+            self.slots.update(zip(unseen, slot[new].tolist(), strict=True))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(self.bounds[-1]) - len(self.flat))])
         mine = slot[of]
