@@ -129,12 +129,11 @@ def card_parts(text: str, groups: list[tuple[int, int]], least: int = 1) -> list
     """Sub-runs of at least `least` whole groups that have 12 to 19 digits and pass Luhn."""
     out = []
     for i, (start, _) in enumerate(groups):
-        digits = ""
-        for j, (a, b) in enumerate(groups[i:], 1):
-            if len(digits) + b - a > 19:
-                break
-            digits += text[a:b]
-            if len(digits) >= 12 and j >= least and luhn(digits):
+        digits, j = "", i
+        while j < len(groups) and len(digits) + groups[j][1] - groups[j][0] <= 19:
+            a, b = groups[j]
+            digits, j = digits + text[a:b], j + 1
+            if len(digits) >= 12 and j - i >= least and luhn(digits):
                 out.append((start, b, "card"))
     return out
 

@@ -228,7 +228,7 @@ def test_forced_boundaries_split():
 
 
 def test_piece_cache_is_emptied():
-    cache = tokens.PieceCache(lambda piece: [len(piece)], most=3)
+    cache = tokens.PieceCache(lambda pieces: [[len(piece)] for piece in pieces], most=3)
     for text in ("a bb ccc dddd eeeee", "ffffff a", "bb ggggggg"):
         codes, offsets = spans.code_points([text])
         ids, counts = cache.ids(codes, *tokens.bare_pieces(codes, offsets), [text])
@@ -428,6 +428,19 @@ def test_long_runs_of_digits():
     assert time.perf_counter() - began < 90
 
 
+@pytest.mark.parametrize("part", ["9 ", "1.", "+1", "0"])
+def test_numbers_in_linear_time(part):
+    """Twice the text takes at most about two and a half times as long, and a megabyte a few seconds."""
+    import time
+
+    took = []
+    for n in (100_000, 200_000, 1_000_000 // len(part)):
+        began = time.process_time()
+        pii.failed_parts(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 2.5 * took[0] + 0.2 and took[2] < 20, took
+
+
 def brute_free(text: str) -> list:
     return [(a, b, kind) for a, b, kind in brute.pii(text)]
 
