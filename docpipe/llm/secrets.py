@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpipe.functions.binding import let
 from docpipe.llm.common import materialize, shared_dir, text_or_empty
 
 
@@ -44,12 +45,17 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 NO_ID = 2**63 - 1
+#: Matches that are folded into one array.
+BLOCK = 256
 FINDING = "struct<kind:string,version:int,start:int,stop:int>"
 
 
 def spans(rule: Rule, text: str, matches: str) -> Column:
-    """Findings of one rule: offsets are summed up from the pieces between the matches and the matches themselves."""
-    step = F.struct((F.size(matches) * 0).alias("at"), F.expr(f"cast(array() as array<{FINDING}>)").alias("out"))
+    """Findings of one rule: offsets are summed up from the pieces between the matches and the matches themselves.
+
+    The fold goes over blocks of BLOCK matches, as an array is copied for each element that is appended to it.
+    """
+    none = F.expr(f"cast(array() as array<{FINDING}>)")
     pieces = F.split(F.col(text), rule.pattern, -1)
     both = F.zip_with(pieces, F.col(matches), lambda piece, match: F.struct(F.length(F.coalesce(piece, F.lit(""))).alias("gap"), match.alias("match")))
 
@@ -60,7 +66,16 @@ def spans(rule: Rule, text: str, matches: str) -> Column:
         finding = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), start.alias("start"), stop.alias("stop"))
         return F.struct(stop.alias("at"), F.when(x["match"].isNotNull() & long_enough, F.array_append(held["out"], finding)).otherwise(held["out"]).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(both, step, add, lambda held: held["out"])).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
+    def add_block(held: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(held["at"].alias("at"), none.alias("out")), add)
+        return F.struct(done["at"].alias("at"), F.array_append(held["out"], done["out"]).alias("out"))
+
+    def fold(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+        start = F.struct((F.size(matches) * 0).alias("at"), F.expr(f"cast(array() as array<array<{FINDING}>>)").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, add_block, lambda held: held["out"]))
+
+    return F.when(F.size(matches) > 0, let(both, fold)).otherwise(none)
 
 
 class BlobLedger:
