@@ -31,7 +31,8 @@ MEMBER = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 CHUNK = 1 << 20
 FILE_BYTES = 32 << 20
-#: Bytes that a header may have, and a record or an inflated member by default; larger ones are quarantined.
+#: Bytes that a header may have, and a record or an inflated member, where the list of files does not say more; larger ones
+#: are quarantined.
 HEADER_BYTES, MOST_BYTES = 1 << 16, 256 << 20
 #: Bytes of a member (its own header: names, comments) before the first one that it inflates to.
 MEMBER_HEADER = 1 << 11
@@ -187,7 +188,7 @@ class Text:
         return self.next[what]
 
 
-def plain_record(window: Window | Text, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
+def plain_record(window: Window | Text, at: int, most: int, header: int) -> tuple[dict[str, str], bytes, int]:
     """Fields, block and whole size of the uncompressed record at a place; Bad if a check fails.
 
     The cheap checks come first: the block is read only if the bytes behind it are those that end a record.
@@ -197,7 +198,7 @@ def plain_record(window: Window | Text, at: int, most: int) -> tuple[dict[str, s
     stop = window.find(END, at)
     if stop >= window.size:
         raise Bad("no end of header")
-    if stop - at > HEADER_BYTES:
+    if stop - at > header:
         raise Bad("header too long")
     fields = parse_header(window.read(at, stop - at))
     size = int(fields["content-length"])
@@ -247,7 +248,7 @@ def member(window: Window, at: int, most: int) -> tuple[bytes, int, str | None]:
 Found = tuple[int, int, dict[str, str], bytes, str | None]
 
 
-def salvage(window: Window, most: int = MOST_BYTES) -> Iterator[Found]:
+def salvage(window: Window, most: int = MOST_BYTES, header: int = HEADER_BYTES) -> Iterator[Found]:
     """Place, size, fields and block of each sound record, and place, size and reason of each quarantined gap, in order.
 
     Records of one member have its place; the first has its size, the others 0, so sizes always sum up to the file's. Of a
@@ -260,7 +261,7 @@ def salvage(window: Window, most: int = MOST_BYTES) -> Iterator[Found]:
             if window.read(at, 3) == MEMBER:
                 data, size, problem = member(window, at, most)
                 if problem != "member holds no version line":
-                    held = list(salvage(Text(data), most)) if data else []
+                    held = list(salvage(Text(data), most, header)) if data else []
                     found = [x for x in held if x[4] is None and (problem is None or proven(x[2]))]
                     problem = problem or next((x[4] for x in held if x[4] is not None), None if found else "member holds no record")
                 if problem is None:
@@ -269,7 +270,7 @@ def salvage(window: Window, most: int = MOST_BYTES) -> Iterator[Found]:
                     # past a member that inflates to its end the next mark is behind it, whatever its bytes look like
                     raise Bad(problem)
             else:
-                fields, block, step = plain_record(window, at, most)
+                fields, block, step = plain_record(window, at, most, header)
                 found = [(at, step, fields, block, None)]
         except Bad as e:
             if gap is None:
@@ -291,6 +292,9 @@ def _bare(value: str | None) -> str | None:
 def read_records(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """Records and gaps of the archives in `files` (uri, path): a task reads whole files, through bounded buffers.
 
+    Where `files` has them, header_bytes and record_bytes say how large a file's headers and records get: those are read
+    whatever `most` says, as the writer's own list knows no bound on a url or a page.
+
     A gap is a row with record_type "gap", its place, length and `problem`; all else about it is null. Records of more than
     `most` bytes, and members that inflate to more, are gaps. Empty files, and a table without files, give no rows; a file
     listed twice is read twice. Records of other kinds (warcinfo, request ...) come as they are; payloads of HTTP messages
@@ -303,10 +307,11 @@ def read_records(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), *((c, pa.string()) for c in ("record_type", "record_id", "target_uri", "refers_to_id", "warc_date", "payload_digest")), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
         for batch in batches:
             for row in batch.to_pylist():
+                record, header = max(most, row.get("record_bytes") or 0), max(HEADER_BYTES, row.get("header_bytes") or 0)
                 with file_system(row["uri"])[0].open_input_file(row["path"]) as f:
-                    for at, size, fields, block, problem in salvage(Window(f, f.size()), most):
+                    for at, size, fields, block, problem in salvage(Window(f, f.size()), record, header):
                         digest, payload = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload_of(fields, block)
-                        length = fields.get("warc-payload-length", "")
+                        length = fields.get("warc-payload-length", "") if fields.get("warc-type") == "revisit" else ""
                         values = (row["path"], at, size, "gap" if problem else fields.get("warc-type"), _bare(fields.get("warc-record-id")), fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), fields.get("warc-date"), digest, None if problem else int(length) if length.isascii() and length.isdigit() and len(length) < 19 else len(payload), None if problem else payload, problem)
                         for column, value in zip(columns, values, strict=True):
                             column.append(value)
@@ -317,7 +322,7 @@ def read_records(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select("uri", "path").mapInArrow(run, RECORDS)
+    return files.select("uri", "path", *(c for c in ("header_bytes", "record_bytes") if c in files.columns)).mapInArrow(run, RECORDS)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -336,7 +341,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, uri: str | None = None) -> DataFrame:
-    """Writes an archive of pages (page_id, url, html) and returns its files: uri, path, n_records.
+    """Writes an archive of pages (page_id, url, html) and returns its files: uri, path, n_records, header_bytes and
+    record_bytes (of the largest header and record).
 
     Each task writes files of its own, of up to FILE_BYTES and one record more; a retried task writes new names, and the
     list, written by Spark, holds those of committed attempts. Null html is an empty payload, a null url is empty.
@@ -347,20 +353,21 @@ def write_pages(pages: DataFrame, uri: str | None = None) -> DataFrame:
     def run(batches):
         system, base = file_system(uri)
         out = path = None
-        size = n = 0
+        size = n = header = record = 0
 
         def close():
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([path]), pa.array([n], pa.int64())], ["uri", "path", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([path]), *(pa.array([x], pa.int64()) for x in (n, header, record))], ["uri", "path", "n_records", "header_bytes", "record_bytes"])
 
         for batch in batches:
             names = batch.schema.names
             for values in zip(*(batch.column(name).to_pylist() for name in names), strict=True):
                 row = dict(zip(names, values, strict=True))
                 if out is None:
-                    path, size, n = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    path, size, n, header, record = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0, 0, 0
                     out = system.open_output_stream(path, compression=None)
                 data = record_bytes(row["record_type"], f"urn:page:{row['page_id']}", row["url"] or "", row["payload_digest"], row["html"].encode("utf-8", "surrogatepass"), row["payload_bytes"], f"urn:page:{row['refers_to']}")
+                header, record = max(header, data.index(END)), max(record, len(data))
                 squeeze = zlib.compressobj(4, wbits=31)
                 packed = squeeze.compress(data) + squeeze.flush()
                 out.write(packed)
@@ -371,7 +378,7 @@ def write_pages(pages: DataFrame, uri: str | None = None) -> DataFrame:
         if out is not None:
             yield close()
 
-    return materialize(with_revisits(pages).mapInArrow(run, "uri string, path string, n_records long"), "warc-files")
+    return materialize(with_revisits(pages).mapInArrow(run, "uri string, path string, n_records long, header_bytes long, record_bytes long"), "warc-files")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -381,8 +388,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     Empty tables give no rows; other columns are not read. A gap in an archive that was just written is an error: no record
     is lost in silence.
     """
-    whole = F.when(F.col("record_type") == "gap", F.raise_error(F.concat(F.lit("damaged archive: "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "problem"))).otherwise(F.col("record_type"))
-    records = read_records(write_pages(pages)).withColumn("record_type", whole.cast("string"))
+    damage = F.raise_error(F.concat(F.lit("damaged archive: "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "problem"))
+    records = read_records(write_pages(pages)).where(F.when(F.col("record_type") == "gap", damage.cast("boolean")).otherwise(F.lit(True)))
     number = lambda name: F.expr(f"try_cast(substring({name}, 10) as bigint)")  # noqa: E731  after urn:page:
     return records.withColumns({"page_id": number("record_id"), "refers_to": number("refers_to_id")})
 
