@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders below the shared one that this process has made and not dropped, in order.
-_made: list[str] = []
+class _Made(threading.local):
+    """Folders below the shared one that this thread has made and not dropped, in order; so one run never drops another's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -33,7 +40,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not held:
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/docpipe/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
@@ -46,19 +53,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def made() -> int:
-    """A mark for `drop_since`: how many folders are there now."""
-    return len(_made)
+    """A mark for `drop_since`: how many folders this thread has made."""
+    return len(_made.paths)
 
 
 def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
-    """Deletes the folders made since the mark, but for `keep`.
+    """Deletes the folders that this thread made since the mark, but for `keep`.
 
     For callers that have written what they need: DataFrames that read one of the folders can't be read any more.
     """
-    for path in [p for p in _made[mark:] if p != keep]:
+    for path in [p for p in _made.paths[mark:] if p != keep]:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        _made.remove(path)
+        _made.paths.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:
