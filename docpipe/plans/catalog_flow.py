@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.functions import jsonx
+from docpipe.functions.repair import repair_json
 from docpipe.plans import inputs, invoice
 from docpipe.sources import plugins
 from docpipe.streaming import jobs
@@ -49,6 +50,21 @@ select doc_id, list_filter(a, lambda x: length(x) = list_max(list_transform(a, l
   regexp_replace(response, '(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$', '\1') as inside from a"""
 
 
+def mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged responses, read by the tolerant reader; those without any object are errors."""
+    rows = invoice.parsed(inputs.run(spark, sf_dir, inputs.DAMAGED).withColumn("kind", F.lit("full")), repair=repair_json)
+    h, i = F.col("header"), lambda n, name: F.coalesce(F.get("items", F.lit(n))[name], F.lit(""))
+    return rows.select("doc_id", h["seller"]["name"].alias("seller_name"), h["seller"]["tax_id"].alias("seller_tax_id"), h["buyer"]["name"].alias("buyer_name"), h["invoice_number"].alias("invoice_number"), h["issue_date"].alias("issue_date"), h["currency"].alias("currency"), F.size("items").alias("n_items"), i(0, "net").alias("net"), i(1, "gross").alias("gross"), F.when(F.col("parse_error"), "no object").alias("error"))
+
+
+#: What the responses said before they were damaged.
+MENDED = """
+with r as (select o_orderkey as doc_id, o_custkey, c_name, year(o_orderdate)::varchar as y, o_orderkey % 16 in (13, 14) as bad, o_orderkey % 16 as way from {orders} join {customer} on o_custkey = c_custkey)
+select doc_id, case when bad then '' else 'Seller' || case when way = 10 then ' "best"' else '' end || ', ' || (o_custkey % 10) end as seller_name, case when bad then '' else 'HU' || o_custkey end as seller_tax_id,
+  case when bad then '' else c_name end as buyer_name, case when bad then '' else 'INV-' || doc_id end as invoice_number, case when bad then '' else y end as issue_date, case when bad then '' when way = 9 then 'None' else 'EUR' end as currency,
+  case when bad then 0 else 2 end::int as n_items, case when bad then '' else o_custkey::varchar end as net, case when bad then '' else doc_id::varchar end as gross, case when bad then 'no object' end as error from r"""
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses and table texts through the whole plan: parsed, cleaned, matched, repaired, totalled."""
     listed = inputs.run(spark, sf_dir, inputs.ITEMS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "name", "quantity", "unit_price", "net", "gross", "currency"))).alias("invoice_data"))
@@ -136,10 +152,10 @@ def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOB_LIST = f"select job_id, status, progress from ({STATES}) x where status is not null"
 
 QUERIES = {
-    "json_header": headers, "json_items": items, "json_longest": arrays, "process_invoices": invoices, "model_answers": answers,
+    "json_header": headers, "json_items": items, "json_longest": arrays, "json_repair": mended, "process_invoices": invoices, "model_answers": answers,
     "job_state": states, "job_changes": changes, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
-    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "model_answers": ANSWERS,
+    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS,
     "job_state": STATES, "job_changes": CHANGES, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }

@@ -99,6 +99,17 @@ select doc_id, o_custkey, case cast(doc_id % 7 as int) when 0 then concat('```js
     ',"invoice_data":[{"name":"a","quantity":"2","net":"', cast(o_custkey as string), '"},', case when o_orderkey % 7 = 6 then '"x",' else '' end, '{"name":null,"gross":', cast(o_orderkey as string), '}]}') as body
   from {orders} join {customer} on o_custkey = c_custkey) r"""
 
+#: Responses whose object is damaged in a dozen ways, by document; two in sixteen hold none.
+DAMAGED = r"""
+select doc_id, o_custkey, case cast(doc_id % 16 as int) when 0 then body when 1 then translate(body, '"', "'") when 2 then regexp_replace(body, '"(\w+)":', '$1: ')
+  when 3 then replace(replace(body, ',"', ' "'), '},{', '} {') when 4 then concat(replace(body, ',"buyer"', ', // who pays\n "buyer"'), ' /* done') when 5 then concat('Here: ', body, ' I hope {"this": helps}')
+  when 6 then replace(replace(body, '}', ',}'), ']', ',]') when 7 then substring(body, 1, length(body) - 3) when 8 then replace(body, '":', '" ') when 9 then replace(body, '"EUR"', 'None')
+  when 10 then replace(body, 'Seller, ', 'Seller "best", ') when 11 then replace(body, '","issue_date"', ',"issue_date"') when 12 then replace(body, ']}', '}') when 13 then 'This invoice cannot be read.'
+  when 14 then null else concat('```json\n', translate(substring(body, 1, length(body) - 2), '"', "'"), '\n```') end as response from (
+  select o_orderkey as doc_id, o_custkey, concat('{"seller":{"name":"Seller, ', cast(o_custkey % 10 as string), '","tax_id":"HU', cast(o_custkey as string), '"},"buyer":{"name":"', c_name, '"},"invoice_number":"INV-', cast(o_orderkey as string),
+    '","issue_date":"', cast(year(o_orderdate) as string), '","currency":"EUR","invoice_data":[{"name":"a","quantity":"2","net":"', cast(o_custkey as string), '"},{"name":"b","gross":', cast(o_orderkey as string), '}]}') as body
+  from {orders} join {customer} on o_custkey = c_custkey) r"""
+
 #: Events of users as events of their jobs.
 JOB_EVENTS = """
 select cast(user_id as string) as job_id, ts, event_id as seq,
