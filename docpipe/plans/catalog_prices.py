@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions import prices
 from docpipe.functions.text import table_lines
-from docpipe.operators.matching import SUMMARY, greedy_matches, match_scores
+from docpipe.operators.matching import SUMMARY, match_scores, with_matched_lines
 from docpipe.plans import inputs, invoice
 from docpipe.plans.inputs import ROW_TEXT, cents
 
@@ -123,7 +123,8 @@ from i join l using (doc_id)"""
 
 
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy_matches(matches(spark, sf_dir))
+    matched = with_matched_lines(inputs.run(spark, sf_dir, MATCH_ITEMS), inputs.run(spark, sf_dir, MATCH_LINES))
+    return matched.select("doc_id", "item_no", "line_idx")
 
 
 #: In this input an item's line scores so far above the others' that only lines with equal scores are passed on.
