@@ -1,13 +1,21 @@
 """Layout of recognised words: lines, gaps, columns, table rows.
 
 Words are rows of doc_id, page_no, block_no, line_no, word_no, value, x, y, confidence. Everything is keyed by document
-and page, so one shuffle serves a whole page; a page's words are the largest group.
+and page, so one shuffle serves a whole page. Lines are found in a scan over sorted words, so no page has to fit in memory
+before its text is put together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docpipe.functions.text import clean_text, fold_accents, strip
 
@@ -32,23 +40,106 @@ def plain_text(words: DataFrame) -> DataFrame:
     return pages.select(*PAGE, fold_accents(F.array_join("l.line", "\n")).alias("text"))
 
 
+def in_order(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Words dealt by page and sorted by (y, x, place) within it: a page is a stretch of rows of one task, spilled where it must be."""
+    place = ("y", "x", "block_no", "line_no", "word_no", "value", "confidence")
+    return words.select(*keys, *place).repartition(*keys).sortWithinPartitions(*keys, *place)
+
+
+def page_starts(batch: pa.RecordBatch, keys: tuple[str, ...], last: tuple | None) -> np.ndarray:
+    """Which rows of a batch begin a page; last: the keys of the row before it. Null keys are equal to each other."""
+    new = np.zeros(batch.num_rows, bool)
+    for key in keys:
+        column = batch.column(key)
+        here, before = column[1:], column[:-1]
+        differs = pc.coalesce(pc.not_equal(here, before), pc.xor(pc.is_null(here), pc.is_null(before)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    new[0] = last is None or last != tuple(batch.column(key)[0].as_py() for key in keys)
+    return new
+
+
+class Anchors:
+    """The fold that numbers lines: it holds the line that is open, its number and its first word's y, and nothing of the page."""
+
+    def __init__(self, keys: tuple[str, ...], tolerance: float):
+        self.keys, self.tolerance = keys, tolerance
+        self.last: tuple | None = None
+        self.anchor: float | None = None
+        self.line = -1
+
+    def lines(self, batch: pa.RecordBatch) -> list[int]:
+        """The line of each word of the next batch."""
+        out = []
+        anchor, line, tolerance = self.anchor, self.line, self.tolerance
+        for y, first in zip(batch.column("y").to_pylist(), page_starts(batch, self.keys, self.last).tolist(), strict=True):
+            if first:
+                anchor, line = y, 0
+            elif y is None or anchor is None or not abs(y - anchor) < tolerance:
+                anchor, line = y, line + 1
+            out.append(line)
+        self.anchor, self.line = anchor, line
+        self.last = tuple(batch.column(key)[batch.num_rows - 1].as_py() for key in self.keys)
+        return out
+
+
 def anchored_lines(words: DataFrame, keys: tuple[str, ...] = PAGE, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """`words` of a page with anchored_line: a word joins the line while its y is less than `tolerance` from the line's first word.
 
     The anchor does not move with the words, so this is a fold over the page in (y, x, place) order, not a comparison of
-    neighbours.
+    neighbours. Words go by in Arrow batches; what is carried from one to the next is the anchor. Words without a y are lines
+    of their own, before the others.
     """
-    word = F.struct("y", "x", "block_no", "line_no", "word_no", "value", "confidence")
-    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
-
-    def place(held: Column, w: Column) -> Column:
-        joins = F.coalesce(F.abs(w["y"] - held["anchor"]) < tolerance, F.lit(False))
-        line = F.when(joins, held["line"]).otherwise(held["line"] + 1)
-        return F.struct(F.when(joins, held["anchor"]).otherwise(w["y"]).alias("anchor"), line.alias("line"), F.array_append(held["out"], line).alias("out"))
-
-    numbered = pages.withColumn("n", F.aggregate("w", start, place, lambda held: held["out"]))
-    return numbered.select(*keys, F.explode(F.arrays_zip("w", "n")).alias("z")).select(*keys, F.col("z.n").alias("anchored_line"), "z.w.*")
+    dealt = in_order(words, keys)
+    schema = T.StructType([*(dealt.schema[k] for k in keys), T.StructField("anchored_line", T.IntegerType()), *(f for f in dealt.schema if f.name not in keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Anchors(keys, tolerance)
+        for batch in batches:
+            if batch.num_rows:
+                lines = pa.array(fold.lines(batch), pa.int32())
+                yield pa.RecordBatch.from_arrays([lines if f.name == "anchored_line" else batch.column(f.name) for f in schema], [f.name for f in schema])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def spaced_text(words: list[tuple]) -> str:
+    """Words (x, block_no, line_no, word_no, value) of a line by x, with three spaces where their left edges lie over WORD_GAP
+    apart, else one. Words without an x come first, without a gap; null values are left out."""
+    words.sort(key=lambda w: tuple((v is not None, v != v, v) if v == v else (True, True, 0) for v in w[:4]))
+    parts, before = [], None
+    for x, _, _, _, value in words:
+        if value is not None:
+            parts.append("  " + value if x is not None and before is not None and x - before > WORD_GAP else value)
+        before = x
+    return " ".join(parts)
+
+
+def spaced_lines(words: DataFrame, keys: tuple[str, ...] = PAGE, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """keys, anchored_line, text of every line: anchored_lines and gap_spaced_lines in one scan, which holds one line's words."""
+    dealt = in_order(words, keys)
+    schema = T.StructType([*(dealt.schema[k] for k in keys), T.StructField("anchored_line", T.IntegerType()), T.StructField("text", T.StringType())])
+    kinds = list(to_arrow_schema(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, held, of, made = Anchors(keys, tolerance), [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines = fold.lines(batch)
+            columns = [batch.column(c).to_pylist() for c in ("x", "block_no", "line_no", "word_no", "value")]
+            for place, word in zip(zip(*(batch.column(k).to_pylist() for k in keys), lines, strict=True), zip(*columns, strict=True), strict=True):
+                if place != of:
+                    if held:
+                        made.append((*of, spaced_text(held)))
+                    held, of = [], place
+                held.append(word)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kinds, strict=True)], schema.names)
+                made = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*of, spaced_text(held)), kinds, strict=True)], schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def gap_spaced_lines(words: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -62,7 +153,7 @@ def gap_spaced_lines(words: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFram
 
 def structured_text(words: DataFrame) -> DataFrame:
     """doc_id, page_no, text: lines rebuilt from the words' places, folded; cleaned in `cleaned`."""
-    lines = gap_spaced_lines(anchored_lines(words)).where(strip(F.col("text")) != "")
+    lines = spaced_lines(words).where(strip(F.col("text")) != "")
     pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("anchored_line", "text"))).alias("l"))
     text = fold_accents(F.array_join("l.text", "\n"))
     return pages.select(*PAGE, text.alias("text"), clean_text(text).alias("cleaned"))
@@ -93,7 +184,7 @@ def two_column_text(words: DataFrame) -> DataFrame:
     """doc_id, page_no, text of documents that have two columns: the left one's lines, then the right one's, under headings."""
     sided = words.join(column_split(words).where("split_x is not null"), "doc_id").withColumn("side", F.when(F.col("x") < F.col("split_x"), 0).otherwise(1))
     keys = (*PAGE, "side")
-    lines = gap_spaced_lines(anchored_lines(sided, keys, COLUMN_LINE_TOLERANCE), keys)
+    lines = spaced_lines(sided, keys, COLUMN_LINE_TOLERANCE)
     sides = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("anchored_line", "text"))).alias("l")).select(*keys, F.array_join("l.text", "\n").alias("t"))
     pages = sides.groupBy(*PAGE).agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("t"))), F.lit("")).alias("left"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("t"))), F.lit("")).alias("right"))
     text = F.concat(F.lit("=== LEFT COLUMN ===\n"), "left", F.lit("\n\n=== RIGHT COLUMN ===\n"), "right")

@@ -45,7 +45,7 @@ GROUPED = f"with recursive {W}, {ANCHORED} select doc_id, page_no, word_no, anch
 
 
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.gap_spaced_lines(layout.anchored_lines(words(spark, sf_dir)))
+    return layout.spaced_lines(words(spark, sf_dir))
 
 
 def _spaced(keys: str, source: str) -> str:
