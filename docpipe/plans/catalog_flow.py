@@ -9,7 +9,7 @@ from docpipe.functions import jsonx
 from docpipe.functions.repair import repair_json
 from docpipe.plans import inputs, invoice
 from docpipe.sources import plugins
-from docpipe.streaming import jobs
+from docpipe.streaming import feed, jobs
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +151,28 @@ def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOB_LIST = f"select job_id, status, progress from ({STATES}) x where status is not null"
 
+def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What listeners of all jobs are sent."""
+    return feed.job_feed(events(spark, sf_dir)).select("job_id", "seq", "event", "status", "progress", "stage")
+
+
+FEED = f"""
+with e as (select distinct job_id, ts, seq, action, stage, progress, row_number() over (partition by job_id order by ts, seq) as n from ({inputs.JOB_EVENTS}) x),
+c as (select job_id, min(n) filter (action = 'create') as born from e group by job_id),
+f as (select job_id, min(n) as ended from e join c using (job_id) where n > born and action in ('complete', 'error', 'cancel') group by job_id),
+a as (select e.*, born, ended from e join c using (job_id) left join f using (job_id) where n >= born and (ended is null or n <= ended)),
+s as (select job_id, n, seq, ended = n as final, case when ended = n then case action when 'complete' then 'completed' when 'cancel' then 'cancelled' else 'error' end when bool_or(action = 'update' and n > born) over w then 'processing' else 'started' end as status,
+  case when ended = n and action = 'complete' then 100 else coalesce(last_value(case when action = 'update' and n > born then greatest(0, least(100, progress)) end ignore nulls) over w, 0) end::int as progress,
+  coalesce(last_value(case when action = 'update' and n > born or action = 'complete' and n = ended then stage end ignore nulls) over w, 'upload') as stage
+  from a window w as (partition by job_id order by n rows between unbounded preceding and current row)),
+d as (select *, lag((status, progress, stage)) over (partition by job_id order by n) as before from s)
+select job_id, seq, case when final then 'complete' else 'progress' end as event, status, progress, stage from d where before is null or before <> (status, progress, stage)"""
+
 QUERIES = {
     "json_header": headers, "json_items": items, "json_longest": arrays, "json_repair": mended, "process_invoices": invoices, "model_answers": answers,
-    "job_state": states, "job_changes": changes, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
+    "job_state": states, "job_changes": changes, "job_feed": live_feed, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
     "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS,
-    "job_state": STATES, "job_changes": CHANGES, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
+    "job_state": STATES, "job_changes": CHANGES, "job_feed": FEED, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }
