@@ -9,7 +9,9 @@ from docpipe.functions import jsonx
 from docpipe.functions.repair import repair_json
 from docpipe.plans import inputs, invoice
 from docpipe.sources import plugins
+from docpipe.sources.places import shared_folder
 from docpipe.streaming import feed, jobs
+from docpipe.streaming.store import KeyedStore
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +170,25 @@ s as (select job_id, n, seq, ended = n as final, case when ended = n then case a
 d as (select *, lag((status, progress, stage)) over (partition by job_id order by n) as before from s)
 select job_id, seq, case when final then 'complete' else 'progress' end as event, status, progress, stage from d where before is null or before <> (status, progress, stage)"""
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each job from a store that takes the events in eight batches, two of them twice, and compacts twice."""
+    rows = events(spark, sf_dir).withColumn("batch", (F.col("seq") % 8).cast("int"))
+    store = KeyedStore(spark, shared_folder(spark, "store"), "job_id string, seq long, action string, progress int", "job_id", ("seq",), 16)
+    for batch in (0, 1, 2, 1, 3, 4, 5, 2, 6, 7):
+        store.upsert(rows.where(F.col("batch") == batch), batch)
+        if batch in (3, 6):
+            store.compact()
+    return store.latest()
+
+
+#: Batches follow each other, within one the greatest seq is the latest.
+STORED = f"select job_id, arg_max(seq, (seq % 8, seq)) as seq, arg_max(action, (seq % 8, seq)) as action, arg_max(progress, (seq % 8, seq)) as progress from ({inputs.JOB_EVENTS}) x group by job_id"
+
 QUERIES = {
     "json_header": headers, "json_items": items, "json_longest": arrays, "json_repair": mended, "process_invoices": invoices, "model_answers": answers,
-    "job_state": states, "job_changes": changes, "job_feed": live_feed, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
+    "job_state": states, "job_changes": changes, "job_feed": live_feed, "result_store": stored, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
     "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS,
-    "job_state": STATES, "job_changes": CHANGES, "job_feed": FEED, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
+    "job_state": STATES, "job_changes": CHANGES, "job_feed": FEED, "result_store": STORED, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }

@@ -110,7 +110,7 @@ class JobFeed(StatefulProcessor):
 
 def streaming_feed(events: DataFrame, late: str = "10 minutes", idle_seconds: int = RETENTION) -> DataFrame:
     """FEED of a stream of events, in append mode: each row once, when the watermark (`late` behind the newest event) has passed
-    its event. Events later than that are dropped.
+    its event. Events later than that are dropped, as are those without a time or number.
 
     A job that is `idle_seconds` without an event is given up (`timeout`), and forgotten, as are ended ones. State is kept by
     the RocksDB provider (ROCKS), which the session has to name in spark.sql.streaming.stateStore.providerClass; it outlives a
@@ -119,6 +119,6 @@ def streaming_feed(events: DataFrame, late: str = "10 minutes", idle_seconds: in
     name = "spark.sql.streaming.stateStore.providerClass"
     if events.sparkSession.conf.get(name, None) != ROCKS:
         raise ValueError(f"{name} has to be {ROCKS}")
-    keyed = events.withWatermark("ts", late).select("job_id", "ts", F.unix_micros("ts").alias("us"), "seq", "action", "stage", "progress", "message")
+    keyed = events.where("ts is not null and seq is not null").withWatermark("ts", late).select("job_id", "ts", F.unix_micros("ts").alias("us"), "seq", "action", "stage", "progress", "message")
     made = keyed.groupBy("job_id").transformWithState(JobFeed(idle_seconds), "job_id string, us long, seq long, event string, status string, progress int, stage string", "append", "eventTime")
     return made.select("job_id", F.timestamp_micros("us").alias("ts"), "seq", "event", "status", "progress", "stage")

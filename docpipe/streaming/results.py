@@ -1,4 +1,5 @@
-"""A sink of results by key: batches that can be written again, and the latest row of each key."""
+"""A sink of results by key: batches that can be written again, and the latest row of each key. `store` does the same for
+long histories."""
 
 from __future__ import annotations
 
@@ -21,7 +22,6 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 def latest(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     """Of each key the row of its last batch (of several in that batch, the greatest): what upserts would have left."""
     rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c not in (key, "batch")]
-    last = rows.groupBy(key).agg(F.max(F.struct("batch", F.to_json(F.struct(*columns)).alias("row"))).alias("last"))
-    kept = rows.withColumn("__row", F.to_json(F.struct(*columns))).join(last.select(key, F.col("last.batch").alias("batch"), F.col("last.row").alias("__row")), [key, "batch", "__row"], "left_semi")
-    return kept.drop("__row", "batch").dropDuplicates([key])
+    row = F.struct(*(c for c in rows.columns if c != "batch"))
+    last = rows.groupBy(key).agg(F.max_by(row, F.struct("batch", F.to_json(row))).alias("row"))
+    return last.select("row.*")
