@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.functions.text import ACCENTED, PLAIN
 from docpipe.operators import layout
 from docpipe.plans import inputs
-from docpipe.sources import plugins
+from docpipe.sources import plugins, upload_source
+from docpipe.sources.places import shared_folder
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +127,52 @@ with l as (select doc_id::varchar as doc_id, unnest(string_split(text, chr(10)))
 n as (select doc_id, len(list_filter(regexp_split_to_array(line, '[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) as n from l)
 select doc_id, 0 as page_no, sum(n)::bigint as n_words, count(*) filter (n > 0) as n_lines, 0::bigint as n_errors from n group by doc_id having sum(n) > 0"""
 
+#: Documents in a file.
+IN_FILE = 100
+
+
+def written_files(docs: DataFrame, uri: str) -> int:
+    """Writes documents, by IN_FILE to a file with a form feed between, and returns the number of files; a retried task writes
+    the same bytes again."""
+
+    def write(batches):
+        system, base = pafs.FileSystem.from_uri(uri)
+        system.create_dir(base, recursive=True)
+        name, stream = None, None
+        for batch in batches:
+            for number, text in zip(batch.column("file_no").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if number != name:
+                    if stream:
+                        stream.close()
+                    name, stream = number, system.open_output_stream(f"{base}/{number}.pdf", compression=None)
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], ["file_no"])
+                else:
+                    stream.write(b"\f")
+                stream.write(text.encode())
+        if stream:
+            stream.close()
+
+    numbered = docs.select((F.floor(F.col("doc_id") / IN_FILE)).alias("file_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return numbered.repartition("file_no").sortWithinPartitions("file_no", "doc_id").drop("doc_id").mapInArrow(write, "file_no long").count()
+
+
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files and read back as pages, long files in parts."""
+    folder = shared_folder(spark, "uploads")
+    written_files(inputs.table(spark, sf_dir, "documents"), folder)
+    spark.dataSource.register(upload_source.UploadPages)
+    pages = spark.read.format("uploads").option("reader", "docpipe.sources.plugins:TextPages").option("splitBytes", 256 << 10).load(folder)
+    number = F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")
+    return pages.select(number.alias("file_no"), "page_no", F.length("image").cast("long").alias("n_bytes"), F.md5("image").alias("digest"), "error")
+
+
+READ_FILES = "select doc_id // 100 as file_no, (row_number() over (partition by doc_id // 100 order by doc_id) - 1)::int as page_no, strlen(coalesce(text, ''))::bigint as n_bytes, md5(coalesce(text, '')) as digest, null::varchar as error from {documents}"
+
 QUERIES = {
     "plain_text": plain, "line_group": grouped, "gap_spacing": spaced, "structured_text": structured, "column_detect": columns, "two_column": two_columns, "table_rows": rows_of_tables,
-    "confidence": confidence, "document_text": documents, "recognized_words": recognized,
+    "confidence": confidence, "document_text": documents, "recognized_words": recognized, "upload_pages": read_files,
 }
 ORACLES = {
     "plain_text": PLAIN_TEXT, "line_group": GROUPED, "gap_spacing": SPACED, "structured_text": STRUCTURED, "column_detect": COLUMNS, "two_column": TWO, "table_rows": TABLE_ROWS,
-    "confidence": CONFIDENCE, "document_text": DOCUMENTS, "recognized_words": RECOGNIZED,
+    "confidence": CONFIDENCE, "document_text": DOCUMENTS, "recognized_words": RECOGNIZED, "upload_pages": READ_FILES,
 }
