@@ -9,6 +9,7 @@ from docpipe.functions import jsonx
 from docpipe.functions.repair import repair_json
 from docpipe.plans import inputs, invoice
 from docpipe.sources import plugins
+from docpipe.sources.ledger import Calls, ResponseLedger
 from docpipe.sources.places import shared_folder
 from docpipe.streaming import feed, jobs
 from docpipe.streaming.store import KeyedStore
@@ -86,6 +87,19 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS = "select doc_id::varchar as doc_id, 0 as n_items, '' as currency, false as parse_error from {documents}"
 
 
+def asked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to every document through the ledger, in two runs of which the second asks only what the first did not."""
+    prompts = inputs.run(spark, sf_dir, "select cast(doc_id as string) as doc_id, 'full' as kind, coalesce(text, '') as prompt from {documents}")
+    ledger, calls = ResponseLedger(spark, shared_folder(spark, "ledger")), Calls(flush_rows=2000)
+    ledger.complete(prompts.where("cast(doc_id as bigint) % 3 = 0"), plugins.LengthModel, "length", calls=calls)
+    done = ledger.complete(prompts, plugins.LengthModel, "length", calls=calls)
+    read = invoice.parsed(done.select("doc_id", "kind", "response"))
+    return read.select("doc_id", F.col("header.invoice_number").alias("invoice_number"), F.get("items", F.lit(0))["name"].alias("name"), "parse_error")
+
+
+ASKED_ONCE = "select doc_id::varchar as doc_id, length(coalesce(text, ''))::varchar as invoice_number, substr(coalesce(text, ''), 1, 5) as name, false as parse_error from {documents}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.run(spark, sf_dir, inputs.JOB_EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -185,10 +199,10 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORED = f"select job_id, arg_max(seq, (seq % 8, seq)) as seq, arg_max(action, (seq % 8, seq)) as action, arg_max(progress, (seq % 8, seq)) as progress from ({inputs.JOB_EVENTS}) x group by job_id"
 
 QUERIES = {
-    "json_header": headers, "json_items": items, "json_longest": arrays, "json_repair": mended, "process_invoices": invoices, "model_answers": answers,
+    "json_header": headers, "json_items": items, "json_longest": arrays, "json_repair": mended, "process_invoices": invoices, "model_answers": answers, "model_ledger": asked_once,
     "job_state": states, "job_changes": changes, "job_feed": live_feed, "result_store": stored, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
-    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS,
+    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS, "model_ledger": ASKED_ONCE,
     "job_state": STATES, "job_changes": CHANGES, "job_feed": FEED, "result_store": STORED, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }

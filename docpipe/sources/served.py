@@ -17,7 +17,11 @@ VISION_OPTIONS = {"temperature": 0.1, "num_predict": 1024}
 
 
 class ModelError(RuntimeError):
-    """The server refused a request or gave no answer."""
+    """The server refused a request or gave no answer. A request that is itself at fault is not worth trying again."""
+
+    def __init__(self, message: str, code: int | None = None):
+        super().__init__(message)
+        self.retryable = code is None or code >= 500 or code in (408, 429)
 
 
 def answer_of(lines: Any) -> str:
@@ -59,7 +63,11 @@ class ServedModel:
         try:
             return urllib.request.urlopen(urllib.request.Request(self.url.rstrip("/") + path, data, {"Content-Type": "application/json"}), timeout=self.timeout)  # noqa: S310  the address is the caller's
         except urllib.error.HTTPError as e:
-            raise ModelError(f"{e.code}: {e.read(500).decode('utf-8', 'replace')}") from e
+            raise ModelError(f"{e.code}: {e.read(500).decode('utf-8', 'replace')}", e.code) from e
+
+    def identity(self, image: bool = False) -> str:
+        """What an answer depends on besides the question; for a ledger of answers."""
+        return json.dumps({"model": self.model, "options": self.vision_options if image else self.options}, sort_keys=True)
 
     def complete(self, prompt: str, image: bytes | str | None = None) -> str:
         with self._open("/api/generate", self.request(prompt, image)) as lines:
