@@ -67,3 +67,9 @@ class Folder:
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
+
+    def move(self, name: str, to: str) -> None:
+        """Renames a file or folder; in place of what is there, if anything."""
+        self.delete(to)
+        if not self._fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"{self.path}/{name} could not be renamed")
