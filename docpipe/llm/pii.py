@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans, which always stay. High-recall generators propose further, overlapping spans (spelled
 out addresses, numbers without a plus, account and insurance numbers, and the parts of what fails a base check: items beside
-other numbers). Boosted trees score each proposal from its format and its context, and those past a calibrated threshold
-that overlap no chosen span are added.
+other numbers). Boosted trees score each proposal from its format and its context, and those past their kind's
+calibrated threshold that overlap no chosen span are added.
 
 The trees are fitted on two sources. One is the documents themselves: base spans of a bounded sample, in the words around
 them, are rewritten so that the base patterns fail (spelled out, without a plus, beside other numbers), look-alikes are put
@@ -38,8 +38,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Calibrated probability from which a proposal is added.
-THRESHOLD = 0.98
+#: Precision that each kind's threshold keeps on examples held out of the fit, how many of them it takes to set one, and the
+#: probability from which proposals of kinds with fewer are added.
+PRECISION, LEAST_HELD_OUT, THRESHOLD = 0.99, 20, 0.98
 CONTEXT = 40
 #: Documents whose spans and proposals are looked at to fit the trees (about so many, by a hash of the text), and snippets used.
 MOST_SAMPLED, MOST_SNIPPETS = 4000, 3000
@@ -350,11 +351,12 @@ def examples(n: int = 18000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 Snippet = tuple[str, str, str, str, bool]
 
 
-def snippets(docs: DataFrame, most: int = MOST_SAMPLED) -> list[Snippet]:
+def snippets(docs: DataFrame, most: int = MOST_SAMPLED, kept: int = MOST_SNIPPETS, of_text: int = 50) -> list[Snippet]:
     """before, item, after, kind of base spans and of other proposals (True: base) of about `most` documents, in order.
 
     Documents are taken by a hash of their text, as many as make up `most` of all on average; a task returns a few words
-    around each span, never texts, and at most MOST_SNIPPETS of them, by hash, come to the driver's fit.
+    around each of at most `of_text` spans of a text, never texts, and at most `kept` of them, by hash, come to the driver's fit.
+    These bounds are of the sample to fit on alone; what is searched and redacted has none.
     """
     n = docs.count()
     rows = docs.select(text_or_empty().alias("text"))
@@ -368,12 +370,12 @@ def snippets(docs: DataFrame, most: int = MOST_SAMPLED) -> list[Snippet]:
                 base = base_spans(text)
                 other = free(proposals(text), base)
                 for spans, is_base in ((base, True), (other, False)):
-                    found += [(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], kind, is_base) for a, b, kind in spans[:50]]  # a page of numbers is one example, not a thousand
+                    found += [(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], kind, is_base) for a, b, kind in spans[:of_text]]  # a page of numbers is one example, not a thousand
             yield pa.RecordBatch.from_pylist([dict(zip(SNIPPET.names, row, strict=True)) for row in found], SNIPPET)
 
     sample = rows.mapInArrow(run, "before string, item string, after string, kind string, base boolean").distinct()
     order = F.xxhash64("before", "item", "after", "kind")
-    return sorted(tuple(r) for r in sample.orderBy(order, "before", "item").limit(MOST_SNIPPETS).collect())
+    return sorted(tuple(r) for r in sample.orderBy(order, "before", "item").limit(kept).collect())
 
 
 SNIPPET = pa.schema([("before", pa.string()), ("item", pa.string()), ("after", pa.string()), ("kind", pa.string()), ("base", pa.bool_())])
@@ -401,21 +403,51 @@ def corpus_examples(found: list[Snippet], seed: int = 9) -> tuple[np.ndarray, np
     return np.concatenate(x), np.array(y)
 
 
-def trained(found: list[Snippet], n: int = 18000) -> BoostedTrees:
-    """Trees fitted on two thirds of the examples of both sources, and calibrated on the rest."""
+def threshold_of(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The probability from which proposals of a kind are added: between the lowest one down to which the share of personal data
+    is at least `precision`, and the next lower one. No probability is enough where none has that share."""
+    order = np.argsort(-p, kind="stable")
+    p, share = p[order], np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    last = np.append(p[1:] < p[:-1], True)  # equal probabilities go together
+    good = np.flatnonzero(last & (share >= precision))
+    if not len(good):
+        return 1.01
+    below = p[good[-1] + 1] if good[-1] + 1 < len(p) else 0.0
+    return float((p[good[-1]] + below) / 2)
+
+
+class Trees(BoostedTrees):
+    """Boosted trees with a threshold for each kind of proposal."""
+
+    thresholds: dict[str, float]
+
+    def set_thresholds(self, sources: list[tuple[np.ndarray, np.ndarray]]) -> Trees:
+        """Of each kind by the last source with enough examples of both sorts, so by the documents' own words where they have them."""
+        self.thresholds = dict.fromkeys(KINDS, THRESHOLD)
+        for x, y in sources:
+            p, kinds = self.probability(x), x[:, : len(KINDS)].argmax(1)
+            for i, kind in enumerate(KINDS):
+                mine = kinds == i
+                if mine.sum() >= LEAST_HELD_OUT and 0 < y[mine].sum() < mine.sum():
+                    self.thresholds[kind] = threshold_of(p[mine], y[mine])
+        return self
+
+
+def trained(found: list[Snippet], n: int = 18000) -> Trees:
+    """Trees fitted on two thirds of the examples of both sources; calibration and thresholds by kind come from the rest."""
     both = [examples(n), corpus_examples(found)]
     part = lambda a, fit: a[: len(a) * 2 // 3] if fit else a[len(a) * 2 // 3 :]
     pick = lambda i, fit: np.concatenate([part(data[i], fit) for data in both])
-    return BoostedTrees(trees=60).fit(pick(0, True), pick(1, True)).calibrate(pick(0, False), pick(1, False))
+    return Trees(trees=60).fit(pick(0, True), pick(1, True)).calibrate(pick(0, False), pick(1, False)).set_thresholds([(part(x, False), part(y, False)) for x, y in both])
 
 
-def fitted(docs: DataFrame, most: int = MOST_SAMPLED) -> BoostedTrees:
+def fitted(docs: DataFrame, most: int = MOST_SAMPLED) -> Trees:
     """The trees for a table of documents; the same for the same rows, however they are dealt."""
     return trained(snippets(docs, most))
 
 
 @cache
-def model() -> BoostedTrees:
+def model() -> Trees:
     """Fitted on generated sentences alone; the same in every process."""
     return trained([])
 
@@ -423,16 +455,16 @@ def model() -> BoostedTrees:
 N_FEATURES = len(features("x", (0, 1, "email")))
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], trees: BoostedTrees, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Proposals past the threshold that overlap neither a base span nor a likelier proposal."""
+def added_spans(text: str, base: list[tuple[int, int, str]], trees: Trees) -> list[tuple[int, int, str]]:
+    """Proposals past their kind's threshold that overlap neither a base span nor a likelier proposal."""
     found = free(proposals(text), base)
     if not found:
         return []
     found = sorted(set(found), key=lambda s: (s[0], s[1], KINDS.index(s[2])))
     p, out = trees.probability(np.array([features(text, s) for s in found])), []
     for i in np.argsort(-p, kind="stable").tolist():
-        if p[i] < threshold:
-            break
+        if p[i] < trees.thresholds[found[i][2]]:
+            continue
         at = bisect_left(out, found[i])  # the chosen ones overlap nowhere, so only neighbours can
         if all(found[i][0] >= b[1] or b[0] >= found[i][1] for b in out[max(0, at - 1) : at + 1]):
             insort(out, found[i])
@@ -443,7 +475,7 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def find(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees | None = None) -> DataFrame:
+def find(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans of each row.
 
     Null texts count as empty: no spans, the hash of the empty string. Repeated rows repeat, null ids stay, empty tables
@@ -457,7 +489,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees | No
     def run(batches):
         for batch, texts in slices(batches, "text"):
             base = [base_spans(text) for text in texts]
-            spans = [listed(b + added_spans(t, b, held.value, threshold)) for t, b in zip(texts, base, strict=True)]
+            spans = [listed(b + added_spans(t, b, held.value)) for t, b in zip(texts, base, strict=True)]
             counts = [pa.array([sum(s[2] == kind for s in b) for b in base], pa.int64()) for kind in BASE_KINDS]
             shas = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, shas, pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
@@ -481,7 +513,7 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees | None = None) -> DataFrame:
+def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """`docs` with every span of its texts replaced by its kind in brackets, and n_chars, if there, counted anew.
 
     Null texts stay null, empty ones empty; repeated rows repeat; other columns stay as they are, whatever their names.
@@ -494,7 +526,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, trees: BoostedTrees |
             known, out = batch.column("text").is_valid().to_pylist(), []
             for text in texts:
                 base = base_spans(text)
-                spans = base + added_spans(text, base, held.value, threshold)
+                spans = base + added_spans(text, base, held.value)
                 out.append(redact_text(text, spans) if spans else text)
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array([t if k else None for t, k in zip(out, known, strict=True)], batch.schema.field(at).type))

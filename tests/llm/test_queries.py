@@ -93,7 +93,7 @@ def added(text, base, trees):
     p = trees.probability(np.array([pii.features(text, s) for s in found])).tolist() if found else []
     out = []
     for q, s in sorted(zip(p, found, strict=True), key=lambda z: -z[0]):
-        if q >= pii.THRESHOLD and not any(s[0] < b and a < s[1] for a, b, _ in out):
+        if q >= trees.thresholds[s[2]] and not any(s[0] < b and a < s[1] for a, b, _ in out):
             out.append(s)
     return out
 
