@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 from docpipe.functions.text import ACCENTED, PLAIN
 from docpipe.operators import layout
 from docpipe.plans import inputs
-from docpipe.sources import plugins, upload_source
+from docpipe.sources import images, plugins, upload_source
 from docpipe.sources.places import shared_folder
+from docpipe.sources.png import PngCodec, PngPages
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +172,49 @@ def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READ_FILES = "select doc_id // 100 as file_no, (row_number() over (partition by doc_id // 100 order by doc_id) - 1)::int as page_no, strlen(coalesce(text, ''))::bigint as n_bytes, md5(coalesce(text, '')) as digest, null::varchar as error from {documents}"
 
+def drawn(ids: DataFrame) -> DataFrame:
+    """path and content: an image of one colour for each doc_id, gray or coloured, with and without alpha."""
+
+    def draw(batches):
+        codec = PngCodec()
+        for batch in batches:
+            numbers = batch.column("doc_id").to_pylist()
+            made = [codec.png(np.tile(np.array([i % 251, (i * 7) % 251, (i * 13) % 251, 200], np.uint8)[: i % 4 + 1], (15 + i % 31, 20 + i % 47, 1))) for i in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, numbers)), pa.array(made, pa.binary())], ["path", "content"])
+
+    return ids.mapInArrow(draw, "path string, content binary")
+
+
+def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and colours of drawn pages after both image steps."""
+    files = drawn(inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id")))
+
+    def measured(batches):
+        codec = PngCodec()
+        for batch in batches:
+            rows = []
+            for path, large, small in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "image", "vision")), strict=True):
+                image, seen = codec.open(large), codec.open(base64.b64decode(small))
+                rows.append((int(path), image.shape[1], image.shape[0], *(int(x) for x in image[0, 0]), int(len(np.unique(image.reshape(-1, 3), axis=0))), seen.shape[1], seen.shape[0], seen.shape[2]))
+            names = ("doc_id", "width", "height", "red", "green", "blue", "n_colours", "vision_width", "vision_height", "vision_channels")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "doc_id" else pa.int32()) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names))
+
+    pages = images.prepared_pages(plugins.page_images(files, PngPages), PngCodec).select("doc_id", "image")
+    vision = images.vision_images(files, PngPages, PngCodec, longest=40).select("doc_id", F.col("image").alias("vision"))
+    return pages.join(vision, "doc_id").mapInArrow(measured, "doc_id long, width int, height int, red int, green int, blue int, n_colours int, vision_width int, vision_height int, vision_channels int")
+
+
+PICTURES = """
+with s as (select doc_id::bigint as doc_id, 20 + doc_id % 47 as w, 15 + doc_id % 31 as h, (doc_id % 251)::int as r, (doc_id * 7 % 251)::int as g, (doc_id * 13 % 251)::int as b, doc_id % 4 + 1 as c from {documents}),
+v as (select *, least(40::double / w, 40::double / h) as ratio from s)
+select doc_id, floor(w * 1.5)::int as width, floor(h * 1.5)::int as height, r as red, case when c < 3 then r else g end as green, case when c < 3 then r else b end as blue, 1::int as n_colours,
+  (case when ratio < 1 then floor(w * ratio) else w end)::int as vision_width, (case when ratio < 1 then floor(h * ratio) else h end)::int as vision_height, c::int as vision_channels from v"""
+
 QUERIES = {
     "plain_text": plain, "line_group": grouped, "gap_spacing": spaced, "structured_text": structured, "column_detect": columns, "two_column": two_columns, "table_rows": rows_of_tables,
-    "confidence": confidence, "document_text": documents, "recognized_words": recognized, "upload_pages": read_files,
+    "confidence": confidence, "document_text": documents, "recognized_words": recognized, "upload_pages": read_files, "page_pictures": page_pictures,
 }
 ORACLES = {
     "plain_text": PLAIN_TEXT, "line_group": GROUPED, "gap_spacing": SPACED, "structured_text": STRUCTURED, "column_detect": COLUMNS, "two_column": TWO, "table_rows": TABLE_ROWS,
-    "confidence": CONFIDENCE, "document_text": DOCUMENTS, "recognized_words": RECOGNIZED, "upload_pages": READ_FILES,
+    "confidence": CONFIDENCE, "document_text": DOCUMENTS, "recognized_words": RECOGNIZED, "upload_pages": READ_FILES, "page_pictures": PICTURES,
 }
