@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions import jsonx
 from docpipe.functions.repair import repair_json
-from docpipe.plans import inputs, invoice
+from docpipe.plans import inputs, invoice, oracle_invoices
 from docpipe.sources import plugins
 from docpipe.sources.ledger import Calls, ResponseLedger
 from docpipe.sources.places import shared_folder
@@ -203,6 +203,6 @@ QUERIES = {
     "job_state": states, "job_changes": changes, "job_feed": live_feed, "result_store": stored, "stage_durations": durations, "job_retention": kept_jobs, "job_snapshot": snapshot, "job_list": job_list,
 }
 ORACLES = {
-    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS, "model_ledger": ASKED_ONCE,
+    "json_header": HEADERS, "json_items": ITEMS, "json_longest": ARRAYS, "json_repair": MENDED, "model_answers": ANSWERS, "model_ledger": ASKED_ONCE, "process_invoices": oracle_invoices.oracle(HEADERS),
     "job_state": STATES, "job_changes": CHANGES, "job_feed": FEED, "result_store": STORED, "stage_durations": DURATIONS, "job_retention": KEPT_JOBS, "job_snapshot": SNAPSHOTS, "job_list": JOB_LIST,
 }
