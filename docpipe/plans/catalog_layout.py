@@ -94,15 +94,17 @@ def rows_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.table_rows(inputs.run(spark, sf_dir, inputs.TABLE_LINES))
 
 
-#: In this input every order has a header; an item's row is followed by its own lines, the last one's also by the greeting.
-TABLE_ROWS = f"""
-with i as (select *, max(item_no) over (partition by doc_id) = item_no as last from ({inputs.ITEMS}) x),
-r as (select doc_id, (3 * item_no)::int as line_no, concat({inputs.ROW_TEXT}, case when l_partkey % 3 = 0 then ' deluxe edition' else '' end, case when l_partkey % 6 = 0 then ' in blue box' else '' end,
-  case when last and doc_id % 2 = 1 and l_partkey % 6 <> 0 then ' Thank you' else '' end) as line from i
-  union all select o_orderkey, 0, 'Item quantity unit net gross' from {{orders}}),
-n as (select *, count(*) over (partition by doc_id) as n from r)
-select doc_id, line_no, line from n where n >= 2
-union all select t.* from ({inputs.TABLE_LINES}) t where t.doc_id in (select o_orderkey from {{orders}} where o_orderkey not in (select l_orderkey from {{lineitem}}))"""
+_count = lambda pattern: f"len(regexp_extract_all(line, '{pattern}'))"
+_case = lambda pattern: pattern.replace("(?iu)", "(?i)")
+#: Which lines go on with the name of a row above is told by joining each line with the two before and after it.
+TABLE_ROWS = rf"""
+with m as (select *, row_number() over (partition by doc_id order by line_no) as n, {_count(layout.PRICE)} as prices, {_count(layout.WORD)} as words, trim(line) = '' as blank from ({inputs.TABLE_LINES}) x),
+f as materialized (select *, prices >= 3 and words > 0 as is_row, not blank and prices = 0 and words > 0 and not regexp_matches(line, '{_case(layout.NO_CONTINUATION)}') as more, regexp_matches(line, '{_case(layout.TABLE_HEADER)}') and not (prices >= 3 and words = 0) as head from m),
+j as (select f.doc_id, f.line_no, f.line, f.is_row, f.head, f.more and (coalesce(p1.is_row, false) or coalesce(p2.is_row and p1.more, false)) as taken,
+  concat(f.line, case when n1.more then ' ' || trim(n1.line) else '' end, case when n2.more and (n1.more or n1.blank) then ' ' || trim(n2.line) else '' end) as whole
+  from f left join f n1 on n1.doc_id = f.doc_id and n1.n = f.n + 1 left join f n2 on n2.doc_id = f.doc_id and n2.n = f.n + 2 left join f p1 on p1.doc_id = f.doc_id and p1.n = f.n - 1 left join f p2 on p2.doc_id = f.doc_id and p2.n = f.n - 2),
+k as (select *, is_row or head and not taken as kept, count(*) filter (is_row or head and not taken) over (partition by doc_id) as n_kept from j)
+select doc_id, line_no, case when n_kept >= 2 and is_row then whole else line end as line from k where n_kept < 2 or kept"""
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
