@@ -12,8 +12,8 @@ are brought together first, in buckets that are sorted on their own:
    one suffix for our purpose, and all but those of the class's smallest doc_id are removed, in the chunk itself first and
    then across chunks.
 3. Where an anchor has several classes, the bytes of the classes' first runs meet in buckets. There the suffixes are
-   sorted up to SIZE bytes, the previous and next smaller positions are found over their doc_ids, and a window is removed
-   if the factor that it shares with either reaches SIZE bytes.
+   sorted up to SIZE bytes, with their common prefixes; the previous and next smaller positions over their doc_ids give the
+   longest-previous-factor array (lengths up to SIZE), and a window is removed if its entry reaches SIZE.
 4. Each chunk gathers its removed windows and writes its documents' results.
 
 Hot keys: equal runs are merged within a chunk before anything is shuffled. Anchors with over COMMON runs in a chunk never
@@ -103,39 +103,51 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, size: int = SIZE, anchor
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64 if i in (0, 1, 4) else np.uint64) for i, x in enumerate(out))
 
 
-def previous_smaller(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it, in its group (equal neighbours of `group`), with a smaller value; else -1.
+def common_prefixes(view: np.ndarray, begin: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Of suffixes in order, each cut off at SIZE bytes (rows of `view` at `begin`), how many bytes each shares with the one before; 0 for the first."""
+    out = np.zeros(len(begin), np.int64)
+    for i in range(1, len(begin), step):
+        here = slice(i, min(i + step, len(begin)))
+        unlike = view[begin[here]] != view[begin[here.start - 1 : here.stop - 1]]
+        first = unlike.argmax(axis=1)
+        out[here] = np.where(unlike[np.arange(len(first)), first], first, view.shape[1])
+    return out
+
+
+def previous_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it with a smaller value, else -1, and the least of `common` (what each place shares
+    with the one before) from behind that place up to it, else 0.
 
     All places follow their pointers at once; what a pointer skips is never smaller, so pointers may follow pointers.
     """
-    out = np.arange(-1, len(values) - 1)
+    out, low = np.arange(-1, len(values) - 1), common.copy()
     open_ = np.arange(len(values))
     while len(open_):
         at = out[open_]
-        ends = (at < 0) | (group[at] != group[open_])
-        out[open_[ends]] = -1
+        ends = (at < 0) | (low[open_] == 0)  # nothing is shared any more with what is further away
+        out[open_[ends]], low[open_[ends]] = -1, 0
         open_, at = open_[~ends], at[~ends]
         climbs = values[at] >= values[open_]
-        open_ = open_[climbs]
-        out[open_] = out[at[climbs]]
-    return out
+        open_, at = open_[climbs], at[climbs]
+        out[open_], low[open_] = out[at], np.minimum(low[open_], low[at])
+    return out, low
 
 
-def longest_previous(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For suffixes cut off at SIZE bytes: whether the longest previous factor, with a smaller id, is as long as that.
+def longest_previous(view: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array of suffixes: rows of `view` (SIZE bytes of each place) at `begin`, each of a document.
 
-    In suffix order the longest factor that starts earlier is shared with the previous or the next smaller position. The
-    common prefix with it is the least over all neighbours between; it reaches SIZE if none of them falls short, that is,
-    if both lie in one group of full common prefixes.
+    Of each suffix the length of the longest factor that it begins with and that also begins a suffix with a smaller id,
+    SIZE for longer ones. In suffix order that factor is shared with the previous or the next smaller position; how much is
+    shared with either is the least common prefix of neighbours between.
     """
-    order = np.argsort(windows, kind="stable")
-    suffixes, held = windows[order], ids[order]
-    short = np.concatenate([[True], suffixes[1:] != suffixes[:-1]]) if len(order) else np.zeros(0, bool)
-    group = np.cumsum(short)
-    before = previous_smaller(held, group)
-    after = previous_smaller(held[::-1], group[::-1])[::-1]
-    out = np.zeros(len(ids), bool)
-    out[order] = (before >= 0) | (after >= 0)
+    suffixes = np.ascontiguousarray(view[begin]).view(f"S{view.shape[1]}")[:, 0] if len(begin) else np.zeros(0, "S1")
+    order = np.argsort(suffixes, kind="stable")
+    del suffixes
+    common, held = common_prefixes(view, begin[order]), ids[order]
+    _, before = previous_smaller(held, common)
+    _, after = previous_smaller(held[::-1], np.append(0, common[:0:-1]) if len(common) else common)
+    out = np.zeros(len(ids), np.int64)
+    out[order] = np.maximum(before, after[::-1])
     return out
 
 
@@ -374,8 +386,7 @@ def resolve_windows(rows: DataFrame) -> DataFrame:
                 at += len(text)
             joined = np.frombuffer(b"".join(texts), np.uint8)
             (begin, place), owner, chunk = np.concatenate(start, axis=1), np.concatenate(owner), np.concatenate(chunk)
-            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, SIZE)[begin]).view(f"S{SIZE}")[:, 0]
-            found = np.flatnonzero(longest_previous(windows, owner))
+            found = np.flatnonzero(longest_previous(np.lib.stride_tricks.sliding_window_view(joined, SIZE), begin, owner) >= SIZE)
             out = []
             for _, chosen in _by_bucket(np.unique(chunk[found], return_inverse=True)[1]) if len(found) else []:
                 mine = np.unique(place[found[chosen]])

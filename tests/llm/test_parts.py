@@ -342,20 +342,22 @@ def test_bags():
 
 
 def test_longest_previous_factors():
-    """Previous and next smaller positions in suffix order, against the factors themselves."""
+    """The array of lengths, and previous and next smaller positions, against comparing every pair."""
     rng = np.random.default_rng(5)
-    for n in (0, 1, 2, 60, 400):
-        windows = np.array(["".join(x) for x in rng.choice(list("ab"), (n, 5))], "S5") if n else np.zeros(0, "S5")
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    for n, letters in ((0, "ab"), (1, "ab"), (2, "ab"), (60, "ab"), (300, "ab"), (300, "abc\0"), (200, "a")):
+        data = rng.choice(np.frombuffer(letters.encode(), np.uint8), n + 6)
+        view, begin = np.lib.stride_tricks.sliding_window_view(data, 6), rng.permutation(n)
         ids = rng.integers(0, 6, n)
-        least: dict = {}
-        for w, i in zip(windows.tolist(), ids.tolist(), strict=True):
-            least[w] = min(i, least.get(w, i))
-        assert lpf.longest_previous(windows, ids).tolist() == [least[w] < i for w, i in zip(windows.tolist(), ids.tolist(), strict=True)]
-    values = rng.integers(0, 50, 500)
-    group = np.cumsum(rng.random(500) < 0.05)
-    want = [next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and values[j] < values[i]), -1) if all(group[j] == group[i] for j in range(i - 1, i)) or i == 0 else -1 for i in range(500)]
-    want = [-1 if j >= 0 and group[j] != group[i] else j for i, j in enumerate(want)]
-    assert lpf.previous_smaller(values, group).tolist() == want
+        texts = [data[i : i + 6].tobytes() for i in begin]
+        want = [max((shared(a, b) for b, j in zip(texts, ids, strict=True) if j < i), default=0) for a, i in zip(texts, ids, strict=True)]
+        assert lpf.longest_previous(view, begin, ids).tolist() == want
+    values, common = rng.integers(0, 50, 500), rng.integers(0, 9, 500)
+    pointers, low = lpf.previous_smaller(values, common)
+    for i in range(500):
+        j = next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1)
+        least = int(common[j + 1 : i + 1].min()) if j >= 0 else 0
+        assert low[i] == least and (pointers[i] == j or least == 0)
 
 
 def test_sketch_sizes():
