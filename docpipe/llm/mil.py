@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm import spans
-from docpipe.llm.common import bounded_batches, slices, text_or_empty
+from docpipe.llm.common import bounded_batches, materialize, slices, text_or_empty
 
 PASSAGE = 400
 #: Labelled documents to fit on, at the most; half of each label, by the smallest hashes of doc_id.
 MOST_LABELLED = 2000
+#: Bytes of their features that come to the driver; four times that as it fits.
+MOST_BAG_BYTES = 64 << 20
 LETTERS = 4  # classes: capitals, small letters, letters past ASCII of either case; then the marks below
 MARKS = " \n\t.,;:!?|*#$%&@<>{}[]()/\\'\"-_=+~^`"
 GROUPS = [" ", "\n\t", ".,;:", "!", "?", "|", "*#$%&@~^`", "<>{}[]()/\\=+_", "'\"-"]
@@ -142,8 +144,12 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Passage features and labels of a bounded sample of the documents that are labelled and not held out."""
+def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, most_bytes: int = MOST_BAG_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Passage features and labels of a bounded sample of the documents that are labelled and not held out.
+
+    By a hash of the id, half of `most` documents of each label, and of these as many as fit into half of `most_bytes` of
+    features; a longer one is passed over. Bags are of whole texts.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id")
     sample = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most // 2).collect()]
@@ -158,12 +164,22 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
             packed = [x[a:b].astype(np.float16).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: r["doc_id"])
+    bags = materialize(rows.mapInArrow(run, "doc_id long, y int, x binary"), "bags")
+    size, kept = {r["doc_id"]: r["n"] for r in bags.select("doc_id", F.octet_length("x").alias("n")).collect()}, []
+    for y in (0, 1):
+        left = most_bytes // 2
+        for r in sample:
+            if r["y"] == y and size.get(r["doc_id"], left + 1) <= left:
+                left -= size[r["doc_id"]]
+                kept.append((r["doc_id"],))
+    chosen = docs.sparkSession.createDataFrame(kept, "doc_id long")
+    got = sorted(bags.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: r["doc_id"])
     return [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES).astype(np.float64) for r in got], np.array([r["y"] for r in got], np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> AttentionMIL:
-    return AttentionMIL().fit(*training_bags(docs, labels, label, most))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, most_bytes: int = MOST_BAG_BYTES) -> AttentionMIL:
+    """The classifier for some documents; `most` and `most_bytes` bound the labelled sample that it learns from."""
+    return AttentionMIL().fit(*training_bags(docs, labels, label, most, most_bytes))
 
 
 def scored(docs: DataFrame, model: AttentionMIL) -> DataFrame:
