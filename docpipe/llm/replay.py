@@ -92,20 +92,6 @@ class MergeReplay:
         heapify(order)
         get = pairs.get
 
-        def merge(i: int, rank: int) -> Iterator[tuple[int, int]]:
-            """Merges the token at i with the next; yields the pairs that are new, as rank and place."""
-            gone = after[i]
-            right, left = after[gone], before[i]
-            token[i], token[gone] = rank, -1
-            after[i] = right
-            before[right] = i
-            new = get(token[left] * size + rank)
-            if new is not None:
-                yield new, left
-            new = get(rank * size + token[right])
-            if new is not None:
-                yield new, i
-
         while order:
             rank = heappop(order)
             at = index.pop(rank)
@@ -113,12 +99,16 @@ class MergeReplay:
             for i in at:
                 if get(token[i] * size + token[after[i]]) != rank:
                     continue
-                todo = [(rank, i)]
-                while todo:
-                    now, place = heappop(todo)
-                    if get(token[place] * size + token[after[place]]) != now:
-                        continue
-                    for new, where in merge(place, now):
+                now, place, todo = rank, i, []
+                while True:
+                    gone = after[place]
+                    right, left = after[gone], before[place]
+                    token[place], token[gone] = now, -1
+                    after[place] = right
+                    before[right] = place
+                    for new, where in ((get(token[left] * size + now), left), (get(now * size + token[right]), place)):
+                        if new is None:
+                            continue
                         if new <= rank:
                             heappush(todo, (new, where))
                         elif new in index:
@@ -126,6 +116,11 @@ class MergeReplay:
                         else:
                             index[new] = [where]
                             heappush(order, new)
+                    while todo and get(token[todo[0][1]] * size + token[after[todo[0][1]]]) != todo[0][0]:
+                        heappop(todo)
+                    if not todo:
+                        break
+                    now, place = heappop(todo)
         left = np.frombuffer(token, np.int64)[:n]
         kept = left >= 0
         bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])].tolist()
