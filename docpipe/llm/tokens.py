@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -142,7 +142,7 @@ class PieceCache:
         pieces = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.slots) > self.most or len(self.flat) > 50 * self.most:
             self.clear()
-        slot = np.fromiter((self.slots.get(piece, -1) for piece in pieces), np.int64, len(pieces))
+        slot = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(slot < 0)
         if len(new):
             unseen = [pieces[i] for i in new.tolist()]
