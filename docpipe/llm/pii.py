@@ -62,6 +62,8 @@ CUES = {
     "ssn": ("ssn", "social", "security", "insurance", "taxpayer"),
 }
 AGAINST = ("version", "order", "isbn", "part", "model", "page", "ref", "invoice", "ticket", "build", "score", "figure", "serial", "date")
+CUE_WORDS = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(words) + ")") for kind, words in CUES.items()}
+NO_CUE_WORDS = re.compile(r"(?<![a-z])(?:" + "|".join(AGAINST) + ")")
 
 
 def luhn(digits: str) -> bool:
@@ -198,7 +200,7 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     digits = "".join(c for c in inside if "0" <= c <= "9")
     groups = [len(x) for x in re.findall(r"[0-9]+", inside)]
     tail = inside.rpartition(".")[2].lower()
-    cue = lambda words, where: float(bool(re.search(r"(?<![a-z])(?:" + "|".join(words) + ")", where)))
+    cue = lambda words, where: float(bool(words.search(where)))
     last, following = re.search(r"([0-9]+)[ ./-]$", before), re.match(r"[ ./-]([0-9]+)", after)
     return [
         *(float(kind == k) for k in KINDS),
@@ -207,7 +209,7 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
         float(inside.startswith("(")), float(inside.startswith("00")), inside.count(" "), inside.count("-"), inside.count("."), inside.count("/"),
         float("[" in inside or "(at" in inside.lower()), float(" dot " in inside.lower() or "[dot]" in inside.lower() or "(dot)" in inside.lower()),
         float(tail in ("com", "org", "net", "edu", "de", "fr", "es", "io", "gov", "info")),
-        cue(CUES[kind], before), cue(CUES[kind], after), cue(AGAINST, before), float(before[-1:].isdigit()), float(after[:1].isdigit()),
+        cue(CUE_WORDS[kind], before), cue(CUE_WORDS[kind], after), cue(NO_CUE_WORDS, before), float(before[-1:].isdigit()), float(after[:1].isdigit()),
         float(inside.startswith("+")), len(last[1]) if last else 0, len(following[1]) if following else 0, float(brand_fits(digits)),
         float(kind == "card" and any(brand_fits(x) and luhn(x) for x in re.findall(r"[0-9]+", text[max(0, start - 20) : start] + " " + text[end : end + 20]))),
         float(len(groups) == 1 or (set(groups[:-1]) == {4} and groups[-1] <= 4)), float(len(set(re.findall(r"[ ./-]", inside)))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -76,3 +78,18 @@ def test_pipeline_leaves_only_its_result(spark, sf):
     before = common.made()
     rows = corpus_pipeline.run(spark, sf)
     assert common.made() == before + 1 and rows.count() > 0
+
+
+def test_two_pipelines_at_a_time(spark, sf):
+    """Each deletes only what it made itself, so both give the same rows."""
+    rows: dict[int, list] = {}
+
+    def run(number: int) -> None:
+        rows[number] = sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect())
+
+    threads = [threading.Thread(target=run, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert rows[0] and rows[0] == rows[1]
