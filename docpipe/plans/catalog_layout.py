@@ -189,7 +189,8 @@ def drawn(ids: DataFrame) -> DataFrame:
 
 def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and colours of drawn pages after both image steps."""
-    files = drawn(inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id")))
+    ids = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"))
+    files = drawn(ids.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id"))  # a few bytes of input each, but work
 
     def measured(batches):
         codec = PngCodec()
