@@ -332,19 +332,6 @@ def test_attention_finds_the_telling_passage():
     assert right > 0.95 and right > mean_right + 0.02 and found["a"][telling].mean() > 0.3
 
 
-def test_the_sample_is_bounded_in_bytes(spark):
-    """Bags are taken by the hash of their id while they fit; a text too long for that is passed over, whatever its place."""
-    rows = [(i, "word " * (4_000 if i % 5 == 0 else 60)) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    whole, y = mil.training_bags(docs, labels)
-    sizes = sorted(b.nbytes // 4 for b in whole)
-    assert len(whole) == len(y) > 20
-    few, y = mil.training_bags(docs, labels, most_bytes=sizes[0] * 12)
-    assert sum(b.nbytes // 4 for b in few) <= sizes[0] * 12 and sorted(set(y)) == [0, 1] and len(few) == 12
-    assert max(b.nbytes for b in few) < max(b.nbytes for b in whole)
-
-
 def test_bags():
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)] + [""]
