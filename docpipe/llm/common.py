@@ -14,6 +14,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpipe.sources.places import bounded_batches  # noqa: F401  passed on to the operators
+
 
 class _Made(threading.local):
     """Folders below the shared one that this thread has made and not dropped, in order; so one run never drops another's."""
@@ -84,17 +86,6 @@ def make_dir(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
-def bounded_batches(spark: SparkSession, most_mb: int = 16) -> None:
-    """Lowers the session's limit on the bytes of an Arrow batch, so that Python workers hold little of long texts at a time.
-
-    Sessions with a lower limit keep it; it changes no result.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, None) or ""
-    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most_mb << 20:
-        spark.conf.set(name, f"{most_mb << 20}b")
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
