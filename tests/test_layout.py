@@ -79,3 +79,26 @@ def test_a_page_of_a_million_words(spark):
     words = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), F.col("id").cast("int").alias("word_no"), F.lit("w").alias("value"), (F.col("id") % 10 / 100).alias("x"), (F.floor(F.col("id") / 10) / 100).alias("y"), F.lit(1.0).alias("confidence"))
     row = layout.spaced_lines(words).agg(F.count("*").alias("n"), F.max("anchored_line").alias("last"), F.countDistinct("text").alias("texts"), F.max("text").alias("text")).first()
     assert (row["n"], row["last"], row["texts"], row["text"]) == (n // 10, n // 10 - 1, 1, " ".join("w" * 10))
+
+
+def test_lines_of_a_batch_at_once():
+    """Places that are all there need no look at single words, and texts are as word by word."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(300) / 1000, 0, rng.randrange(3), rng.randrange(50), rng.choice(["a", "bb", ""])) for _ in range(2000)]
+    starts = np.array([0, *sorted(rng.sample(range(1, 2000), 300))])
+    words = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["x", "block_no", "line_no", "word_no", "value"])
+    want = [layout.spaced_text(rows[a:b]) for a, b in zip(starts, [*starts[1:], 2000], strict=True)]
+    alone, layout.spaced_text = layout.spaced_text, None
+    try:
+        assert layout.line_texts(words, starts).to_pylist() == want
+    finally:
+        layout.spaced_text = alone
+
+
+def test_columns_by_counts(spark):
+    """What is shuffled to find a split is the number of words at each x; words without an x, at one x and at none count."""
+    rows = [(d, x) for d, xs in {"a": [0.1] * 6 + [0.6] * 6, "b": [None] * 3 + [0.1] * 4 + [0.5] * 4, "c": [0.2] * 12, "d": [0.1, 0.9], "e": [None] * 11}.items() for x in xs]
+    words = spark.createDataFrame(rows, "doc_id string, x double").withColumns({"page_no": F.lit(0), "block_no": F.lit(0), "line_no": F.lit(0), "word_no": F.monotonically_increasing_id()})
+    split = layout.column_split(words)
+    assert {r["doc_id"]: (r["n_words"], r["split_x"]) for r in split.collect()} == {"a": (12, 0.35), "b": (11, 0.3), "c": (12, None), "d": (2, None), "e": (11, None)}
+    assert "word_no" not in split._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1].split("Aggregate")[0]
