@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docpipe.sources import images
+from docpipe.sources import images, png
 from docpipe.sources.png import CHANNELS, SIGNATURE, PngCodec
 
 CODEC = PngCodec()
@@ -106,3 +106,22 @@ def test_a_page_in_seconds():
     began = time.perf_counter()
     assert CODEC.open(images.enlarged(CODEC, CODEC.png(page))).shape == (1650, 1275, 3)
     assert time.perf_counter() - began < 30
+
+
+def test_rows_that_need_no_row_by_row_loop():
+    """Filters of one direction in any order, against a loop over bytes; pages of one size share their weights."""
+    rng = np.random.default_rng(5)
+    for step, width in ((1, 7), (3, 4), (4, 1)):
+        raw, kinds = rng.integers(0, 256, (40, step * width), dtype=np.uint8), rng.choice([0, 1, 2, 2, 2, 9], 40).astype(np.uint8)
+        want = np.zeros((41, step * width), np.int64)
+        for r in range(40):
+            for c in range(step * width):
+                want[r + 1, c] = (int(raw[r, c]) + {1: want[r + 1, c - step] if c >= step else 0, 2: want[r, c]}.get(int(kinds[r]), 0)) % 256
+        before = raw.copy()
+        assert (png.unfiltered(raw, kinds, step) == want[1:]).all() and (raw == before).all()
+    page = rng.integers(0, 256, (30, 20, 3), dtype=np.uint8)
+    png.kept_band.cache_clear()
+    first = png.stretched(page, 45, 0)
+    assert (png.stretched(page, 45, 0) == first).all() and png.kept_band.cache_info().hits == 1
+    png.stretched(np.zeros((3000, 2, 1), np.uint8), 4000, 0)
+    assert png.kept_band.cache_info().currsize == 1
