@@ -5,7 +5,7 @@ out addresses, numbers without a plus, account and insurance numbers, and the pa
 other numbers). Boosted trees score each proposal from its format and its context, and those past their kind's
 calibrated threshold that overlap no chosen span are added.
 
-The trees are fitted on two sources. One is the documents themselves: base spans of a bounded sample, in the words around
+The trees are fitted on two sources. One is the documents themselves, all of them: their base spans, in the words around
 them, are rewritten so that the base patterns fail (spelled out, without a plus, beside other numbers), look-alikes are put
 in their places, and what is proposed in documents besides is taken as no personal data where its format proves nothing.
 The other is generated sentences with cues, for kinds and cues that the documents lack. Both are split into a part to fit on
@@ -18,16 +18,17 @@ import hashlib
 import random
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.boosting import BoostedTrees
-from docpipe.llm.common import bounded_batches, slices, text_or_empty
+from docpipe.llm.boosting import BoostedTrees, Rows, rows_of
+from docpipe.llm.common import bounded_batches, drop_since, made, materialize, partitions, slices, text_or_empty
 
 # The kinds in their order, and the base patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -42,8 +43,6 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: probability from which proposals of kinds with fewer are added.
 PRECISION, LEAST_HELD_OUT, THRESHOLD = 0.99, 20, 0.98
 CONTEXT = 40
-#: Documents whose spans and proposals are looked at to fit the trees (about so many, by a hash of the text), and snippets used.
-MOST_SAMPLED, MOST_SNIPPETS = 4000, 3000
 
 # What proposals look like.
 PROPOSALS = (
@@ -227,7 +226,7 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
 class Inventor:
     """Items, numbers and look-alikes drawn from a seed."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int | str):
         self.rng = random.Random(seed)
 
     def digits(self, k: int) -> str:
@@ -359,63 +358,75 @@ def examples(n: int = 18000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 Snippet = tuple[str, str, str, str, bool]
 
 
-def snippets(docs: DataFrame, most: int = MOST_SAMPLED, kept: int = MOST_SNIPPETS, of_text: int = 50) -> list[Snippet]:
-    """before, item, after, kind of base spans and of other proposals (True: base) of about `most` documents, in order.
+def spans_of(text: str) -> Iterator[Snippet]:
+    """A few words around each base span of a text, and around each other proposal that can be an example."""
+    base = base_spans(text)
+    other = [s for s in free(proposals(text), base) if s[2] in UNPROVEN]
+    for spans, is_base in ((base, True), (other, False)):
+        for a, b, kind in spans:
+            yield text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], kind, is_base
 
-    Documents are taken by a hash of their text, as many as make up `most` of all on average; a task returns a few words
-    around each of at most `of_text` spans of a text, never texts, and at most `kept` of them, by hash, come to the driver's fit.
-    These bounds are of the sample to fit on alone; what is searched and redacted has none.
+
+def snippet_table(docs: DataFrame) -> DataFrame:
+    """before, item, after, kind of all base spans and other proposals of all documents (base: True), each once.
+
+    Nothing is left out: a task returns some words for each span, never texts, and equal ones are made one by a shuffle.
     """
-    n = docs.count()
-    rows = docs.select(text_or_empty().alias("text"))
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
     def run(batches):
-        for batch, texts in slices(batches, "text"):
-            found = []
-            for text in texts:
-                base = base_spans(text)
-                other = free(proposals(text), base)
-                for spans, is_base in ((base, True), (other, False)):
-                    found += [(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], kind, is_base) for a, b, kind in spans[:of_text]]  # a page of numbers is one example, not a thousand
-            yield pa.RecordBatch.from_pylist([dict(zip(SNIPPET.names, row, strict=True)) for row in found], SNIPPET)
+        for _, texts in slices(batches, "text"):
+            found = [s for text in texts for s in spans_of(text)]
+            for i in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[i : i + 10_000], strict=True), SNIPPET, strict=True)], schema=SNIPPET)
+
+    spans = docs.select(text_or_empty().alias("text")).mapInArrow(run, "before string, item string, after string, kind string, base boolean")
+    return spans.repartition(partitions(docs.sparkSession), *SNIPPET.names).distinct()  # a few bytes each, but work: not to be coalesced
 
-    sample = rows.mapInArrow(run, "before string, item string, after string, kind string, base boolean").distinct()
-    order = F.xxhash64("before", "item", "after", "kind")
-    return sorted(tuple(r) for r in sample.orderBy(order, "before", "item").limit(kept).collect())
+
+def snippets(docs: DataFrame) -> list[Snippet]:
+    """The rows of snippet_table in order, for a look at a small table; `fitted` leaves them where they are."""
+    return sorted(tuple(r) for r in snippet_table(docs).collect())
 
 
 SNIPPET = pa.schema([("before", pa.string()), ("item", pa.string()), ("after", pa.string()), ("kind", pa.string()), ("base", pa.bool_())])
+#: Kinds whose proposals come without a proof of format, so that those found in documents are examples against them.
+UNPROVEN = ("email", "phone", "ssn")
+
+
+def to_fit(snippet: Snippet) -> bool:
+    """Two thirds of the snippets are fitted on, by their contents; the others are held out."""
+    return crc32("\0".join(map(str, snippet)).encode()) % 3 != 0
 
 
-def corpus_examples(found: list[Snippet], seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+def examples_of(snippet: Snippet, seed: int = 9) -> list[tuple[list[float], float]]:
+    """The examples that one snippet makes, the same wherever it is met."""
+    before, item, after, kind, base = snippet
+    make, rows = Inventor(f"{seed} {snippet}"), []
+    if base:
+        for _ in range(3):
+            rows += proposed(before, make.rewritten(kind, item), after)
+            rows += proposed(before, [(make.look_alike() if make.rng.random() < 0.5 else make.bad(), None)], after)
+    elif kind in UNPROVEN:
+        rows += proposed(before, [(item, None)], after)
+    return rows
+
+
+def corpus_examples(found: Iterable[Snippet], seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Proposals in the documents' own words: rewritten base items, look-alikes in their places, and what was proposed there.
 
     Proposals of cards, addresses and account numbers come with a proof of format, so those found in documents are not
     taken as examples against it.
     """
-    make = Inventor(seed)
-    x, y = [np.zeros((0, N_FEATURES))], []
-    for before, item, after, kind, base in found:
-        rows = []
-        if base:
-            for _ in range(3):
-                rows += proposed(before, make.rewritten(kind, item), after)
-                rows += proposed(before, [(make.look_alike() if make.rng.random() < 0.5 else make.bad(), None)], after)
-        elif kind in ("email", "phone", "ssn"):
-            rows += proposed(before, [(item, None)], after)
-        if rows:
-            x.append(np.array([r for r, _ in rows]))
-            y += [g for _, g in rows]
-    return np.concatenate(x), np.array(y)
-
-
-def threshold_of(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    rows = [r for snippet in found for r in examples_of(snippet, seed)]
+    return np.array([r for r, _ in rows]).reshape(-1, N_FEATURES), np.array([g for _, g in rows])
+
+
+def threshold_of(p: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, precision: float = PRECISION) -> float:
     """The probability from which proposals of a kind are added: between the lowest one down to which the share of personal data
-    is at least `precision`, and the next lower one. No probability is enough where none has that share."""
+    is at least `precision`, and the next lower one. No probability is enough where none has that share. y: how many of the n
+    (1 by default) with a probability are personal data."""
     order = np.argsort(-p, kind="stable")
-    p, share = p[order], np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    p, share = p[order], np.cumsum(y[order]) / np.cumsum((np.ones(len(p)) if n is None else n)[order])
     last = np.append(p[1:] < p[:-1], True)  # equal probabilities go together
     good = np.flatnonzero(last & (share >= precision))
     if not len(good):
@@ -424,34 +435,91 @@ def threshold_of(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) ->
     return float((p[good[-1]] + below) / 2)
 
 
+#: Of kind (a number), margin: how many examples have it, and how many of them are personal data.
+Counts = list[tuple[int, float, int, int]]
+
+
+def counted(kinds: np.ndarray, margin: np.ndarray, good: np.ndarray) -> Counts:
+    keys, at = np.unique(np.stack([kinds, margin], axis=1), axis=0, return_inverse=True)
+    n, of = np.bincount(at.ravel(), minlength=len(keys)), np.bincount(at.ravel(), good, len(keys))
+    return [(int(k), float(m), int(a), int(b)) for (k, m), a, b in zip(keys.tolist(), n.tolist(), of.tolist(), strict=True)]
+
+
 class Trees(BoostedTrees):
     """Boosted trees with a threshold for each kind of proposal."""
 
     thresholds: dict[str, float]
 
-    def set_thresholds(self, sources: list[tuple[np.ndarray, np.ndarray]]) -> Trees:
-        """Of each kind by the last source with enough examples of both sorts, so by the documents' own words where they have them."""
+    def set_thresholds(self, sources: list[Counts]) -> Trees:
+        """Calibrates by all examples held out, and sets each kind's threshold by the last source with enough examples of both
+        sorts, so by the documents' own words where they have them."""
+        held = [np.array(sorted(counts), float).reshape(-1, 4).T for counts in sources]
+        self.calibrate(*np.concatenate(held, axis=1)[1:])
         self.thresholds = dict.fromkeys(KINDS, THRESHOLD)
-        for x, y in sources:
-            p, kinds = self.probability(x), x[:, : len(KINDS)].argmax(1)
+        for kinds, margin, n, good in held:
+            p = self.likely(margin)
             for i, kind in enumerate(KINDS):
                 mine = kinds == i
-                if mine.sum() >= LEAST_HELD_OUT and 0 < y[mine].sum() < mine.sum():
-                    self.thresholds[kind] = threshold_of(p[mine], y[mine])
+                if n[mine].sum() >= LEAST_HELD_OUT and 0 < good[mine].sum() < n[mine].sum():
+                    self.thresholds[kind] = threshold_of(p[mine], good[mine], n[mine])
         return self
 
+    def held_out(self, x: np.ndarray, y: np.ndarray) -> Counts:
+        return counted(kind_of(x), self.margin(x), y)
+
+
+def kind_of(x: np.ndarray) -> np.ndarray:
+    return x[:, : len(KINDS)].argmax(1)
 
-def trained(found: list[Snippet], n: int = 18000) -> Trees:
-    """Trees fitted on two thirds of the examples of both sources; calibration and thresholds by kind come from the rest."""
-    both = [examples(n), corpus_examples(found)]
-    part = lambda a, fit: a[: len(a) * 2 // 3] if fit else a[len(a) * 2 // 3 :]
-    pick = lambda i, fit: np.concatenate([part(data[i], fit) for data in both])
-    return Trees(trees=60).fit(pick(0, True), pick(1, True)).calibrate(pick(0, False), pick(1, False)).set_thresholds([(part(x, False), part(y, False)) for x, y in both])
+
+@cache
+def generated(n: int = 18000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Generated examples, two thirds to fit on and the others held out."""
+    x, y = examples(n)
+    return x[: n * 2 // 3], y[: n * 2 // 3], x[n * 2 // 3 :], y[n * 2 // 3 :]
 
 
-def fitted(docs: DataFrame, most: int = MOST_SAMPLED) -> Trees:
-    """The trees for a table of documents; the same for the same rows, however they are dealt."""
-    return trained(snippets(docs, most))
+def trained(found: list[Snippet]) -> Trees:
+    """Trees fitted on two thirds of the examples of both sources; calibration and thresholds by kind come from the rest."""
+    x, y, held_x, held_y = generated()
+    trees = Trees(trees=60).cut(x)
+    own, own_y = corpus_examples(filter(to_fit, found))
+    trees.fit([Rows(trees.binned(x), y), Rows(trees.binned(own), own_y)])
+    rest = corpus_examples(s for s in found if not to_fit(s))
+    return trees.set_thresholds([trees.held_out(held_x, held_y), trees.held_out(*rest)])
+
+
+def fitted(docs: DataFrame) -> Trees:
+    """The trees of `trained` for the snippets of all documents, which stay where they are: examples are made, summed up for each
+    level of each tree, and counted by kind and margin in tasks. The same for the same rows, however they are dealt."""
+    since = made()
+    x, y, held_x, held_y = generated()
+    trees = Trees(trees=60).cut(x)
+
+    def make(batches):
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for i in range(0, len(rows), 500):
+                for fit in (True, False):
+                    own, good = corpus_examples(s for s in rows[i : i + 500] if to_fit(s) == fit)
+                    if len(good):
+                        binned = pa.array([row.tobytes() for row in trees.binned(own)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([binned, pa.array(good, pa.int64()), pa.array(kind_of(own), pa.int32()), pa.array([fit] * len(good))], ["binned", "good", "kind", "fit"])
+
+    rows = snippet_table(docs).mapInArrow(make, "binned binary, good long, kind int, fit boolean").groupBy("fit", "kind", "binned")
+    table = materialize(rows.agg(F.count("*").alias("n"), F.sum("good").alias("good")), "examples")
+    trees.fit([Rows(trees.binned(x), y), rows_of(table.where("fit"), N_FEATURES)])
+
+    def judge(batches):
+        for batch in batches:
+            if batch.num_rows:
+                binned = np.frombuffer(b"".join(batch.column("binned").to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(trees.binned_margin(binned)), batch.column("n"), batch.column("good")], ["kind", "margin", "n", "good"])
+
+    judged = table.where("not fit").mapInArrow(judge, "kind int, margin double, n long, good long").groupBy("kind", "margin").agg(F.sum("n"), F.sum("good"))
+    trees.set_thresholds([trees.held_out(held_x, held_y), [tuple(r) for r in judged.collect()]])
+    drop_since(docs.sparkSession, since)
+    return trees
 
 
 @cache
@@ -488,7 +556,7 @@ def find(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     Null texts count as empty: no spans, the hash of the empty string. Repeated rows repeat, null ids stay, empty tables
     give no rows, other columns are not read. Of equally likely proposals that overlap the first in order of place is
-    added. A pass over a sample to fit the trees (`trees`: fitted ones), then one narrow pass over whole texts; offsets
+    added. A pass over all texts to fit the trees (`trees`: fitted ones), then one narrow pass over whole texts; offsets
     count code points.
     """
     bounded_batches(docs.sparkSession)

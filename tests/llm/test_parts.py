@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docpipe.llm import bagminhash, bpe, decontam, lpf, mil, pii, rans, spans, tokens, topk, warc
+from docpipe.llm import bagminhash, boosting, bpe, decontam, lpf, mil, pii, rans, spans, tokens, topk, warc
 from docpipe.llm.queries import BYTE_BPE, WORD_BPE
 from tests.llm import brute
 
@@ -409,6 +409,26 @@ def test_trees_in_documents_held_out(spark):
         assert precision > 0.95 and recall >= 0.9, (kind, precision, recall)
 
 
+def test_trees_of_all_documents(spark, monkeypatch):
+    """Every span of every document counts, far from the bounds of a sample; and the fit in tasks is the fit at hand, however rows are dealt."""
+    rng = random.Random(4)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    texts = [" ".join(f"w{i} mail a{i}.b@host{i}.org or call +49 30 {number(7)} now {number(3)}-{number(2)}-{number(4)};" for i in range(120)), *(f"text {i} from 10.{i % 200}.7.9 by u{i}@example.org or 555-{number(3)}-{number(4)}" for i in range(4500)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.snippets(docs)
+    assert sum(s[4] for s in found) >= 2 * 120 + 2 * 4500 and len({s[1] for s in found if s[1].startswith("u")}) == 4500
+    some = docs.where("doc_id < 300 or doc_id >= 4501")
+    near, dealt = pii.trained(pii.snippets(some)), [pii.fitted(some.union(some).repartition(9))]
+    monkeypatch.setattr(boosting, "AT_HAND", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    dealt.append(pii.fitted(some))
+    monkeypatch.undo()
+    for trees in dealt:
+        assert (trees.thresholds, trees.line) == (near.thresholds, near.line)
+        assert all((a == c).all() and (b == d).all() for (x, _), (y, _) in zip(trees.grown, near.grown, strict=True) for (a, b), (c, d) in zip(x, y, strict=True))
+    assert near.thresholds != pii.model().thresholds and pii.fitted(docs.limit(0)).thresholds == pii.model().thresholds
+
+
 @pytest.mark.parametrize(("p", "y", "want"), [([0.9, 0.8, 0.7, 0.6], [1, 1, 1, 0], (0.6, 0.7)), ([0.9, 0.9, 0.5, 0.4], [1, 0, 1, 1], (1, 2)), ([0.9, 0.8, 0.2, 0.1], [1, 1, 1, 1], (0, 0.1)), ([0.9, 0.8, 0.2, 0.1], [0, 0, 0, 1], (1, 2))])
 def test_thresholds(p, y, want):
     """Between the last example that keeps the precision and the next; none where even the best do not."""
