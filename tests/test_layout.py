@@ -102,3 +102,12 @@ def test_columns_by_counts(spark):
     split = layout.column_split(words)
     assert {r["doc_id"]: (r["n_words"], r["split_x"]) for r in split.collect()} == {"a": (12, 0.35), "b": (11, 0.3), "c": (12, None), "d": (2, None), "e": (11, None)}
     assert "word_no" not in split._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1].split("Aggregate")[0]
+
+
+def test_table_rows_count_prices_once(spark):
+    """Prices of a line are found once, headers and continuing lines as before."""
+    lines = ["Item quantity unit net gross", "pear 1,00 2,00 3,00 net", "deluxe edition", "in blue box", "Total", "1,00 2,00 3,00", "net 1,00 2,00", "ear 4.00 5.00 6.00", "", "sum of it", None, "ab 1,00 2,00 3,00 4,00"]
+    rows = layout.table_rows(spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "doc_id string, line_no int, line string"))
+    got = [(r["line_no"], r["line"]) for r in rows.orderBy("line_no").collect()]
+    assert got == [(0, lines[0]), (1, "pear 1,00 2,00 3,00 net deluxe edition in blue box"), (6, lines[6]), (7, lines[7])]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
