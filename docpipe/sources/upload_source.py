@@ -29,6 +29,8 @@ COLUMNS = ("path", "modified", "length", "page_no", "image", "reason", "error")
 SCHEMA = "path string, modified timestamp, length long, page_no int, image binary, reason string, error string"
 #: Bytes of images after which a task passes a batch on.
 BATCH_BYTES = 8 << 20
+#: Tasks of a scan, at most.
+MOST_TASKS = 1000
 
 
 def refusal(path: str, length: int, max_bytes: int) -> str | None:
@@ -74,12 +76,29 @@ def planned(files: list[Upload], split: int, contents: bool) -> list[Pages]:
     return [*out, Pages(tuple(held))] if held else out
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads, in order."""
+
+    pages: tuple[Pages, ...]
+
+    def __post_init__(self) -> None:
+        super().__init__(None)
+
+
+def shares(pages: list[Pages], most: int) -> list[Share]:
+    """All of `pages`, neighbours together, in at most `most` tasks of about as many each: a task costs time of its own."""
+    n = min(most, len(pages))
+    return [Share(tuple(pages[len(pages) * i // n : len(pages) * (i + 1) // n])) for i in range(n)]
+
+
 class _Scan:
     """What batch and stream share: options, listing, reading of a partition."""
 
     def __init__(self, options: dict[str, str], schema: StructType):
         self.uri = options["path"]
         self.max_bytes, self.split = int(options.get("maxbytes", MAX_BYTES)), int(options.get("splitbytes", 8 << 20))
+        self.tasks = max(1, int(options.get("tasks", MOST_TASKS)))
         self.dpi, self.most = int(options.get("dpi", 200)), int(options["pages"]) if "pages" in options else None
         self.source, self.schema = options.get("reader"), schema
         if unknown := set(schema.names) - set(COLUMNS):
@@ -104,10 +123,10 @@ class _Scan:
         module, _, name = self.source.partition(":")
         return getattr(importlib.import_module(module), name)()
 
-    def rows(self, partition: Pages | None) -> Iterator[dict]:
+    def rows(self, partition: Pages) -> Iterator[dict]:
         system = self.system()[0]
         reader = self.page_reader() if self.by_page else None
-        for f in partition.files if partition else ():  # Spark reads no partition as None
+        for f in partition.files:
             base = {"path": f.path, "modified": datetime.fromtimestamp(f.millis / 1000, timezone.utc), "length": f.length, "reason": f.reason}
             if f.reason is not None or not self.by_page:
                 yield base
@@ -127,9 +146,9 @@ class _Scan:
                 if partition.part == 0 or page_no >= 0:
                     yield base | {"page_no": page_no + 1, "error": f"{type(e).__name__}: {e}"}
 
-    def batches(self, partition: Pages) -> Iterator[pa.RecordBatch]:
-        schema, held, size = to_arrow_schema(self.schema), [], 0
-        for row in self.rows(partition):
+    def batches(self, share: Share | None) -> Iterator[pa.RecordBatch]:
+        schema, held, size = to_arrow_schema(self.schema), [], 0  # Spark reads no partition as None
+        for row in (row for pages in (share.pages if share else ()) for row in self.rows(pages)):
             held.append(row)
             size += len(row.get("image") or b"") + 200
             if size > BATCH_BYTES:
@@ -144,9 +163,9 @@ class UploadReader(DataSourceReader):
         self.scan = scan
 
     def partitions(self) -> Sequence[InputPartition]:
-        return planned(self.scan.listed(), self.scan.split, self.scan.by_page)
+        return shares(planned(self.scan.listed(), self.scan.split, self.scan.by_page), self.scan.tasks)
 
-    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.scan.batches(partition)
 
 
@@ -165,9 +184,9 @@ class UploadStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         after, to = ((x["millis"], x["path"]) for x in (start, end))
-        return planned([f for f in self.scan.listed() if after < (f.millis, f.path) <= to], self.scan.split, self.scan.by_page)
+        return shares(planned([f for f in self.scan.listed() if after < (f.millis, f.path) <= to], self.scan.split, self.scan.by_page), self.scan.tasks)
 
-    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.scan.batches(partition)
 
     def commit(self, end: dict) -> None:
@@ -175,7 +194,7 @@ class UploadStreamReader(DataSourceStreamReader):
 
 
 class UploadPages(DataSource):
-    """path: a folder. reader: module:Class of a PageReader (with an optional count(content)). maxBytes, splitBytes, dpi; pages:
+    """path: a folder. reader: module:Class of a PageReader (with an optional count(content)). maxBytes, splitBytes, tasks (at most), dpi; pages:
     how many of each file's first pages, all by default. A schema of some of the columns reads no more than they need."""
 
     @classmethod

@@ -115,3 +115,18 @@ def test_stream(spark, folder, tmp_path_factory):
     (folder / "new.pdf").write_bytes(b"a\fb\fc")
     later = run()
     assert later - first == Counter({("new.pdf", i): 1 for i in range(3)}) and not first - later
+
+
+def test_tasks_are_bounded(spark, tmp_path):
+    """However many shares the files have, a scan has no more tasks than asked for, and every page is read once."""
+    for i in range(30):
+        (tmp_path / f"{i}.pdf").write_bytes(b"\f".join(f"{i} {j} ".encode() * 20 for j in range(10)))
+    pages = u.planned(u._Scan({"path": str(tmp_path), "reader": "docpipe.sources.plugins:TextPages"}, spark.range(1).selectExpr("1 as page_no").schema).listed(), 500, True)
+    for most in (1, 7, 1000):
+        dealt = u.shares(pages, most)
+        assert len(dealt) == min(most, len(pages)) and [p for s in dealt for p in s.pages] == pages
+    assert u.shares([], 5) == [] and u.MOST_TASKS == 1000
+    spark.dataSource.register(u.UploadPages)
+    read = spark.read.format("uploads").option("reader", "docpipe.sources.plugins:TextPages").option("splitBytes", 500).option("tasks", 6).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 6 < len(pages)
+    assert sorted((r["path"].rpartition("/")[2], r["page_no"], bytes(r["image"])) for r in read.collect()) == sorted((f"{i}.pdf", j, f"{i} {j} ".encode() * 20) for i in range(30) for j in range(10))
