@@ -1,9 +1,11 @@
-"""What the matching queries shuffle: numbers and names of items, once, and keys of orders; no texts made of them."""
+"""What queries of whole documents shuffle: numbers and names of items, once, keys of orders, answers; no texts made of items."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 
 from docpipe.plans import catalog, inputs
@@ -39,7 +41,7 @@ def test_greedy_shuffles_items_once(spark, sf, plain_plans):
 @pytest.fixture
 def small_shares(spark):
     """Shuffles of many partitions that are coalesced by size, differently for each."""
-    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "12k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -52,3 +54,34 @@ def test_greedy_over_coalesced_shares(spark, sf, small_shares):
     rows = catalog.queries()["match_greedy"](spark, sf).collect()
     assert len(rows) == inputs.table(spark, sf, "lineitem").count()
     assert all(r["line_idx"] == 2 * r["item_no"] for r in rows)
+
+
+def test_process_shuffles_what_it_is_given(spark, sf, plain_plans):
+    """Items as in matching, orders and customers for the answers, answers, keys of orders, and finished invoices without
+    columns that the query leaves out."""
+    done = catalog.queries()["process_invoices"](spark, sf)
+    assert exchanges(done) == ["c_custkey", "doc_id", "doc_id", "doc_id", "doc_id", "l_partkey", "o_custkey", "p_partkey"]
+    last = done._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(doc_id", 1)[1].split("\n")[1]
+    assert "ObjectHashAggregate" in last and "invoice_number" in last and "seller" not in last and "unit_price" not in last
+
+
+def test_process_over_coalesced_shares(spark, sf, small_shares):
+    con = duckdb.connect()
+    for name in inputs.TABLES:
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    columns = ["id", "invoice_number", "issue_date", "currency", "n_items", "total_net", "total_gross", "n_warnings", "parse_error"]
+    rounded = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    want = con.execute(f"select {', '.join(columns)} from ({catalog.oracle_sql()['process_invoices']}) q").fetchall()
+    assert rounded(catalog.queries()["process_invoices"](spark, sf).select(columns).collect()) == rounded(want)
+
+
+def test_answers_of_a_document_are_chosen_by_kind(spark):
+    """A metadata answer's header, an items answer's items, each else a full one's; any answer's error; lines of all texts in order."""
+    from docpipe.plans import invoice
+
+    full, meta, items = '{"invoice_number":"f","currency":"EUR","invoice_data":[{"name":"old","net":"1"}]}', '{"invoice_number":"m","invoice_data":[{"name":"no"}]}', '{"invoice_number":"i","invoice_data":[{"name":"pear","quantity":"1","unit_price":"7","net":"7","gross":"7"},{"name":"fig","net":"2","currency":"USD"}]}'
+    rows = [("a", "full", full), ("a", "metadata", meta), ("a", "items", items), ("b", "full", full), ("b", "items", "broken"), ("c", "items", items), ("d", None, full), (None, "full", full), ("e", "metadata", meta), ("e", "full", full)]
+    texts = [("a", "x\npear 7,00"), ("a", "y"), ("z", "pear 7,00"), ("e", None)]
+    done = invoice.process(spark.createDataFrame(rows, "doc_id string, kind string, response string"), spark.createDataFrame(texts, "doc_id string, table_text string"))
+    got = {r["id"]: (r["invoice_number"], [i["name"] for i in r["invoice_data"]], r["currency"], r["n_items"], r["parse_error"]) for r in done.collect()}
+    assert got == {"a": ("m", ["pear", "fig"], "USD", 2, False), "b": ("f", [], "EUR", 0, True), "c": ("", ["pear", "fig"], "USD", 2, False), "d": ("", [], "HUF", 0, False), None: ("f", ["old"], "EUR", 1, False), "e": ("m", ["old"], "HUF", 1, False)}
